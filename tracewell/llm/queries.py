@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, piece_bpe, sharding, token_files, url_rules
+from tracewell.llm import common, decontaminate, minhash, piece_bpe, sharding, token_files, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated pairs only: clean documents have no row."""
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_covered", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.stage_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,6 +51,8 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_rules": op2_url_rules,
+    "op3_minhash": op3_minhash,
+    "op4_decontaminate": op4_decontaminate,
     "op7_token_files": op7_token_files,
     "op9_piece_bpe": op9_piece_bpe,
 }
