@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, decontaminate, minhash, piece_bpe, sharding, token_files, url_rules
+from tracewell.llm import common, decontaminate, minhash, piece_bpe, sharding, token_files, url_rules, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = piece_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.select(
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op4_decontaminate": op4_decontaminate,
     "op7_token_files": op7_token_files,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_piece_bpe": op9_piece_bpe,
 }
 
