@@ -87,3 +87,21 @@ def slices(batch, column: int = 1, max_bytes: int = 4 << 20, max_rows: int = 200
         to = max(at + 1, min(int(np.searchsorted(sizes, done + max_bytes, side="right")), at + max_rows))
         yield batch.slice(at, to - at)
         at, done = to, int(sizes[to - 1])
+
+
+def filter_rows(docs: DataFrame, start, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, less the rows that ``start()(texts)``, a list of booleans, rejects.
+
+    ``start`` is called once per task.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        keep = start()
+        for whole in batches:
+            for batch in slices(whole, at):
+                yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

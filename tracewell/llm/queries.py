@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, decontaminate, minhash, piece_bpe, sharding, token_files, url_rules, vector_dedup
+from tracewell.llm import common, decontaminate, language, minhash, piece_bpe, quality, sharding, token_files, toxicity, url_rules, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_words", "n_covered", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    rows = toxicity.score(documents, lexicon)
+    return rows.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", toxicity.predicted().alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    rows = language.identify(documents, language.fit(documents))
+    return rows.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.stage_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -52,14 +65,23 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    rows = quality.score(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_rules": op2_url_rules,
     "op3_minhash": op3_minhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_token_files": op7_token_files,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_piece_bpe": op9_piece_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
