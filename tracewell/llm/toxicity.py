@@ -6,13 +6,14 @@ one letter, as ``1`` stands for either.  The folded text is its words, each betw
 
 An entry is a whole word (`` word ``) or a word's beginning (`` wor``).  Where several
 entries match at one word the heaviest counts; a match inside an exception phrase counts
-nothing.  The weights' sum over a text's matches, divided by ``1 + ln(1 + words / 200)``,
-goes through a logistic curve.
+nothing.  The weights' sum over a text's matches, divided by ``(1 + words / 50) ** power``,
+goes through a logistic curve.  Power, cut and slope are fitted to the sample.
 
 The lexicon is learned from labelled rows: words and beginnings whose share among toxic texts is far
 above that among others, enough different texts supporting each.  Near copies count
 once: support is the number of different least hashes of the texts' word sets.  Entries are
-chosen in turn for the toxic texts that too few chosen entries cover as yet.  Exceptions are the word
+chosen in turn for the toxic texts that too few chosen entries cover as yet; less telling ones
+only for texts that one other entry covers at most.  Exceptions are the word
 pairs around a match that clean texts hold repeatedly and toxic ones never.
 
 Defined results: null and blank texts hold no match and get the curve's lowest score; texts
@@ -56,8 +57,12 @@ _WORD = re.compile(r"[^\W_](?:[\w@$!|]*[^\W_])?|[@$][\w@$!|]*[^\W_]")
 _MARKED = re.compile(r"[0-9@$!|]")
 
 MAX_ROWS = 2500
-MIN_WEIGHT = 3.5
+MIN_WEIGHT = 1.8
 COVER = 3
+#: Entries this heavy come first, and are taken without need if so large a share of toxic texts supports them.
+SURE_WEIGHT, SURE_SHARE = 3.5, 0.05
+#: Powers of the length that the fit may choose from.
+POWERS = (0.25, 0.5, 0.75, 1.0)
 
 
 def fold_word(word: str) -> str:
@@ -87,6 +92,7 @@ class Lexicon:
     exceptions: tuple[str, ...] = ()
     slope: float = 1.0
     middle: float = 1.0
+    power: float = 0.5
 
     def matcher(self) -> ahocorasick.Automaton | None:
         if not self.entries:
@@ -118,8 +124,10 @@ class Lexicon:
         return found
 
     def strength(self, words: list[str], machine: ahocorasick.Automaton | None) -> float:
-        found = self.matches(words, machine)
-        return sum(found.values()) / (1 + math.log1p(len(words) / 200)) if found else 0.0
+        return self.normalised(sum(self.matches(words, machine).values()), len(words))
+
+    def normalised(self, total: float, n_words: int) -> float:
+        return total / (1 + n_words / 50) ** self.power
 
     def score(self, strength: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * (strength - self.middle))))) if self.entries else 0.0
@@ -139,7 +147,7 @@ def _sketch(words: list[str]) -> int:
     return min((xxhash.xxh64_intdigest(w) for w in set(words)), default=0)
 
 
-def learn(sample: Iterator[tuple[str | None, int]], min_weight: float = MIN_WEIGHT, cover: int = COVER) -> Lexicon:
+def learn(sample: Iterator[tuple[str | None, int]], min_weight: float = MIN_WEIGHT, cover: int = COVER, sure_weight: float = SURE_WEIGHT) -> Lexicon:
     """A lexicon from (text, label) rows, which must be few enough for one machine."""
     texts: dict[tuple[int, int], list[list[str]]] = {}
     pool: dict[str, str] = {}  # one string per word
@@ -160,7 +168,7 @@ def learn(sample: Iterator[tuple[str | None, int]], min_weight: float = MIN_WEIG
     for words in clean:
         against.update(_terms(words) & candidates)
     weight = {t: math.log((support[t] + 0.5) / (len(toxic) + 1)) - math.log((against[t] + 0.5) / (len(clean) + 1)) for t in candidates}
-    strong = {t for t in candidates if weight[t] >= min_weight and support[t] >= 20 * against[t] * len(toxic) / len(clean)}
+    strong = {t for t in candidates if weight[t] >= min_weight}
     # Of a beginning and a longer entry that holds nearly all its support, the longer one says more.
     longer = Counter({t: 0 for t in strong})
     for t in strong:
@@ -177,19 +185,29 @@ def learn(sample: Iterator[tuple[str | None, int]], min_weight: float = MIN_WEIG
             where.setdefault(t, []).append(n)
     times = [0] * len(held)
     entries: dict[str, float] = {}
-    while where:
-        gain = {t: sum(times[n] < cover for n in ns) for t, ns in where.items()}
-        best = max(gain, key=lambda t: (gain[t], weight[t], t))
-        if gain[best] < least:
-            break
-        entries[best] = round(weight[best], 6)
-        for n in where.pop(best):
-            times[n] += 1
+    for floor, times_needed, worth in ((sure_weight, cover, least), (min_weight, 2, max(least, math.ceil(0.03 * len(toxic))))):
+        left = {t: ns for t, ns in where.items() if weight[t] >= floor and t not in entries}
+        while left:
+            gain = {t: sum(times[n] < times_needed for n in ns) for t, ns in left.items()}
+            best = max(gain, key=lambda t: (gain[t] * weight[t], t))
+            if gain[best] < worth:
+                break
+            entries[best] = round(weight[best], 6)
+            for n in left.pop(best):
+                times[n] += 1
+    sure = max(least, math.ceil(SURE_SHARE * len(toxic)))
+    entries |= {t: round(weight[t], 6) for t in where if t not in entries and weight[t] >= sure_weight and support[t] >= sure}
     lexicon = Lexicon(entries)
     lexicon.exceptions = _exceptions(lexicon, toxic, clean)
     machine = lexicon.matcher()
-    rows = [(lexicon.strength(w, machine), 1) for w in toxic] + [(lexicon.strength(w, machine), 0) for w in clean]
-    lexicon.slope, lexicon.middle = _curve(rows)
+    sums = [(sum(lexicon.matches(w, machine).values()), len(w), y) for y, group in ((1, toxic), (0, clean)) for w in group]
+    best = None
+    for power in POWERS:
+        lexicon.power = power
+        curve = _curve([(lexicon.normalised(total, n), y) for total, n, y in sums])
+        if best is None or curve[2] > best[0]:
+            best = curve[2], power, curve
+    _, lexicon.power, (lexicon.slope, lexicon.middle, _) = best
     return lexicon
 
 
@@ -219,18 +237,21 @@ def _exceptions(lexicon: Lexicon, toxic: list[list[str]], clean: list[list[str]]
     return tuple(sorted(often))
 
 
-def _curve(rows: list[tuple[float, int]]) -> tuple[float, float]:
-    """The cut that divides best with classes weighted equally, halfway between the strengths at
-    its sides; the slope puts the nearest strengths at odds of 20."""
-    values = sorted({s for s, _ in rows})
+def _curve(rows: list[tuple[float, int]]) -> tuple[float, float, float]:
+    """(slope, middle, quality): the cut that errs least, classes weighted by the square roots of
+    their sizes, halfway between the strengths at its sides; the score there is 0.7, and moves by
+    odds of 20 over a tenth of the cut."""
+    values = np.array(sorted({s for s, _ in rows}))
     pos = np.sort([s for s, y in rows if y])
     neg = np.sort([s for s, y in rows if not y])
     if len(values) < 2:
-        return 1.0, values[0] + 1.0
-    cuts = [(a + b) / 2 for a, b in zip(values[:-1], values[1:], strict=True)]
-    quality = [np.searchsorted(neg, c) / len(neg) - np.searchsorted(pos, c) / len(pos) for c in cuts]
-    best = int(np.argmax(quality))
-    return math.log(20) * 2 / max(values[best + 1] - values[best], 1e-6), cuts[best]
+        return 1.0, float(values[0]) + 1.0, 0.0
+    cuts = (values[:-1] + values[1:]) / 2
+    missed = np.searchsorted(pos, cuts) / math.sqrt(len(pos))
+    wrong = (len(neg) - np.searchsorted(neg, cuts)) / math.sqrt(len(neg))
+    best = int(np.argmin(missed + wrong))
+    slope = math.log(20) / (0.1 * cuts[best])
+    return slope, float(cuts[best] - math.log(0.7 / 0.3) / slope), -float(missed[best] + wrong[best])
 
 
 def fit(documents: DataFrame, labels: DataFrame, train: Column | None = None, max_rows: int = MAX_ROWS) -> Lexicon:
@@ -252,8 +273,7 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
                 for text in batch.column(1).to_pylist():
                     words = fold(text)
                     found = lexicon.matches(words, machine)
-                    strength = sum(found.values()) / (1 + math.log1p(len(words) / 200)) if found else 0.0
-                    scores.append(lexicon.score(strength))
+                    scores.append(lexicon.score(lexicon.normalised(sum(found.values()), len(words))))
                     joined = " ".join(words) if found else ""
                     matches.append([joined[p:].split(" ", 1)[0] for p in sorted(found)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(matches, pa.list_(pa.string()))], names=["doc_id", "score", "matches"])
