@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -105,3 +105,18 @@ def filter_rows(docs: DataFrame, start, text_col: str = "text") -> DataFrame:
                 yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``rank``, gapless from 0 in the order of ``order``: rows are dealt by ranges, sorted
+    within them and staged; a running sum over the partitions' sizes (one row each) does the rest."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    placed = stage(placed, "ranked")
+    part = F.shiftright("place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    out = placed.withColumn("part", part).join(F.broadcast(offsets), "part")
+    out = out.withColumn("rank", F.col("offset") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "offset", "place")
+    out._staged_at = placed._staged_at
+    return out

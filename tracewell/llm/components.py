@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import stage, unstage
 
 
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Each row's smallest reachable row, for links between rows 0 to n-1 of one block."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, left, label[right])
+        np.minimum.at(label, right, label[left])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 

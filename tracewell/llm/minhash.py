@@ -11,11 +11,11 @@ Flow, every step linear in what it reads:
 
 1. documents -> (digest of the whole set, band keys), one pass; equal sets become one class;
 2. band keys shared by two classes or more make buckets.  A bucket never emits its pairs:
-   each member is paired with the bucket's smallest member only;
+   each member is paired with one centre only, the member that shares most with others;
 3. pairs are verified on full sets (100 * intersection >= 75 * union), then grouped;
-4. buckets whose members are still in several groups are taken up again, the pairs across groups
-   that were not tried yet being verified in full, until no such pair is left.  So no
-   link between candidates is lost, and pairs within a group are never enumerated;
+4. buckets whose members are still in several groups are taken up again: small ones list their
+   pairs across groups, crowded ones are compared in blocks.  So no link between candidates is
+   lost, and pairs within a group are never listed;
 5. groups are mapped back to documents.
 
 128 values in 32 bands of 4 miss a pair of similarity 0.75 with probability 6e-6.
@@ -36,13 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BROADCAST_ROWS, drop_ids, slices, small, stage, unstage
-from tracewell.llm.components import components
+from tracewell.llm.common import drop_ids, ranked, slices, small, stage, unstage
+from tracewell.llm.components import components, forest
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 PERCENT = 75
+#: Buckets of at most so many open members list their pairs; larger ones are compared in blocks.
+FEW = 16
+BLOCK = 512
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _VOCABULARY = 300_000
 
@@ -176,6 +179,68 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def verify_blocks(rest: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) that unite the groups ``g`` of ``rest`` (key, node, g, centre) wherever two sets of a crowded
+    bucket are similar enough.
+
+    Overlapping buckets form crowds.  A crowd's nodes are ranked and cut into blocks, and each pair of
+    blocks is one bounded task that counts intersections as a product of incidence matrices; so a crowd of m
+    nodes moves m * m / BLOCK rows and emits a spanning forest, never its pairs.
+    """
+    crowds = components(rest.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    nodes = rest.select("node", "g").distinct().join(crowds.withColumnRenamed("component", "crowd"), "node")
+    placed = ranked(nodes, ["crowd", "g", "node"]).withColumn("at", F.floor(F.col("rank") / BLOCK))
+    ends = placed.groupBy("crowd").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    facing = placed.join(ends, "crowd").select(
+        "node", "g", "crowd", "at", F.explode(F.sequence("first", "last")).alias("with")
+    )
+    facing = facing.select("node", "g", "crowd", "at", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"))
+    facing = facing.join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, g, crowd, at = (table[c].to_numpy() for c in ("node", "g", "crowd", "at"))
+        j = int(table["j"][0].as_py())
+        two = np.flatnonzero(at == j)
+        one = np.flatnonzero(at != j) if (at != j).any() else two
+        column = table["elements"].combine_chunks()
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        size = np.diff(offsets)
+        shared = intersections([values[offsets[r] : offsets[r + 1]] for r in one], [values[offsets[r] : offsets[r + 1]] for r in two])
+        union = size[one][:, None] + size[two][None, :] - shared
+        near = (100 * shared >= percent * union) & (crowd[one][:, None] == crowd[two][None, :]) & (g[one][:, None] != g[two][None, :])
+        left, right = np.nonzero(near)
+        root = forest(len(node), one[left], two[right])
+        linked = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": node[root[linked]], "b": node[linked]})
+
+    return facing.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``one`` with all of ``two``, some columns of the incidence matrices at a time."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    flat = [np.concatenate(s) if s else np.zeros(0, np.int64) for s in (one, two)]
+    owner = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (one, two)]
+    both = np.intersect1d(flat[0], flat[1])
+    if not len(both):
+        return out.astype(np.int64)
+    cells = []
+    for values, rows in zip(flat, owner, strict=True):
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        hit = both[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((at[hit][order], rows[hit][order]))
+    for a in range(0, len(both), width):
+        dense = []
+        for (at, rows), n in zip(cells, (len(one), len(two)), strict=True):
+            lo, hi = np.searchsorted(at, [a, a + width])
+            m = np.zeros((n, width), np.float32)
+            m[rows[lo:hi], at[lo:hi] - a] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return np.rint(out).astype(np.int64)
+
+
 def _as_long(percent: int, n: str, m: str):
     """Sizes alone rule out a pair whose smaller set is under ``percent`` of the larger."""
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -189,10 +254,17 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         "classes",
     )
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("centre")).where("members > 1")
-    members = stage(keyed.join(buckets.select("key", "members", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "key"), "members")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stage(keyed.join(sizes, "key"), "shared")
+    # An original shares more and larger buckets than its copies share with one another.
+    scored = shared.join(shared.groupBy("node").agg(F.sum("members").alias("score")), "node")
+    members = stage(scored, "members")
+    unstage(shared)
+    centres = members.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("c"))
+    members = members.join(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "key")
+    members = stage(members.drop("score"), "starred")
     pairs = members.where(F.col("node") != F.col("centre")).where(_as_long(percent, "n", "centre_n"))
-    pairs = stage(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = stage(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
 
     touched = members.select("node").distinct()
     wanted = classes.select("node", "doc_id").join(touched, "node").where("doc_id IS NOT NULL")
@@ -202,12 +274,14 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # Pairs across groups within a bucket of three or more; the centre's own pairs are done.
     rest = members.where("members > 2").join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    open_keys = rest.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
-    rest = stage(rest.join(open_keys, "key").where(F.col("node") != F.col("centre")).select("key", "node", "n", "g"), "rest")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
-    across = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("g") != F.col("h"))).where(_as_long(percent, "n", "m"))
+    open_keys = rest.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count(F.lit(1)).alias("left")).where("g0 != g1")
+    rest = stage(rest.join(open_keys.select("key", "left"), "key").where(F.col("node") != F.col("centre")).select("key", "node", "n", "g", "centre", "left"), "rest")
+    few = rest.where(F.col("left") <= FEW)
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
+    across = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("g") != F.col("h"))).where(_as_long(percent, "n", "m"))
     across = across.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stage(verify(across, sets, percent), "links")
+    more = verify(across, sets, percent).union(verify_blocks(rest.where(F.col("left") > FEW), sets, percent))
+    more = stage(more, "links")
     if more.limit(1).count():
         unstage(groups)
         groups = components(links.union(more))
@@ -228,4 +302,4 @@ def deduplicate(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return drop_ids(documents, stage(link(documents, percent).where("NOT kept").select("doc_id"), "dropped"))
 
 
-__all__ = ["BROADCAST_ROWS", "Shingler", "band_keys", "deduplicate", "link", "signature", "sketch"]
+__all__ = ["Shingler", "band_keys", "deduplicate", "link", "signature", "sketch"]

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import stage, unstage
-from tracewell.llm.components import components
+from tracewell.llm.common import ranked, stage, unstage
+from tracewell.llm.components import components, forest
 
 PASSES = 12
 HASHES = 16
@@ -63,33 +63,14 @@ def near_pairs(x: np.ndarray, own: int, window: int, least: float) -> tuple[np.n
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Each row's smallest reachable row."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, left, label[right])
-        np.minimum.at(label, right, label[left])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def blocks(rows: DataFrame, order: list[str], block: int, window: int) -> DataFrame:
     """``rows`` with ``block``, ``rank`` and ``context``: every row in its own block, and the first
     ``window`` rows of a block also in the one before, as context."""
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    ordered = stage(ordered, "ordered")
-    part = F.shiftright("place", 33)
-    sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row per partition
-    ranked = ordered.withColumn("part", part).join(F.broadcast(offsets), "part")
-    ranked = ranked.withColumn("rank", F.col("offset") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "offset", "place")
+    ordered = ranked(rows, order)
     at = F.floor(F.col("rank") / block)
     # window <= block, so a row is context of at most one block
     copies = F.when((F.col("rank") % block < window) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
-    out = ranked.select("*", F.explode(copies).alias("block"))
+    out = ordered.select("*", F.explode(copies).alias("block"))
     out = out.withColumn("context", F.col("block") != at)
     out._staged_at = ordered._staged_at
     return out
