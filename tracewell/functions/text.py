@@ -91,10 +91,15 @@ def words_of_identifier(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(spaced, r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
 
 
-def shingle_hashes(text: Column, width: int = 6) -> Column:
-    """crc32 of each run of ``width`` lower-cased words."""
-    w = F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: x != "")
+def plain_words(text: Column) -> Column:
+    """Runs of letters a-z and digits of the lower-cased text."""
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: x != "")
+
+
+def shingle_hashes(words: str, width: int = 6) -> Column:
+    """crc32 of each run of ``width`` words.  ``words`` must be a column of its own: an expression would be
+    evaluated anew for every shingle."""
     return F.when(
-        F.size(w) >= width,
-        F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.crc32(F.array_join(F.slice(w, i, width), " ").cast("binary"))),
+        F.size(words) >= width,
+        F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.crc32(F.array_join(F.slice(words, i, width), " ").cast("binary"))),
     ).otherwise(F.array().cast("array<bigint>"))
