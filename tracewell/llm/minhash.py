@@ -47,7 +47,7 @@ PERCENT = 75
 FEW = 16
 BLOCK = 512
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_VOCABULARY = 300_000
+_VOCABULARY = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -180,15 +180,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def verify_blocks(rest: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) that unite the groups ``g`` of ``rest`` (key, node, g, centre) wherever two sets of a crowded
+    """(a, b) that unite the groups ``g`` of ``rest`` (key, node, g, centre_g) wherever two sets of a crowded
     bucket are similar enough.
 
     Overlapping buckets form crowds.  A crowd's nodes are ranked and cut into blocks, and each pair of
     blocks is one bounded task that counts intersections as a product of incidence matrices; so a crowd of m
     nodes moves m * m / BLOCK rows and emits a spanning forest, never its pairs.
     """
-    crowds = components(rest.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    nodes = rest.select("node", "g").distinct().join(crowds.withColumnRenamed("component", "crowd"), "node")
+    # Groups, not nodes, are joined to crowds: a group's members need no comparison with one another.
+    meets = stage(rest.where("g <> centre_g").select(F.col("g").alias("a"), F.col("centre_g").alias("b")).distinct(), "meets")
+    crowds = components(meets).select(F.col("node").alias("g"), F.col("component").alias("crowd"))
+    nodes = rest.select("node", "g").distinct().join(crowds, "g", "left").withColumn("crowd", F.coalesce("crowd", "g"))
     placed = ranked(nodes, ["crowd", "g", "node"]).withColumn("at", F.floor(F.col("rank") / BLOCK))
     ends = placed.groupBy("crowd").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     facing = placed.join(ends, "crowd").select(
@@ -275,7 +277,9 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Pairs across groups within a bucket of three or more; the centre's own pairs are done.
     rest = members.where("members > 2").join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
     open_keys = rest.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count(F.lit(1)).alias("left")).where("g0 != g1")
-    rest = stage(rest.join(open_keys.select("key", "left"), "key").where(F.col("node") != F.col("centre")).select("key", "node", "n", "g", "centre", "left"), "rest")
+    of_centre = rest.where(F.col("node") == F.col("centre")).select("key", F.col("g").alias("centre_g"))
+    rest = rest.where(F.col("node") != F.col("centre")).join(open_keys.select("key", "left").join(of_centre, "key"), "key")
+    rest = stage(rest.select("key", "node", "n", "g", "centre_g", "left"), "rest")
     few = rest.where(F.col("left") <= FEW)
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
     across = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("g") != F.col("h"))).where(_as_long(percent, "n", "m"))

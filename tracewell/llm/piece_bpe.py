@@ -31,8 +31,8 @@ from tracewell.llm.common import slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-_WORDS = 400_000
-_PAIRS = 400_000
+_WORDS = 200_000
+_PAIRS = 150_000
 _BORDER = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
