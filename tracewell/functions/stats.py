@@ -18,7 +18,8 @@ def wilson(x: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     d = 1 + F.lit(z * z) / n
     centre = (p + F.lit(z * z) / (2 * n)) / d
     half = F.lit(z) * F.sqrt(p * (1 - p) / n + F.lit(z * z) / (4 * n * n)) / d
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    known = lambda bound: F.when(n.isNotNull(), bound)  # noqa: E731  greatest and least pass over nulls
+    return known(F.greatest(F.lit(0.0), centre - half)), known(F.least(F.lit(1.0), centre + half))
 
 
 def count_band(total: Column, squares: Column, k: Column, z: float = Z95) -> tuple[Column, Column, Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Magnitudes that tell seconds from milliseconds and milliseconds from microseconds.
 MS_FROM, US_FROM = 1e11, 1e14
-RFC2822 = "EEE, d MMM yyyy HH:mm:ss Z"
+RFC2822 = "d MMM yyyy HH:mm:ss Z"  # after the weekday
 
 
 def millis(ts: str | Column = "ts") -> Column:
@@ -31,7 +31,7 @@ def parse(value: Column, how: str = "auto") -> Column:
     iso = text.try_cast("timestamp").cast("timestamp_ntz")
     if how == "iso":
         return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), iso)
-    rfc = F.try_to_timestamp(F.regexp_replace(text, r"\s*\([^)]*\)$", ""), F.lit(RFC2822)).cast("timestamp_ntz")
+    rfc = F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3},\s*|\s*\([^)]*\)$", ""), F.lit(RFC2822)).cast("timestamp_ntz")
     if how == "rfc2822":
         return rfc
     if how != "auto":
