@@ -58,7 +58,8 @@ def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     if version is None:
         return {}
     fs, where = _fs(spark, version)
-    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(where) if s.isDirectory()}
+    held = lambda path: any(s.getPath().getName().startswith("source=") for s in fs.listStatus(path))  # noqa: E731  empty tables leave none
+    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(where) if s.isDirectory() and held(s.getPath())}
 
 
 def duplicate_keys(df: DataFrame, key: str, top: int = 5) -> DataFrame:

@@ -53,7 +53,7 @@ def _field(df: DataFrame, spec: Any, found: dict[str, DataFrame], joins: list[tu
         return F.lit(spec["const"])
     out = path_column(df, spec["path"])
     if "split" in spec:
-        out = F.filter(F.transform(F.split(out.cast("string"), spec["split"]), F.trim), lambda x: x != "")
+        out = F.filter(F.transform(F.split(out.cast("string"), spec["split"]), lambda x: F.trim(x)), lambda x: x != "")
     if "lookup" in spec:
         table = reduce(DataFrame.unionByName, matching(found, spec["lookup"]["from"]).values())
         name = f"_lookup{len(joins)}"
