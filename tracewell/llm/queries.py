@@ -84,7 +84,43 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _draw(children: str, weight: str, name: str) -> str:
+    """The child (a list's element ``i``) with the shortest straw for ``key``."""
+    u = f"((('0x' || substr(md5(key || '/{name}' || i), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+    return f"list_sort(list_transform({children}, lambda i: {{'straw': -ln({u}) / ({weight}), 'i': i}}))[1].i"
+
+
 ORACLE_SQL = {
+    "op1_sharding": f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, coalesce(strlen(text), 0) + 16 AS size,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+k AS (SELECT doc_id, key, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+             ('0x' || substr(md5('slot/' || key), 1, 8))::BIGINT % 1024 AS bucket FROM d, crc),
+r AS (SELECT *, {_draw("range(4)", "10.0", "region")} AS region, {_draw("range(5)", "CASE WHEN i < 4 THEN 10.0 ELSE 1.0 END", "region")} AS grown FROM k),
+a AS (SELECT *, {_draw("[2 * region, 2 * region + 1]", "5.0", "rack")} AS rack FROM r),
+s AS (SELECT *, {_draw("range(5 * rack, 5 * rack + 5)", "1.0", "shard")} AS shard FROM a)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, CASE WHEN grown = 4 THEN 40 ELSE shard END::INTEGER AS grown_shard FROM s""",
+    "op3_minhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id""",
+    "op8_vector_dedup": """
+WITH RECURSIVE l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id
+                     WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.98),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON a = vec_id""",
     "op2_url_rules": """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
