@@ -73,6 +73,18 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(maybe_broadcast(ids.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 long texts would cost each task tens of megabytes, several times.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering its session's Arrow batches to BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def slices(batch, column: int = 1, max_bytes: int = 4 << 20, max_rows: int = 2000):
     """``batch`` cut into runs of rows whose texts hold about ``max_bytes``; a longer text stands alone."""
     import numpy as np
@@ -104,7 +116,7 @@ def filter_rows(docs: DataFrame, start, text_col: str = "text") -> DataFrame:
             for batch in slices(whole, at):
                 yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import samples
 from tracewell.llm.common import fold as id_fold
-from tracewell.llm.common import filter_rows, slices
+from tracewell.llm.common import filter_rows, slices, small_batches
 
 SIZES = (3, 5)
 HASHES = 2
@@ -159,7 +159,7 @@ def identify(documents: DataFrame, filters: Filters) -> DataFrame:
                     names=["doc_id", "lang_pred", "score"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
 
 
 def keep(documents: DataFrame, filters: Filters, margin: float = 1.1) -> DataFrame:

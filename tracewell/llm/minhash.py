@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import drop_ids, ranked, slices, small, stage, unstage
+from tracewell.llm.common import drop_ids, ranked, slices, small, small_batches, stage, unstage
 from tracewell.llm.components import components, forest
 
 WIDTH = 5
@@ -147,7 +147,7 @@ def sketch(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     names=[id_col, "n_shingles", "node", "keys"],
                 )
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles bigint, node bigint, keys array<bigint>")
+    return small_batches(documents).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles bigint, node bigint, keys array<bigint>")
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     rows = documents.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
     # An id may carry other texts too, or the same text twice; only the node's own set counts, once.
-    return rows.mapInArrow(run, "node bigint, is_node bigint, elements array<bigint>").where("node = is_node").drop("is_node").dropDuplicates(["node"])
+    return small_batches(rows).mapInArrow(run, "node bigint, is_node bigint, elements array<bigint>").where("node = is_node").drop("is_node").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

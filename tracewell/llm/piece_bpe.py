@@ -8,8 +8,9 @@ keep it if it is compatible with the token before it (found by re-merging the tw
 remembered), else try the next shorter one; where none is left, note the position as failed
 and go back.  Each position fails at most once, so the search is linear in the text.
 
-No piece holds a space mark after another character, hence no merge crosses from a word to
-the next word's space mark: texts are cut there, and words' ids are remembered in a bounded table.
+Where no piece holds two neighbouring characters side by side, no merge joins them.  So texts are cut
+between words (no piece holds a space mark after another character), words within at such places,
+mostly before punctuation, and the parts' ids are remembered in bounded tables.
 
 Defined results: a null text encodes as the empty one, to no ids; texts are encoded whole
 at any length; repeated rows encode alike; an empty table gives an empty table; other
@@ -18,8 +19,10 @@ columns are ignored.  Characters outside the vocabulary become UTF-8 byte pieces
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import slices, small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-_WORDS = 200_000
+_WORDS = 250_000
 _PAIRS = 150_000
+_NONE = (1 << 21) - 1
 _BORDER = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -92,13 +96,17 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("pieces that cross words are not supported")
         self.matcher = ahocorasick.Automaton()
-        for piece in self.id:
-            self.matcher.add_word(piece, piece)
+        for piece, i in self.id.items():
+            self.matcher.add_word(piece, (len(piece) - 1, i))
         self.matcher.make_automaton()
-        self.prefix = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), "") for p in self.id}
+        self.size = [len(p) for p in self.pieces]
+        #: By piece, the longest piece that it begins with; -1 if there is none.
+        self.prefix = [next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), -1) for p in self.pieces]
+        self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _add(self, fields: dict) -> None:
         piece, kind = fields[1].decode(), fields.get(3, NORMAL)
@@ -135,63 +143,99 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging ``left + right`` (``left`` may be empty) yields the two again."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(left + right) == ([left, right] if left else [right])
+    def text_of(self, token: int) -> str:
+        """A token is a piece's id, or the number of pieces plus the code of a character outside the vocabulary."""
+        return "" if token == _NONE else self.pieces[token] if token < len(self.pieces) else chr(token - len(self.pieces))
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the two (``left`` may be _NONE) yields the two again."""
+        if len(self.pairs) >= _PAIRS:
+            self.pairs.clear()
+        a, b = self.text_of(left), self.text_of(right)
+        found = self.pairs[left << 21 | right] = self.merge(a + b) == ([a, b] if a else [b])
         return found
 
-    def tokens(self, text: str) -> list[str]:
-        """``text`` (escaped) as tokens: pieces, or characters outside the vocabulary."""
+    def tokens(self, text: str) -> list[int]:
+        """``text`` (escaped) as tokens."""
         n = len(text)
-        longest = [""] * n
-        for end, piece in self.matcher.iter(text):
-            longest[end + 1 - len(piece)] = piece  # ends ascend, so the last is the longest
-        failed = bytearray(n // 8 + 1)  # one bit per position
-        out: list[str] = []
-        pos = 0
-        token = longest[0] or text[0] if n else ""
-        while pos < n:
-            end = pos + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(out[-1] if out else "", token):
+        if not n:
+            return []
+        longest = [-1] * n
+        for end, (back, i) in self.matcher.iter(text):
+            longest[end - back] = i  # ends ascend, so the last is the longest
+        size, prefix, get, outside = self.size, self.prefix, self.pairs.get, len(self.pieces)
+        failed: bytearray | None = None  # one bit per position, once there is one
+        out: list[int] = []
+        pos, last = 0, _NONE
+        token = longest[0]
+        if token < 0:
+            token = outside + ord(text[0])
+        while True:
+            end = pos + (size[token] if token < outside else 1)
+            ok = get(last << 21 | token)
+            if ok is None:
+                ok = self.compatible(last, token)
+            if ok and (failed is None or not failed[end >> 3] >> (end & 7) & 1):
                 out.append(token)
-                pos = end
-                if pos < n:
-                    token = longest[pos] or text[pos]
+                if end >= n:
+                    return out
+                pos, last = end, token
+                token = longest[pos]
+                if token < 0:
+                    token = outside + ord(text[pos])
                 continue
-            shorter = self.prefix.get(token, "") or (token[0] if len(token) > 1 else "")
-            while not shorter:
+            shorter = self._shorter(token)
+            while shorter < 0:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError(f"no sequence of compatible tokens: {text[:80]!r}")
                 token = out.pop()
-                pos -= len(token)
-                shorter = self.prefix.get(token, "") or (token[0] if len(token) > 1 else "")
+                pos -= size[token] if token < outside else 1
+                last = out[-1] if out else _NONE
+                shorter = self._shorter(token)
             token = shorter
-        return out
 
-    def _ids(self, text: str) -> list[int]:
+    def _shorter(self, token: int) -> int:
+        if token >= len(self.pieces):
+            return -1
+        if self.prefix[token] >= 0 or self.size[token] == 1:
+            return self.prefix[token]
+        return len(self.pieces) + ord(self.pieces[token][0])
+
+    def _part(self, part: str) -> bytes:
+        """Ids of ``part`` as little-endian 32-bit integers."""
         ids: list[int] = []
-        for token in self.tokens(text):
-            i = self.id.get(token)
-            if i is None:
-                ids += [self.byte_id[b] for b in token.encode()]
+        for token in self.tokens(part):
+            if token < len(self.pieces):
+                ids.append(token)
             else:
-                ids.append(i)
-        return ids
+                ids += [self.byte_id[b] for b in chr(token - len(self.pieces)).encode()]
+        return array("i", ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of space mark plus ``word`` as little-endian 32-bit integers."""
+        """Ids of space mark plus ``word``.  Parts used since the tables last turned come back from the older one;
+        in them a word's first part stands without its mark, and others with a space before them."""
         if len(self.words) >= _WORDS:
-            self.words.clear()
-        found = np.array(self._ids(SPACE + word), "<i4").tobytes()
+            self.words, self.older = {}, self.words
+        text, joined = SPACE + word, self.joined
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
+        found = []
+        for a, b in itertools.pairwise([0, *cuts, len(text)]):
+            key = f" {text[a:b]}" if a else text[1:b]
+            got = self.words.get(key)
+            if got is None:
+                got = self.older.get(key)
+                if got is None:
+                    got = self._part(text[a:b])
+                if b - a <= 64:
+                    self.words[key] = got
+            found.append(got)
+        out = found[0] if len(found) == 1 else b"".join(found)
         if len(word) <= 64:
-            self.words[word] = found
-        return found
+            self.words[word] = out
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -275,4 +319,4 @@ def encode(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_c
                     columns.append(pa.array([m.decode(x.tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>" + ", decoded string" * decoded)
+    return small_batches(documents).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>" + ", decoded string" * decoded)

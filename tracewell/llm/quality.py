@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import samples
 from tracewell.llm.common import fold as id_fold
-from tracewell.llm.common import slices
+from tracewell.llm.common import slices, small_batches
 
 STRIDE, TAPS = 4, 3  # a filter spans STRIDE * TAPS bytes
 HALF = 32  # positions per half chunk: 128 bytes
@@ -200,7 +200,7 @@ def score(documents: DataFrame, network: Network) -> DataFrame:
                 scores = [network.score((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
 
 
 def predicted(cut: float = 0.3) -> Column:

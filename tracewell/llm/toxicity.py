@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import samples
 from tracewell.llm.common import fold as id_fold
-from tracewell.llm.common import filter_rows, slices
+from tracewell.llm.common import filter_rows, slices, small_batches
 
 #: Letters of other scripts, by the Latin letter they look like.
 LOOKALIKES = {
@@ -278,7 +278,7 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
                     matches.append([joined[p:].split(" ", 1)[0] for p in sorted(found)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(matches, pa.list_(pa.string()))], names=["doc_id", "score", "matches"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, matches array<string>")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, matches array<string>")
 
 
 def predicted(cut: float = 0.7) -> Column:
