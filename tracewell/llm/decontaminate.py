@@ -30,8 +30,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from tracewell.llm.common import drop_ids, slices, stage
+from tracewell.llm.common import drop_ids, slices, small_batches, stage
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -155,8 +157,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Block(ids, items)
 
 
-def _scan(documents: DataFrame, block: Block, id_type: str, item_type: str) -> DataFrame:
+def _scan(documents: DataFrame, block: Block, id_type: str, item_type: DataType) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(block)
+    item_arrow = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -188,7 +191,7 @@ def _scan(documents: DataFrame, block: Block, id_type: str, item_type: str) -> D
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(out[0], batch.column(0).type),
-                        pa.array(out[1]) if out[1] else pa.array([], pa.int64()),
+                        pa.array(out[1], item_arrow),
                         pa.array(out[2], pa.int32()),
                         pa.array(out[3], pa.int32()),
                         pa.array(out[4], pa.float64()),
@@ -197,16 +200,16 @@ def _scan(documents: DataFrame, block: Block, id_type: str, item_type: str) -> D
                     names=["doc_id", "item_id", "n_words", "n_covered", "coverage", "tiles"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(
+    return small_batches(documents).select("doc_id", "text").mapInArrow(
         run,
-        f"doc_id {id_type}, item_id {item_type}, n_words int, n_covered int, coverage double, tiles array<struct<item_at: int, doc_at: int, length: int>>",
+        f"doc_id {id_type}, item_id {item_type.simpleString()}, n_words int, n_covered int, coverage double, tiles array<struct<item_at: int, doc_at: int, length: int>>",
     )
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_covered, coverage, tiles) of every pair that shares a seed."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    item_type = benchmark.schema["item_id"].dataType
     out = None
     for block in blocks(benchmark):
         part = _scan(documents, block, id_type, item_type)
