@@ -13,6 +13,7 @@ folder; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import slices, small_batches
 
 WRITE_OPTIONS = {
     "compression": "zstd",
@@ -34,10 +35,20 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary#ids.list.element": "true",
     "parquet.dictionary.page.size": str(1 << 20),
 }
-_CHUNKS = 400_000
+_CHUNKS = 250_000
+_AT_ONCE = 4000
 #: A space between two characters that are not white space always starts a pre-token, so
 #: what stands on either side is encoded alike alone and in its text.
 _BORDER = re.compile(r" (?<=\S )(?=\S)")
+#: White space other than the space and the line feed.
+_RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def cut(text: str) -> list[str]:
+    """``text`` at the spaces between two characters that are not white space, which are left out."""
+    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(map(text.__contains__, _RARE_SPACE)):
+        return _BORDER.split(text)
+    return text.split(" ")
 
 
 class ChunkEncoder:
@@ -56,31 +67,40 @@ class ChunkEncoder:
         for token, i in vocab.items():  # one character stands for one byte
             self.lengths[i] = len(token)
         self.rest: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks that follow a space, encoded as one text and cut where each ends."""
-        if not chunks:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + c for c in chunks])], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.cumsum([1 + len(c.encode()) for c in chunks])
-        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        raw, at = ids.tobytes(), 0
-        for chunk, to in zip(chunks, (4 * cuts).tolist(), strict=True):
-            self.rest[chunk] = raw[at:to]
-            at = to
+        """Chunks that follow a space, encoded as texts of bounded size and cut where each ends."""
+        texts = [chunks[a : a + _AT_ONCE] for a in range(0, len(chunks), _AT_ONCE)]
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(t) for t in texts], add_special_tokens=False)
+        for part, e in zip(texts, encoded, strict=True):
+            ids = np.array(e.ids, np.int32)
+            sizes = np.fromiter([len(c) if c.isascii() else len(c.encode()) for c in part], np.int64, len(part))
+            cuts = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes + 1)) + 1)
+            raw = ids.tobytes()
+            self.rest.update(zip(part, [raw[a:b] for a, b in itertools.pairwise([0, *cuts.tolist()])], strict=True))
 
     def encode_batch(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
-        split = [_BORDER.split(t) if t else [] for t in texts]
-        if len(self.rest) > _CHUNKS:
-            self.rest.clear()
-        self._learn([c for c in dict.fromkeys(c for s in split for c in s[1:]) if c not in self.rest])
-        firsts = iter(self.tokenizer.encode_batch_fast([s[0] for s in split if s], add_special_tokens=False))
+        if len(self.rest) > _CHUNKS:  # chunks used since the last turn come back from the older table
+            self.rest, self.older = {}, self.rest
+        heads, split, found, lacking = [], [], [], set()
+        for text in texts:
+            chunks = cut(text) if text else [""]
+            heads.append(chunks[0])
+            del chunks[0]
+            got = list(map(self.rest.get, chunks))
+            if None in got:
+                lacking.update([c for c, v in zip(chunks, got, strict=True) if v is None])
+                split.append((len(found), chunks))
+            found.append(got)
+        known = lacking & self.older.keys()
+        self.rest.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self._learn(list(lacking - known))
+        for n, chunks in split:
+            found[n] = map(self.rest.__getitem__, chunks)
         end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
-        rest = self.rest
-        return [
-            np.frombuffer((np.array(next(firsts).ids, np.int32).tobytes() + b"".join([rest[c] for c in s[1:]]) if s else b"") + end, np.int32)
-            for s in split
-        ]
+        firsts = [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        return [np.frombuffer(b"".join([head, *got, end]), np.int32) for head, got in zip(firsts, found, strict=True)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -102,7 +122,7 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, end_id: int | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, max_bytes=1 << 20):
                 ids = encoder.encode_batch(batch.column(1).to_pylist(), end_id)
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -111,7 +131,7 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, end_id: int | No
                     names=["doc_id", "n_tokens", "ids"],
                 )
 
-    out = rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids array<int>")
+    out = small_batches(rows).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids array<int>")
     out.write.options(**WRITE_OPTIONS).parquet(path)
 
 
@@ -151,4 +171,4 @@ def digests(rows: DataFrame) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_crc32", "file", "at"],
             )
 
-    return rows.select("doc_id", "ids", "file", "at").mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids_crc32 bigint, file string, at bigint")
+    return small_batches(rows).select("doc_id", "ids", "file", "at").mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids_crc32 bigint, file string, at bigint")
