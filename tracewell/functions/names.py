@@ -41,10 +41,10 @@ def mentions(text: Column, aliases: dict[str, str]) -> Column:
 def active_mentions(messages: DataFrame, weak: DataFrame, before_days: int = 2, after_days: int = 14, text: str = "content") -> DataFrame:
     """(evidence_id, alias, agent_id): weak aliases resolve only where exactly one of their bearers is active.
 
-    ``weak`` is (alias, agent_id, first_ts, last_ts).  Aliases are few and broadcast.
+    ``weak`` is (alias, agent_id, first_ts, last_ts).
     """
     words = messages.select("evidence_id", "ts", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("alias"))
     lo = F.col("first_ts") - F.expr(f"interval {before_days} days")
     hi = F.col("last_ts") + F.expr(f"interval {after_days} days")
-    near = words.join(F.broadcast(weak), "alias").where((F.col("ts") >= lo) & (F.col("ts") <= hi))
+    near = words.join(weak, "alias").where((F.col("ts") >= lo) & (F.col("ts") <= hi))
     return near.groupBy("evidence_id", "alias").agg(F.count(F.lit(1)).alias("n"), F.min("agent_id").alias("agent_id")).where("n = 1").drop("n")

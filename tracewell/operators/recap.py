@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.time import millis
 from tracewell.functions.stats import js_part, log_odds
 from tracewell.functions.text import COINED, STOPWORDS, terms, tokens
-from tracewell.operators.joins import earliest, first_ids, gap_runs
+from tracewell.operators.joins import earliest, first_ids, gap_runs, within_intervals
 from tracewell.operators.timeline import active_grid
 
 #: Fixed values of the analyses.
@@ -40,8 +40,8 @@ def period_segments(periods: DataFrame, last_ts) -> DataFrame:
 
 
 def in_segments(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """Records with the segment that holds them.  Segments are few and disjoint: a broadcast range join."""
-    return records.join(F.broadcast(segments.select("seg", "s0", "s1")), (F.col("ts") >= F.col("s0")) & (F.col("ts") < F.col("s1"))).drop("s0", "s1")
+    """Records with the segment that holds them: a range join, by broadcast if the segments are checked to be few."""
+    return within_intervals(records, segments.select("seg", "s0", "s1"), "s0", "s1").drop("s0", "s1")
 
 
 def rising_terms(placed: DataFrame, agents: DataFrame, text: str = "content", top: int = 10, min_messages: int = MIN_TERM_MESSAGES, min_authors: int = MIN_TERM_AUTHORS) -> DataFrame:
@@ -54,7 +54,7 @@ def rising_terms(placed: DataFrame, agents: DataFrame, text: str = "content", to
     before = counts.select((F.col("seg") + 1).alias("seg"), "term", F.col("n").alias("nb"))
     of_before = totals.select((F.col("seg") + 1).alias("seg"), F.col("ni").alias("nj"))
     wanted = counts.where((F.col("n") >= min_messages) & (F.col("authors") >= min_authors))
-    both = wanted.join(before, ["seg", "term"], "left").join(F.broadcast(totals), "seg", "left").join(F.broadcast(of_before), "seg", "left").fillna(0, ["nb", "nj"])
+    both = wanted.join(before, ["seg", "term"], "left").join(totals, "seg", "left").join(of_before, "seg", "left").fillna(0, ["nb", "nj"])
     delta, error = log_odds(F.col("n"), F.col("nb"), F.col("ni"), F.col("nj"))
     # without a baseline delta is 0 but for rounding; such terms do not rise
     scored = both.withColumn("delta", delta).where("delta > 1e-9").withColumn("score", F.col("delta") / error)
@@ -78,7 +78,7 @@ def threads(placed: DataFrame, top: int = 5, gap_ms: int = THREAD_GAP_MS) -> Dat
     rows = gap_runs(placed.where(F.col("channel").isNotNull()), ["seg", "channel"], gap_ms)
     found = rows.groupBy("seg", "channel", "run").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     at = F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("n"), "t0", "channel"))
-    best = F.broadcast(found.withColumn("at", at).where(F.col("at") <= top))  # at most top rows a segment
+    best = found.withColumn("at", at).where(F.col("at") <= top)
     kept = rows.join(best.select("seg", "channel", "run"), ["seg", "channel", "run"], "left_semi")
     ids = kept.groupBy("seg", "channel", "run").agg(first_ids("evidence_id", THREAD_IDS).alias("ids"))
     counts = kept.groupBy("seg", "channel", "run", "author_id").agg(F.count(F.lit(1)).alias("c"))
@@ -95,7 +95,7 @@ def novel_terms(messages: DataFrame, agents: DataFrame, text: str = "content", c
     ms = millis()
     span = timed.agg(F.min("ts").alias("t0"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("u0"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("u1"))
     cutoff = span.select((F.col("u0") + F.greatest(F.floor((F.col("u1") - F.col("u0")) * 0.1), F.lit(86_400_000_000))).alias("cutoff"))
-    flagged = timed.join(F.broadcast(agents.select(F.col("agent_id").alias("author_id"), F.lit(True).alias("ag"))), "author_id", "left").withColumn("ag", F.coalesce("ag", F.lit(False)))
+    flagged = timed.join(agents.select(F.col("agent_id").alias("author_id"), F.lit(True).alias("ag")), "author_id", "left").withColumn("ag", F.coalesce("ag", F.lit(False)))
     used = flagged.select("evidence_id", "author_id", "ts", "ag", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     used = used.crossJoin(F.broadcast(cutoff)).withColumn("late", F.unix_micros(F.col("ts").cast("timestamp")) > F.col("cutoff"))  # one row
     agent_ts = F.when(F.col("ag"), F.col("ts"))
@@ -114,14 +114,33 @@ def novel_terms(messages: DataFrame, agents: DataFrame, text: str = "content", c
         F.countDistinct(F.when(fast & (F.col("author_id") != F.col("coiner")), F.col("author_id"))).alias("adopters_fast"),
         F.count(F.when(fast, 1)).alias("n_fast"), first_ids("evidence_id", USE_IDS).alias("ids"),
     )
-    # agent messages per minute are enough to count those in each fortnight
     starts = out.select("term", millis("first_ts").alias("t"))
+    span = FAST_DAYS * 86_400_000
     said = flagged.where("ag").groupBy(ms.alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    near = starts.join(said, (F.col("m") >= F.col("t")) & (F.col("m") < F.col("t") + FAST_DAYS * 86_400_000)).groupBy("term").agg(F.sum("c").alias("window"))
+    below = counts_below(said, starts.select(F.explode(F.array(F.col("t"), F.col("t") + span)).alias("x")).distinct())
+    near = (
+        starts.join(below.withColumnRenamed("x", "t"), "t")
+        .withColumnRenamed("below", "lo")
+        .withColumn("x", F.col("t") + span)
+        .join(below, "x")
+        .select("term", (F.col("below") - F.col("lo")).alias("window"))
+    )
     shared = out.join(near, "term", "left").withColumn("window_share", F.col("n_fast") / F.greatest(F.coalesce("window", F.lit(0)), F.lit(1)))
     return shared.where(F.col("window_share") <= TOPIC_SHARE).drop("n_fast", "window").withColumn("adopters", F.col("agents") - 1)
 
 
+def counts_below(said: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(x, below): for each bound the rows of (m, c) with m < x, summed.  Both are sorted together within a day; the
+    days before are a running sum over daily totals, which are few."""
+    day = F.floor(F.col("at") / 86_400_000)
+    rows = said.select(F.col("m").alias("at"), F.lit(1).alias("o"), "c").union(bounds.select("x", F.lit(0), F.lit(0).cast("long"))).withColumn("day", day)
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("day").agg(F.sum("c").alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("day").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    at = rows.withColumn("here", F.sum("c").over(within)).where("o = 0")
+    return at.join(days, "day").select(F.col("at").alias("x"), (F.col("earlier") + F.col("here")).alias("below"))
+
+
 def bursts(daily: DataFrame, entity: str = "entity", baseline: int = BASELINE_DAYS, least: int = MIN_BURST, min_z: float = MIN_Z) -> DataFrame:
     """Days on which an entity far exceeds its own active days before, zeros included; of days
     within two active days of each other only the strongest (ties: the earlier).

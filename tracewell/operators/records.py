@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import matches, name_key, snippet
 
 AUTHOR = {"messages": "author_id", "actions": "agent_id"}
+#: Names are resolved against every agent, so the names of one call are bounded.
+MAX_ASKED = 10_000
 KNOWN_FILTERS = ("source", "kind", "type", "channel", "author", "since", "until", "query")
 #: Which table holds the ids of a kind.
 KIND_TABLE = {"msg": "messages", "event": "actions", "agent": "agents", "period": "periods", "goal": "periods", "artifact": "artifacts"}
@@ -166,8 +168,9 @@ def resolve_agents(names: DataFrame, agents: DataFrame) -> DataFrame:
         .when(F.array_contains(F.transform("aliases", name_key), F.col("key")), 4)
         .when((F.col("key") != "") & label.contains(F.col("key")), 5)
     )
-    # agents are few: every asked name meets the broadcast roster
-    ranked = asked.join(F.broadcast(a), how.isNotNull()).select("asked", "agent_id", how.alias("rank"))
+    if asked.limit(MAX_ASKED + 1).count() > MAX_ASKED:
+        raise ValueError(f"at most {MAX_ASKED} names at once")
+    ranked = a.join(F.broadcast(asked), how.isNotNull()).select("asked", "agent_id", how.alias("rank"))
     best = ranked.groupBy("asked", "rank").agg(F.min("agent_id").alias("agent_id"), F.count(F.lit(1)).alias("candidates"))
     top = best.groupBy("asked").agg(F.min_by(F.struct("agent_id", "rank", "candidates"), "rank").alias("b"))
     kinds = F.array(*[F.lit(x) for x in ("id", "suffix", "name", "alias", "part")])

@@ -37,7 +37,7 @@ def adoption(uses: DataFrame, joined: DataFrame, least: int = 2) -> DataFrame:
     """Per term: coiner, adopters (others with at least ``least`` uses), and those of them that joined after."""
     per = uses.groupBy("term", "author_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "evidence_id")).alias("first"))
     coined = per.groupBy("term").agg(F.min_by("author_id", "first").alias("coiner"), F.min("first.ts").alias("coined_ts"))
-    others = per.join(coined, "term").where((F.col("author_id") != F.col("coiner")) & (F.col("n") >= least)).join(F.broadcast(joined), "author_id", "left")
+    others = per.join(coined, "term").where((F.col("author_id") != F.col("coiner")) & (F.col("n") >= least)).join(joined, "author_id", "left")
     out = others.groupBy("term").agg(F.count(F.lit(1)).alias("adopters"), F.count(F.when(F.col("joined_ts") > F.col("coined_ts"), 1)).alias("newcomers"))
     return coined.join(out, "term", "left").fillna(0, ["adopters", "newcomers"])
 

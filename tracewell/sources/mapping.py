@@ -113,7 +113,7 @@ def resolved_authors(rows: DataFrame, agents: DataFrame, column: str = "author_i
     names = agents.select("agent_id", F.explode(F.array_distinct(F.concat(F.array(name_key(F.col("display_name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_key)))).alias("_n"))
     names = names.groupBy("_n").agg(F.min("agent_id").alias("_by_name"), F.count(F.lit(1)).alias("_c")).where("_c = 1").drop("_c")
     ids = agents.select(F.element_at(F.split("agent_id", ":"), -1).alias("_i"), F.col("agent_id").alias("_by_id"))
-    out = rows.join(F.broadcast(ids), F.col(column) == F.col("_i"), "left").join(F.broadcast(names), name_key(F.col(column)) == F.col("_n"), "left")  # rosters are small
+    out = rows.join(ids, F.col(column) == F.col("_i"), "left").join(names, name_key(F.col(column)) == F.col("_n"), "left")
     return out.withColumn(column, F.coalesce("_by_id", "_by_name", column)).drop("_i", "_by_id", "_n", "_by_name")
 
 
