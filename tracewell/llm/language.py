@@ -114,21 +114,49 @@ class Filters:
         return self.languages[best], float(share[best] / seen)
 
 
+class Tally:
+    """How many texts hold each n-gram, merged whenever enough are pending."""
+
+    def __init__(self, pending: int = 1_000_000):
+        self.values, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.texts = 0
+        self.waiting: list[np.ndarray] = []
+        self.room = self.most = pending
+
+    def add(self, g: np.ndarray) -> None:
+        self.texts += 1
+        self.waiting.append(np.unique(g))
+        self.room -= len(self.waiting[-1])
+        if self.room < 0:
+            self.merge()
+
+    def merge(self) -> None:
+        values = np.concatenate([self.values, *self.waiting])
+        times = np.concatenate([self.times, np.ones(len(values) - len(self.values), np.int64)])
+        order = np.argsort(values, kind="stable")
+        values, times = values[order], times[order]
+        new = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        self.values, self.times = values[new], np.add.reduceat(times, new) if len(new) else times
+        self.waiting, self.room = [], self.most
+
+    def frequent(self, least: int) -> np.ndarray:
+        self.merge()
+        return self.values[self.times >= min(least, self.texts)]
+
+
 def learn(sample: Iterator[tuple[str | None, str]], min_texts: int = MIN_TEXTS, hashes: int = HASHES, bits: int = BITS) -> Filters:
     """Filters from (text, language) rows, which must be few enough for one machine."""
-    held: dict[tuple[str, int], list[np.ndarray]] = {}
+    held: dict[tuple[str, int], Tally] = {}
     for text, lang in sample:
         raw = normalise(text)
         for size in SIZES:
-            held.setdefault((lang, size), []).append(np.unique(grams(raw, size)))
+            held.setdefault((lang, size), Tally()).add(grams(raw, size))
     languages = sorted({lang for lang, _ in held})
     words = max(1, -(-len(languages) // 64))
     tables = {size: np.zeros((1 << bits, words), np.uint64) for size in SIZES}
     for n, lang in enumerate(languages):
         for size in SIZES:
-            values, times = np.unique(np.concatenate(held[lang, size]), return_counts=True)
-            enough = values[times >= min(min_texts, len(held[lang, size]))]
-            for at in slots(enough, size, hashes, bits):
+            for at in slots(held[lang, size].frequent(min_texts), size, hashes, bits):
                 tables[size][at, n // 64] |= np.uint64(1 << (n % 64))
     return Filters(languages, tables, hashes, bits)
 

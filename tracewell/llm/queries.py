@@ -35,13 +35,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
     rows = toxicity.score(documents, lexicon)
-    return rows.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", toxicity.predicted().alias("predicted"))
+    return rows.select("doc_id", F.coalesce(common.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     rows = language.identify(documents, language.fit(documents))
-    return rows.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", F.coalesce(common.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     rows = quality.score(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
-    return rows.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score", quality.predicted().alias("predicted"))
+    return rows.select("doc_id", F.coalesce(common.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", quality.predicted().alias("predicted"))
 
 
 QUERIES = {

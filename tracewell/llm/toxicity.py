@@ -159,10 +159,14 @@ def learn(sample: Iterator[tuple[str | None, int]], min_weight: float = MIN_WEIG
     clean = [words for (label, _), group in texts.items() if label == 0 for words in group]
     if not toxic or not clean:
         return Lexicon()
+    least = max(3, math.ceil(0.01 * len(toxic)))
+    # Most terms are rare: a table of hashed counts rules them out, so that only the rest are held and counted.
+    hashed = np.zeros(1 << 22, np.uint16)
+    for words in toxic:
+        hashed[np.unique([hash(t) & (len(hashed) - 1) for t in _terms(words)])] += 1
     support: Counter[str] = Counter()
     for words in toxic:
-        support.update(_terms(words))
-    least = max(3, math.ceil(0.01 * len(toxic)))
+        support.update([t for t in _terms(words) if hashed[hash(t) & (len(hashed) - 1)] >= least])
     candidates = {t for t, n in support.items() if n >= least}
     against: Counter[str] = Counter()
     for words in clean:
