@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary#ids.list.element": "true",
     "parquet.dictionary.page.size": str(1 << 20),
 }
-_CHUNKS = 250_000
+_CHUNKS = 300_000
 _AT_ONCE = 4000
 #: A space between two characters that are not white space always starts a pre-token, so
 #: what stands on either side is encoded alike alone and in its text.
@@ -44,11 +45,11 @@ _BORDER = re.compile(r" (?<=\S )(?=\S)")
 _RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def cut(text: str) -> list[str]:
-    """``text`` at the spaces between two characters that are not white space, which are left out."""
-    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(map(text.__contains__, _RARE_SPACE)):
-        return _BORDER.split(text)
-    return text.split(" ")
+def plain(text: str | None) -> bool:
+    """Whether every space stands between two characters that are not white space."""
+    return bool(text) and not (
+        "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(map(text.__contains__, _RARE_SPACE))
+    )
 
 
 class ChunkEncoder:
@@ -80,27 +81,60 @@ class ChunkEncoder:
             raw = ids.tobytes()
             self.rest.update(zip(part, [raw[a:b] for a, b in itertools.pairwise([0, *cuts.tolist()])], strict=True))
 
-    def encode_batch(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks that each follow a space."""
         if len(self.rest) > _CHUNKS:  # chunks used since the last turn come back from the older table
             self.rest, self.older = {}, self.rest
-        heads, split, found, lacking = [], [], [], set()
-        for text in texts:
-            chunks = cut(text) if text else [""]
-            heads.append(chunks[0])
-            del chunks[0]
-            got = list(map(self.rest.get, chunks))
-            if None in got:
-                lacking.update([c for c, v in zip(chunks, got, strict=True) if v is None])
-                split.append((len(found), chunks))
-            found.append(got)
-        known = lacking & self.older.keys()
-        self.rest.update(zip(known, map(self.older.__getitem__, known), strict=True))
-        self._learn(list(lacking - known))
-        for n, chunks in split:
-            found[n] = map(self.rest.__getitem__, chunks)
-        end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
-        firsts = [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        return [np.frombuffer(b"".join([head, *got, end]), np.int32) for head, got in zip(firsts, found, strict=True)]
+        found = list(map(self.rest.get, chunks))
+        lacking = {chunks[i] for i, v in enumerate(found) if v is None}
+        if lacking:
+            known = lacking & self.older.keys()
+            self.rest.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            self._learn(list(lacking - known))
+            found = list(map(self.rest.__getitem__, chunks))
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of a batch: texts are split and their different chunks numbered in Arrow, each of those is
+        looked up once, and ids are gathered by number."""
+        rows = texts.to_pylist()
+        odd = [i for i, t in enumerate(rows) if not plain(t)]
+        if odd:
+            parts = [_BORDER.split(rows[i]) if rows[i] else [""] for i in odd]
+            even = np.ones(len(rows), bool)
+            even[odd] = False
+            split = pc.split_pattern(texts.filter(pa.array(even)), " ")
+            place = np.empty(len(rows), np.int64)
+            place[even], place[odd] = np.arange(len(rows) - len(odd)), np.arange(len(rows) - len(odd), len(rows))
+            split = pa.concat_arrays([split, pa.array(parts, split.type)]).take(pa.array(place))
+        else:
+            split = pc.split_pattern(texts, " ")
+        offsets, values = split.offsets.to_numpy(), split.flatten()
+        offsets = offsets - offsets[0]
+        n, n_rows = len(values), len(rows)
+        first = np.zeros(n, bool)
+        first[offsets[:-1]] = True
+        coded = values.filter(pa.array(~first)).dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        heads = self.tokenizer.encode_batch_fast(values.filter(pa.array(first)).to_pylist(), add_special_tokens=False)
+        end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
+        blobs = [*found, *[np.array(e.ids, "<i4").tobytes() for e in heads], end]
+        number = np.empty(n + n_rows, np.int64)  # every row's chunks, and its end
+        shifted = np.arange(n) + np.repeat(np.arange(n_rows), np.diff(offsets))
+        number[shifted[~first]] = coded.indices.to_numpy()
+        number[shifted[first]] = len(found) + np.arange(n_rows)
+        number[offsets[1:] + np.arange(n_rows)] = len(blobs) - 1
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts = np.cumsum(sizes) - sizes
+        length = sizes[number]
+        ends = np.cumsum(length)
+        at = np.repeat(starts[number] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        row_ends = ends[offsets[1:] + np.arange(n_rows)]
+        return np.concatenate([[0], row_ends]).astype(np.int32), np.frombuffer(b"".join(blobs), "<i4")[at]
+
+    def encode_batch(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
+        offsets, ids = self.encode(pa.array(texts, pa.string()), end_id)
+        return np.split(ids, offsets[1:-1])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -122,12 +156,10 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, end_id: int | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, max_bytes=1 << 20):
-                ids = encoder.encode_batch(batch.column(1).to_pylist(), end_id)
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
+            for batch in slices(whole, max_bytes=4 << 20):
+                offsets, ids = encoder.encode(batch.column(1), end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
+                    [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
                     names=["doc_id", "n_tokens", "ids"],
                 )
 
