@@ -16,11 +16,11 @@ def dump(path, rows):
         f.writelines(json.dumps(r) + "\n" for r in rows)
 
 
-def test_village(spark, tmp_path):
+def test_agent_rooms(spark, tmp_path):
     at = lambda m: f"2024-01-01 00:{m:02d}:00.000000"
     dump(tmp_path / "agents.jsonl.gz", [{"id": "1", "name": "Ada 2", "model_string": "m", "created_at": at(0), "is_participating": True}, {"id": "2", "name": "Bob", "is_participating": False}, {"id": "3", "name": "Cyd", "is_participating": False}])
     dump(tmp_path / "chat_rooms.jsonl.gz", [{"id": "r", "name": "general"}])
-    dump(tmp_path / "village_goals.jsonl.gz", [{"id": "g", "goal": "Hold a competition", "start_time": at(0), "end_time": None}])
+    dump(tmp_path / adapters.GOALS_FILE, [{"id": "g", "goal": "Hold a competition", "start_time": at(0), "end_time": None}])
     dump(tmp_path / "chat_messages.jsonl.gz", [
         {"id": "m1", "agent_speaker_id": "1", "speaker_type": "agent", "content": "Ada and bob, go", "room_id": "r", "created_at": at(2)},
         {"id": "m2", "user_speaker_id": "u", "speaker_type": "user", "content": None, "room_id": "x", "created_at": at(1)},
@@ -29,12 +29,12 @@ def test_village(spark, tmp_path):
         {"id": "e1", "created_at": at(3), "data": {"actionType": "START_COMPUTER_USE_SESSION", "agentId": "2", "sessionGoal": "do", "computerUseSessionId": "s"}},
         {"id": "e2", "created_at": at(4), "data": {"actionType": "AGENT_TALK", "agentId": "1", "content": "WAIT"}},
     ])
-    out = adapters.village(spark, str(tmp_path))
+    out = adapters.agent_rooms(spark, str(tmp_path))
     m = {r["evidence_id"]: r for r in out["messages"].collect()}
-    assert m["village:msg:m1"]["recipient_ids"] == ["village:agent:2"] and m["village:msg:m1"]["channel"] == "general"
-    assert m["village:msg:m2"]["author_id"] == "human:u" and m["village:msg:m2"]["channel"] == "x" and m["village:msg:m2"]["recipient_ids"] == []
-    assert [(r["agent_id"], r["kind"], r["content"]) for r in out["actions"].collect()] == [("village:agent:2", "start_computer_use_session", "do")]
-    assert sorted(r["agent_id"] for r in out["agents"].collect()) == ["village:agent:1", "village:agent:2"]  # the third did nothing
+    assert m["rooms:msg:m1"]["recipient_ids"] == ["rooms:agent:2"] and m["rooms:msg:m1"]["channel"] == "general"
+    assert m["rooms:msg:m2"]["author_id"] == "human:u" and m["rooms:msg:m2"]["channel"] == "x" and m["rooms:msg:m2"]["recipient_ids"] == []
+    assert [(r["agent_id"], r["kind"], r["content"]) for r in out["actions"].collect()] == [("rooms:agent:2", "start_computer_use_session", "do")]
+    assert sorted(r["agent_id"] for r in out["agents"].collect()) == ["rooms:agent:1", "rooms:agent:2"]  # the third did nothing
     assert out["periods"].first()["goal_kind"] == "competition"
 
 

@@ -9,8 +9,9 @@ from tracewell.functions.names import alias_table, mentions
 from tracewell.functions.time import parse
 from tracewell.sources.readers import read_jsonl, read_sqlite
 
-#: The event kinds that become actions.
-VILLAGE_ACTIONS = ("START_COMPUTER_USE_SESSION", "STOP_COMPUTER_USE_SESSION", "CONSOLIDATE", "SEARCH_HISTORY", "WAIT")
+#: A file name of the format, and the event kinds that become actions.
+GOALS_FILE = "village_goals.jsonl.gz"
+ROOM_ACTIONS = ("START_COMPUTER_USE_SESSION", "STOP_COMPUTER_USE_SESSION", "CONSOLIDATE", "SEARCH_HISTORY", "WAIT")
 GOAL_KINDS = (("compet", "competition"), ("fundrais", "fundraising"), ("charity", "fundraising"), ("game", "game"), ("event", "event"), ("research", "research"), ("write", "creative"), ("free", "free time"))
 #: Rosters that are small enough for a literal pattern of names.
 MAX_ROSTER = 2000
@@ -29,7 +30,7 @@ def goal_kind(label: Column) -> Column:
     return out.otherwise("other")
 
 
-def village(spark: SparkSession, root: str, source: str = "village") -> dict[str, DataFrame]:
+def agent_rooms(spark: SparkSession, root: str, source: str = "rooms") -> dict[str, DataFrame]:
     """Agents, chat, goals and events, gzipped JSON lines, as agents, messages, periods and actions.
 
     Event lines are filtered as text before they are parsed, as most are of kinds that are not kept.
@@ -38,10 +39,10 @@ def village(spark: SparkSession, root: str, source: str = "village") -> dict[str
     people = read_jsonl(spark, f"{root}/agents.jsonl.gz", "id string, name string, model_string string, created_at string, is_participating boolean")
     rooms = read_jsonl(spark, f"{root}/chat_rooms.jsonl.gz", "id string, name string")
     chat = read_jsonl(spark, f"{root}/chat_messages.jsonl.gz", "id string, agent_speaker_id string, user_speaker_id string, speaker_type string, content string, room_id string, created_at string")
-    goals = read_jsonl(spark, f"{root}/village_goals.jsonl.gz", "id string, goal string, start_time string, end_time string")
-    lines = spark.read.text(f"{root}/events.jsonl.gz").where(F.col("value").rlike("|".join(VILLAGE_ACTIONS)))
+    goals = read_jsonl(spark, f"{root}/{GOALS_FILE}", "id string, goal string, start_time string, end_time string")
+    lines = spark.read.text(f"{root}/events.jsonl.gz").where(F.col("value").rlike("|".join(ROOM_ACTIONS)))
     shape = "id string, created_at string, data struct<actionType: string, agentId: string, speakerId: string, computerUseSessionId: string, sessionGoal: string, nextSessionGoal: string, summary: string, content: string>"
-    raw = lines.select(F.from_json("value", shape).alias("e")).select("e.*").where(F.col("data.actionType").isin(*VILLAGE_ACTIONS))
+    raw = lines.select(F.from_json("value", shape).alias("e")).select("e.*").where(F.col("data.actionType").isin(*ROOM_ACTIONS))
 
     roster = people.select("id", "name").limit(MAX_ROSTER + 1).collect()
     if len(roster) > MAX_ROSTER:
