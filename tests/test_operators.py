@@ -303,3 +303,37 @@ def test_handoffs_and_duplicates(spark):
     sims = spark.createDataFrame([("title", "u1", "u2", 1.0), ("title", "u1", "u3", 1.0)], "signal string, a string, b string, sim double")
     linked = spark.createDataFrame([("u1", "u2")], "src string, dst string")
     assert [(r["later"], r["earlier"]) for r in subtasks.duplicates(sims, units, linked).collect()] == [("u3", "u1")]
+
+
+def test_unit_signals(spark):
+    units = spark.createDataFrame([("u1", "#1"), ("u2", "#2"), ("u3", "#3")], "unit string, key string")
+    msgs = spark.createDataFrame([("m1", "Look at #1 please"), ("m2", "#1, #2"), ("m3", "nothing"), ("m4", None)], "evidence_id string, content string")
+    chat, refs = subtasks.mention_signals(units, msgs)
+    assert {(r["unit"], r["term"]) for r in chat.collect()} == {("u1", "look"), ("u1", "please")}
+    assert [tuple(r) for r in refs.collect()] == [("u1", "u2", 1.0)]
+    files = subtasks.file_terms(spark.createDataFrame([("u1", "a/b/c.py"), ("u2", "x")], "unit string, artifact string"))
+    assert {(r["unit"], r["term"]) for r in files.collect()} == {("u1", "a/b/c.py"), ("u1", "a/"), ("u1", "a/b/"), ("u2", "x")}
+    t = spark.createDataFrame([("fix(core): mend the [WIP] thing  (#12).",)], "t string").select(subtasks.clean_title(F.col("t")).alias("t"))
+    assert t.first()["t"] == "Mend the thing"
+    assigned = spark.createDataFrame([("coarse", "u1", 0), ("coarse", "u2", 0)], "level string, unit string, cluster int")
+    named = subtasks.founders(assigned, spark.createDataFrame([("u1", "Later", T0 + timedelta(days=1)), ("u2", "first one.", T0)], "unit string, title string, start_ts timestamp_ntz"))
+    assert (named.first()["unit"], named.first()["name"]) == ("u2", "First one")
+    v = subtasks.tf_idf(spark.createDataFrame([("title", "u1", "a"), ("title", "u1", "b"), ("title", "u2", "b"), ("title", "u3", "c")], "signal string, unit string, term string"))
+    assert subtasks.keywords(assigned, v, 1).first()["words"] == ["b"]
+    parents = subtasks.parents(assigned.union(assigned.withColumn("level", F.lit("fine")).withColumn("cluster", F.lit(7))), "fine", "coarse").first()
+    assert tuple(parents) == (7, 0)
+    e = spark.createDataFrame([("u1", "u2", 0.5), ("u2", "u3", 0.25)], "a string, b string, sim double")
+    assert {r["unit"]: r["strength"] for r in subtasks.centrality(e).collect()} == {"u1": 0.5, "u2": 0.75, "u3": 0.25}
+
+
+def test_tracers(spark):
+    day = 86_400_000
+    exposed = spark.createDataFrame([("t", "a", 0), ("t", "b", 0)], "term string, reader string, first_exposed long")
+    took = spark.createDataFrame([("t", "a", 8 * day)], "term string, reader string, adopted_at long")
+    got = {r["week"]: (r["at_risk"], r["adopted"]) for r in research.weekly_hazard(exposed, took, 15 * day).collect()}
+    assert got == {0: (2, 0), 1: (2, 1), 2: (1, 0)}
+    m = messages(spark, [("c", "x", [], 0, "zig"), ("c", "a", [], 5, "zig"), ("c", "a", [], 9, "zag")]).withColumn("term", F.lit("t"))
+    first = spark.createDataFrame([("t", "a", 1704067200000 + 300_000)], "term string, reader string, adopted_at long")
+    assert [tuple(r) for r in research.probable_source(first, m).collect()] == [("t", "a", "x")]
+    t = research.before_after(m, "zig", "2024-01-01 00:04:00").first()
+    assert tuple(t) == (1, 0, 1, 1)

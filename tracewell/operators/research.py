@@ -207,3 +207,41 @@ def silent_gaps(records: DataFrame, key: str, days: float = 2.5) -> DataFrame:
     w = Window.partitionBy(key).orderBy("ts")
     gap = millis() - F.lag(millis()).over(w)
     return records.where("ts IS NOT NULL").select(key, F.lag("ts").over(w).alias("since"), F.col("ts").alias("until"), gap.alias("gap")).where(F.col("gap") > days * 86_400_000).drop("gap")
+
+
+def weekly_hazard(first_exposed: DataFrame, adopted: DataFrame, end_ms: int) -> DataFrame:
+    """(week, at_risk, adopted, hazard): of the readers exposed and not yet adopted at a week's start or exposed in it,
+    the share that adopts in it.  Weeks count from each reader's own exposure.
+
+    ``first_exposed`` is (term, reader, first_exposed), ``adopted`` (term, reader, adopted_at), both in milliseconds.
+    """
+    week = 7 * 86_400_000
+    both = first_exposed.join(adopted, ["term", "reader"], "left").where(F.col("adopted_at").isNull() | (F.col("adopted_at") >= F.col("first_exposed")))
+    until = F.coalesce("adopted_at", F.lit(end_ms))
+    last = F.greatest(F.lit(0), F.floor((until - F.col("first_exposed")) / week))
+    rows = both.select(F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("week"), last.alias("last"), F.col("adopted_at").isNotNull().alias("did"))
+    out = rows.groupBy("week").agg(F.count(F.lit(1)).alias("at_risk"), F.count(F.when(F.col("did") & (F.col("week") == F.col("last")), 1)).alias("adopted"))
+    return out.withColumn("hazard", F.col("adopted") / F.col("at_risk"))
+
+
+def probable_source(adopted: DataFrame, uses: DataFrame, days: int = 14) -> DataFrame:
+    """(term, reader, source): whose use of the term stood last before a reader's own first, within ``days``.
+
+    One window over a term's uses in order of time, instead of a join of uses with uses.
+    """
+    first = adopted.select("term", F.col("reader").alias("author_id"), F.col("adopted_at").alias("t"))
+    rows = uses.select("term", "author_id", millis().alias("t")).join(first.select("term", "author_id", F.col("t").alias("f")), ["term", "author_id"], "left")
+    rows = rows.withColumn("o", F.when(F.col("t") == F.col("f"), 1).otherwise(0))
+    w = Window.partitionBy("term").orderBy("t", "author_id")
+    other = F.when(F.lag("author_id").over(w) != F.col("author_id"), F.struct(F.lag("author_id").over(w).alias("a"), F.lag("t").over(w).alias("t")))
+    seen = rows.withColumn("_s", other).withColumn("_s", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.col("t") - F.col("_s.t") <= days * 86_400_000
+    return seen.where("o = 1").select("term", F.col("author_id").alias("reader"), F.when(near, F.col("_s.a")).alias("source")).dropDuplicates(["term", "reader"])
+
+
+def before_after(messages: DataFrame, pattern: str, cut: str, text: str = "content") -> DataFrame:
+    """One row: messages with and without the pattern before and after a moment, for :func:`fisher_exact`."""
+    late = F.col("ts") >= F.lit(cut).cast("timestamp_ntz")
+    hit = F.coalesce(F.col(text).rlike(f"(?i){pattern}"), F.lit(False))
+    cell = lambda a, b: F.count(F.when((late if a else ~late) & (hit if b else ~hit), 1)).cast("int")
+    return messages.where("ts IS NOT NULL").agg(cell(0, 1).alias("before_with"), cell(0, 0).alias("before_without"), cell(1, 1).alias("after_with"), cell(1, 0).alias("after_without"))

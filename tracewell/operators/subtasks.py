@@ -250,3 +250,55 @@ def stages(links: list[tuple[int, int]]) -> dict[int, int]:
         if stage == before:
             break
     return {n: stage[group[n]] for n in nodes}
+
+
+def mention_signals(units: DataFrame, messages: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(chat terms, references) from messages that name units by their key (a word such as ``#12``).
+
+    A message that names exactly one unit lends it its words; one that names two to four makes each
+    pair refer to the other once.  ``units`` is (unit, key).
+    """
+    words = messages.select("evidence_id", F.explode(F.array_distinct(F.split(F.lower(text), r"[\s,;()\[\]]+"))).alias("key"))
+    named = words.join(units.select("unit", F.lower("key").alias("key")), "key").select("evidence_id", "unit").distinct()
+    sizes = named.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n"))
+    one = named.join(sizes.where("n = 1"), "evidence_id").join(messages.select("evidence_id", text), "evidence_id")
+    chat = one.select(F.lit("chat").alias("signal"), "unit", F.explode(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: F.length(w) > 2)).alias("term"))
+    few = named.join(sizes.where("n BETWEEN 2 AND 4"), "evidence_id").select("evidence_id", "unit")  # at most six pairs a message
+    pairs = few.select("evidence_id", F.col("unit").alias("a")).join(few.select("evidence_id", F.col("unit").alias("b")), "evidence_id").where("a < b")
+    return chat, pairs.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("r"))
+
+
+def file_terms(touches: DataFrame) -> DataFrame:
+    """(signal, unit, term): the files a unit touched, and the folders that hold them."""
+    path = F.split("artifact", "/")
+    folders = F.when(F.size(path) > 1, F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.concat(F.array_join(F.slice(path, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+    return touches.select(F.lit("files").alias("signal"), "unit", F.explode(F.concat(F.array("artifact"), folders)).alias("term"))
+
+
+def clean_title(title: Column) -> Column:
+    """A title without ticket numbers, prefixes such as ``fix(core):``, bracketed marks and a final stop; the first letter upper case."""
+    out = F.regexp_replace(title, r"\s*\(?#\d+\)?|\[[^\]]*\]", "")
+    out = F.regexp_replace(out, r"^(?i)(?:feat|fix|chore|docs|refactor|test|build|ci|wip)(?:\([^)]*\))?!?:\s*", "")
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"[.\s]+$", ""))
+    return F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 20))
+
+
+def founders(assigned: DataFrame, units: DataFrame) -> DataFrame:
+    """(level, cluster, unit, name): the first unit of each cluster, whose cleaned title names it."""
+    both = assigned.join(units.select("unit", "title", "start_ts"), "unit")
+    first = both.groupBy("level", "cluster").agg(F.min(F.struct(F.col("start_ts").isNull().alias("late"), "start_ts", "unit", "title")).alias("f"))
+    return first.select("level", "cluster", "f.unit", clean_title(F.col("f.title")).alias("name"))
+
+
+def keywords(assigned: DataFrame, vectors: DataFrame, top: int = 5) -> DataFrame:
+    """(level, cluster, words): the terms of most weight in a cluster's titles."""
+    sums = assigned.join(vectors.where("signal = 'title'"), "unit").groupBy("level", "cluster", "term").agg(F.sum("weight").alias("w"))
+    at = F.row_number().over(Window.partitionBy("level", "cluster").orderBy(F.desc(F.round("w", 9)), "term"))
+    best = sums.withColumn("at", at).where(F.col("at") <= top)
+    return best.groupBy("level", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("words"))
+
+
+def centrality(edges: DataFrame) -> DataFrame:
+    """(unit, strength): the sum of a unit's similarities to its neighbours."""
+    both = edges.select(F.col("a").alias("unit"), "sim").union(edges.select("b", "sim"))
+    return both.groupBy("unit").agg(F.sum("sim").alias("strength"))
