@@ -49,18 +49,46 @@ def overlapping(intervals: DataFrame, key: str, owner: str, start: str, end: str
     return a.join(b, key).where((F.col("owner_a") < F.col("owner_b")) & (F.col("start_a") <= F.col("end_b")) & (F.col("start_b") <= F.col("end_a")))
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], breaks: Column) -> DataFrame:
-    """``df`` with ``run``, which counts up wherever ``breaks`` (over ``w``'s lags) holds."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_b", F.when(breaks, 1).otherwise(0)).withColumn("run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+def _carried(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with ``right``'s columns by keys (nulls are a key) and day."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_day"])], *[c for c in right.columns if c not in (*keys, "_day")])
+    on = F.lit(True)
+    for i, k in enumerate([*keys, "_day"]):
+        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+
+
+def with_previous(df: DataFrame, keys: list[str], columns: dict[str, Column], id_col: str = "evidence_id") -> DataFrame:
+    """``df`` with ``columns`` of the row before, in the order (ts, id) within the keys.
+
+    Rows are dealt by key and day, so a key of any size is the work of many tasks; what a day's first
+    row needs is carried from the last row of the key's day before, one row per key and day.
+    """
+    rows = df.withColumn("_day", F.to_date("ts")).withColumn("_v", F.struct(*[c.alias(n) for n, c in columns.items()]))
+    w = Window.partitionBy(*keys, "_day").orderBy("ts", id_col)
+    ends = rows.groupBy(*keys, "_day").agg(F.max_by("_v", F.struct("ts", id_col)).alias("_end"))
+    ends = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_day"))).drop("_end")
+    near = rows.withColumn("_p", F.lag("_v").over(w))
+    out = _carried(near, ends, keys).withColumn("_p", F.coalesce("_p", "_carry"))
+    return out.select(*df.columns, *[F.col(f"_p.{n}").alias(n) for n in columns])
+
+
+def runs(df: DataFrame, keys: list[str], breaks: Column, id_col: str = "evidence_id") -> DataFrame:
+    """``df`` with ``run``, which counts up at every row where ``breaks`` holds, in the order (ts, id) within the
+    keys: a running sum within key and day, plus the sums of the key's days before."""
+    rows = df.withColumn("_day", F.to_date("ts")).withColumn("_b", F.when(breaks, 1).otherwise(0))
+    w = Window.partitionBy(*keys, "_day").orderBy("ts", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*keys, "_day").agg(F.sum("_b").alias("_n"))
+    days = days.withColumn("_earlier", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = _carried(rows.withColumn("_here", F.sum("_b").over(w)), days, keys)
+    return out.select(*df.columns, (F.col("_here") + F.col("_earlier")).alias("run"))
 
 
 def gap_runs(df: DataFrame, keys: list[str], gap_ms: int, id_col: str = "evidence_id") -> DataFrame:
-    """Runs of rows no more than ``gap_ms`` apart."""
-    w = Window.partitionBy(*keys).orderBy("ts", id_col)
-    ms = millis()
-    before = F.lag(ms).over(w)
-    return runs(df, keys, ["ts", id_col], before.isNull() | (ms - before > gap_ms))
+    """Runs of rows (all with a time) no more than ``gap_ms`` apart."""
+    rows = with_previous(df, keys, {"_before": millis()}, id_col)
+    return runs(rows, keys, F.col("_before").isNull() | (millis() - F.col("_before") > gap_ms), id_col).drop("_before")
 
 
 def first_ids(id_col: str, k: int, *order: str) -> Column:
