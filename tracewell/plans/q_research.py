@@ -80,13 +80,13 @@ def sweep_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FINDINGS = """
-f AS (SELECT 'f' || (event_id % 50) AS finding_id, event_id AS line, 'testdata:msg:' || (event_id * 300) AS evidence_id, CASE event_id % 4 WHEN 0 THEN 'rejected' ELSE 'open' END AS status FROM ev WHERE event_id < 400),
+f AS (SELECT 'f' || (event_id % 50) AS finding_id, event_id AS line, 'testdata:msg:' || (event_id * 300) AS evidence_id, CASE event_id % 4 WHEN 0 THEN 'rejected' ELSE 'open' END AS status FROM ev),
 l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY line DESC) = 1)"""
 
 
 def _findings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return store.events(spark, sf_dir).where("event_id < 400").select(
+    return store.events(spark, sf_dir).select(
         F.concat(F.lit("f"), (e % 50).cast("string")).alias("finding_id"), e.alias("line"),
         F.array(F.concat(F.lit("testdata:msg:"), (e * 300).cast("string"))).alias("evidence_ids"), F.when(e % 4 == 0, "rejected").otherwise("open").alias("status"),
     )
@@ -120,20 +120,17 @@ def subtasks_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_TERMS}, s AS (SELECT a.u AS a, b.u AS b, sum(a.w * b.w) AS sim FROM v a JOIN v b ON a.term = b.term AND a.u < b.u WHERE a.u < 400 AND b.u < 400 GROUP BY 1, 2 HAVING max(CASE WHEN a.df <= 100000 THEN 1 END) = 1),
+WITH {_TERMS}, s AS (SELECT a.u AS a, b.u AS b, sum(a.w * b.w) AS sim FROM v a JOIN v b ON a.term = b.term AND a.u < b.u GROUP BY 1, 2 HAVING max(CASE WHEN a.df <= 1000 THEN 1 END) = 1),
 e AS (SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s), k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) <= 6)
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(sim, 6) AS sim FROM k""")
 def subtasks_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the first 400 parts as the units of one project; weights come from all."""
-    vectors = subtasks.tf_idf(_part_terms(spark, sf_dir)).where("unit < 400")
-    near = subtasks.neighbours(subtasks.similarity(vectors, most_df=100_000))
+    near = subtasks.neighbours(subtasks.similarity(subtasks.tf_idf(_part_terms(spark, sf_dir)), most_df=1000))
     return near.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query()
 def subtasks_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = subtasks.tf_idf(_part_terms(spark, sf_dir)).where("unit < 400")
-    near = subtasks.neighbours(subtasks.similarity(vectors, most_df=100_000))
+    near = subtasks.neighbours(subtasks.similarity(subtasks.tf_idf(_part_terms(spark, sf_dir)), most_df=1000))
     return subtasks.clusters(near.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "sim"))
 
 
@@ -183,11 +180,11 @@ def idea_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_prelude("""
-WITH u AS (SELECT 'term' || (k % 25) AS term, * FROM messages WHERE k % 25 < 3)
+WITH u AS (SELECT 'term' || (k % 25) AS term, * FROM messages)
 SELECT u.term, m.author_id AS reader, min(epoch_ms(u.ts)) AS first_exposed FROM u JOIN messages m ON m.channel = u.channel AND m.author_id <> u.author_id AND abs(epoch_ms(m.ts) - epoch_ms(u.ts)) <= 7200000 GROUP BY 1, 2"""))
 def idea_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.messages(spark, sf_dir)
-    return research.exposures(_uses(spark, sf_dir).where("k % 25 < 3"), rows)
+    return research.exposures(_uses(spark, sf_dir), rows)
 
 
 @query(with_prelude("""
@@ -246,11 +243,11 @@ def bench_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_prelude("""
-WITH u AS (SELECT 'term' || (k % 25) AS term, * FROM messages WHERE k % 25 < 4), f AS (SELECT term, author_id, min(ts) AS first_ts, epoch_ms(min(ts)) AS t FROM u GROUP BY 1, 2)
+WITH u AS (SELECT 'term' || (k % 25) AS term, * FROM messages), f AS (SELECT term, author_id, min(ts) AS first_ts, epoch_ms(min(ts)) AS t FROM u GROUP BY 1, 2)
 SELECT f.term, f.author_id, first_ts, EXISTS (SELECT 1 FROM u b WHERE b.term = f.term AND b.author_id <> f.author_id AND epoch_ms(b.ts) < f.t AND (list_contains(b.recipient_ids, f.author_id)
   OR EXISTS (SELECT 1 FROM messages m WHERE m.author_id = f.author_id AND m.channel = b.channel AND epoch_ms(m.ts) >= f.t - 259200000 AND epoch_ms(m.ts) < f.t))) AS copier FROM f"""))
 def bench_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return research.likely_copiers(_uses(spark, sf_dir).where("k % 25 < 4"), store.messages(spark, sf_dir))
+    return research.likely_copiers(_uses(spark, sf_dir), store.messages(spark, sf_dir))
 
 
 @query(with_prelude("""
@@ -260,10 +257,10 @@ def bench_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT regexp_replace(translate(lower(c_name), '013457|$@li', 'oieastisaii'), '[^\\p{L}]+', '', 'g') AS skeleton, c_custkey FROM customer WHERE c_custkey < 100)
+WITH s AS (SELECT regexp_replace(translate(lower(c_name), '013457|$@li', 'oieastisaii'), '[^\\p{L}]+', '', 'g') AS skeleton, c_custkey FROM customer)
 SELECT skeleton, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1""")
 def bench_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("agent_id"))
+    rows = store.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("agent_id"))
     return research.confusable_names(rows).select("skeleton", F.size("ids").cast("long").alias("n"))
 
 

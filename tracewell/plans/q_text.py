@@ -35,12 +35,11 @@ def subtasks_file_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtasks.file_terms(files).select("unit", "term")
 
 
-@query(r"""
-SELECT doc_id, upper(substr(t, 1, 1)) || substr(t, 2) AS title FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 50), '\s+', ' ', 'g'), '[.\s]+$', '')) AS t FROM documents WHERE lang = 'en' AND NOT contains(substr(text, 1, 50), '[') AND NOT contains(substr(text, 1, 50), '#'))""")
+@query("SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS title FROM part")
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 50)
-    rows = store.table(spark, sf_dir, "documents").where((F.col("lang") == "en") & ~head.contains("[") & ~head.contains("#"))
-    return rows.select("doc_id", subtasks.clean_title(head).alias("title"))
+    """Titles made of part names, a prefix, a number and marks, all of which are cleaned away."""
+    title = F.concat(F.lit("fix(core): "), F.col("p_name"), F.lit(" [wip] (#"), F.col("p_partkey").cast("string"), F.lit(")."))
+    return store.table(spark, sf_dir, "part").select("p_partkey", subtasks.clean_title(title).alias("title"))
 
 
 @query(with_prelude("""
@@ -52,7 +51,7 @@ def norm_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_prelude("""
-WITH u AS (SELECT 'term' || (k % 25) AS term, * FROM messages WHERE k % 25 < 3),
+WITH u AS (SELECT 'term' || (k % 25) AS term, * FROM messages),
 x AS (SELECT u.term, m.author_id AS reader, min(epoch_ms(u.ts)) AS e FROM u JOIN messages m ON m.channel = u.channel AND m.author_id <> u.author_id AND abs(epoch_ms(m.ts) - epoch_ms(u.ts)) <= 7200000 GROUP BY 1, 2),
 a AS (SELECT term, author_id AS reader, min(epoch_ms(ts)) AS a FROM u GROUP BY 1, 2),
 b AS (SELECT x.*, a.a, greatest(0, floor((coalesce(a.a, 1706659200000) - e) / 604800000))::BIGINT AS last FROM x LEFT JOIN a USING (term, reader) WHERE a.a IS NULL OR a.a >= e),
@@ -62,9 +61,8 @@ def idea_weekly_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.functions.time import millis
 
     rows = store.messages(spark, sf_dir).withColumn("term", F.concat(F.lit("term"), (F.col("k") % 25).cast("string")))
-    uses = rows.where("k % 25 < 3")
-    took = uses.groupBy("term", F.col("author_id").alias("reader")).agg(F.min(millis()).alias("adopted_at"))
-    return research.weekly_hazard(research.exposures(uses, rows), took, 1706659200000).select("week", "at_risk", "adopted")
+    took = rows.groupBy("term", F.col("author_id").alias("reader")).agg(F.min(millis()).alias("adopted_at"))
+    return research.weekly_hazard(research.exposures(rows, rows), took, 1706659200000).select("week", "at_risk", "adopted")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || ':7'), doc_id LIMIT 25")

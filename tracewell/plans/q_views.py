@@ -27,13 +27,13 @@ def artifact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_prelude("""
-WITH o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts, evidence_id) AS p FROM messages), a AS (SELECT evidence_id AS asked_id, channel AS c, p AS q, ts AS t FROM o WHERE event_id % 500 = 7)
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts, evidence_id) AS p FROM messages), a AS (SELECT evidence_id AS asked_id, channel AS c, p AS q, ts AS t FROM o)
 SELECT asked_id, CASE WHEN p = q THEN 'record' ELSE 'neighbour' END AS role, evidence_id, (p - q)::VARCHAR AS detail FROM o JOIN a ON channel = c AND p BETWEEN q - 1 AND q + 1
 UNION ALL SELECT asked_id, 'period', periods.evidence_id, label FROM a JOIN periods ON t >= start_ts AND (end_ts IS NULL OR t < end_ts)"""))
 def records_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.messages(spark, sf_dir)
     none = spark.createDataFrame([], "record_id string, artifact_id string, op string")
-    return views.in_context(rows, rows.where("event_id % 500 = 7"), none, store.periods(spark), 1, 1)
+    return views.in_context(rows, rows, none, store.periods(spark), 1, 1)
 
 
 @query(with_prelude(f"""
@@ -93,10 +93,10 @@ def judge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id % 9 = 0)
+WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)
 SELECT doc_id, place // 20 AS batch FROM o UNION ALL SELECT doc_id, place // 20 + 1 FROM o WHERE place % 20 < 3""")
 def judge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.batches(store.table(spark, sf_dir, "documents").where("doc_id % 9 = 0").select("doc_id"), 20, 3, order="doc_id")
+    return views.batches(store.table(spark, sf_dir, "documents").select("doc_id"), 20, 3, order="doc_id")
 
 
 @query(r"SELECT conv_id, turn, regexp_replace(text, '(^|[^\p{L}\p{N}])(the)($|[^\p{L}\p{N}])', '\1[agent]\3', 'gi') AS text FROM conversations WHERE NOT regexp_matches(text, '(^|[^\p{L}\p{N}])the[^\p{L}\p{N}]the($|[^\p{L}\p{N}])', 'i')")
