@@ -63,9 +63,16 @@ def slots(g: np.ndarray, size: int, hashes: int, bits: int) -> Iterator[np.ndarr
         yield (h ^ (h >> np.uint64(32))) * _MULTIPLIERS[k] >> np.uint64(64 - bits)
 
 
+def claims(cells: np.ndarray, n: int) -> np.ndarray:
+    """Whether language ``n`` is in each bitmask."""
+    width = 8 * cells.dtype.itemsize
+    return (cells[:, n // width] >> cells.dtype.type(n % width)) & cells.dtype.type(1)
+
+
 @dataclass
 class Filters:
-    """Languages by name, and per n-gram size the table of bitmasks (64 languages a word)."""
+    """Languages by name, and per n-gram size the table of bitmasks, in the smallest integers that hold
+    the languages (beyond 64, in several): 2 MB for up to eight."""
 
     languages: list[str]
     tables: dict[int, np.ndarray]
@@ -76,7 +83,7 @@ class Filters:
         """Per size, the chance that a foreign n-gram is claimed, by language."""
         out = {}
         for size, table in self.tables.items():
-            share = [float(((table[:, n // 64] >> np.uint64(n % 64)) & np.uint64(1)).mean()) for n in range(len(self.languages))]
+            share = [float(claims(table, n).mean()) for n in range(len(self.languages))]
             out[size] = np.array(share) ** self.hashes
         return out
 
@@ -89,10 +96,10 @@ class Filters:
             here = table[at]
             mask = here if mask is None else mask & here
         n = len(self.languages)
-        bits = np.stack([(mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) for i in range(n)]) if n else np.zeros((0, len(g)), np.uint64)
-        told = bits.sum(axis=0)
+        bits = np.stack([claims(mask, i) for i in range(n)]) if n else np.zeros((0, len(g)), np.uint8)
+        told = bits.sum(axis=0, dtype=np.int64)
         kept = told < n
-        return bits[:, kept].sum(axis=1).astype(np.float64), int(kept.sum())
+        return bits[:, kept].sum(axis=1, dtype=np.int64).astype(np.float64), int(kept.sum())
 
     def judge(self, text: str | None, fill: dict[int, np.ndarray]) -> tuple[str, float]:
         raw = normalise(text)
@@ -152,12 +159,13 @@ def learn(sample: Iterator[tuple[str | None, str]], min_texts: int = MIN_TEXTS,
         for size in SIZES:
             held.setdefault((lang, size), Tally()).add(grams(raw, size))
     languages = sorted({lang for lang, _ in held})
-    words = max(1, -(-len(languages) // 64))
-    tables = {size: np.zeros((1 << bits, words), np.uint64) for size in SIZES}
+    cell = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * t().itemsize), np.uint64)
+    width = 8 * cell().itemsize
+    tables = {size: np.zeros((1 << bits, max(1, -(-len(languages) // width))), cell) for size in SIZES}
     for n, lang in enumerate(languages):
         for size in SIZES:
             for at in slots(held[lang, size].frequent(min_texts), size, hashes, bits):
-                tables[size][at, n // 64] |= np.uint64(1 << (n % 64))
+                tables[size][at, n // width] |= cell(1 << (n % width))
     return Filters(languages, tables, hashes, bits)
 
 
@@ -172,7 +180,7 @@ def fit(documents: DataFrame, train: Column | None = None, max_rows: int = MAX_R
 
 
 def identify(documents: DataFrame, filters: Filters) -> DataFrame:
-    """(doc_id, lang_pred, score) per row; the filters (16 MB for up to 64 languages) are broadcast."""
+    """(doc_id, lang_pred, score) per row; the filters, of a size that the number of languages fixes, are broadcast."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
     shared = documents.sparkSession.sparkContext.broadcast(filters)
 
