@@ -503,6 +503,20 @@ def test_vectors_against_brute_force(spark, block):
     assert vector_dedup.link(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 64])
+def test_vectors_of_a_group_larger_than_the_wide_window(spark, block):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2, 16))
+    rows = [(i, (base[0] + rng.normal(0, 0.15, 16)).tolist(), 1) for i in range(150)] + [(150 + i, (base[1] + rng.normal(0, 0.02, 16)).tolist(), 1) for i in range(6)]
+    rows += [(200 + i, rows[3 * i][1], 1) for i in range(20)]
+    brute = brute_links(rows)
+    sizes = {g: sum(1 for _, h in brute.values() if h == g) for _, g in brute.values()}
+    assert max(sizes.values()) > 2 * 17 and len({n for n, g in brute.values() if sizes[g] > 34}) > 10
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.link(df, block=block, window=16, wide=16).collect()}
+    assert got == brute
+
+
 # ---- the whole
 
 

@@ -3,10 +3,10 @@
 Each pass draws random projections, cuts them into steps of three times the distance that the
 similarity allows, and orders the vectors of a label lexicographically by the concatenated steps.
 Vectors close to each other then tend to stand close together, so every vector is compared with
-the next ``window`` ones only, in double precision.  Pairs verified in any pass are united.  A last
-pass orders by group and compares within groups, in a wide window; it yields the link counts, and
-is exhaustive for groups of up to ``wide`` + 1 different vectors.  Equal vectors are one
-class with a count, so copies are never compared.
+the next ``window`` ones only, in double precision.  Pairs verified in any pass are united.  The link
+counts come from all pairs within groups: groups of up to ``wide`` + 1 different vectors in one
+more pass, ordered by group, with a wide window; larger ones in cells of about ``block`` vectors,
+each pair of cells a task.  Equal vectors are one class with a count, so copies are never compared.
 
 The order is made by range partitioning; ranks cut it into blocks of a fixed size, each with the
 first rows of the next as context.  Blocks are equally large whatever the data, and emit a
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ranked, stage, unstage
+from tracewell.llm.common import maybe_broadcast, ranked, stage, unstage
 from tracewell.llm.components import components, forest
 
 PASSES = 12
@@ -63,6 +63,38 @@ def near_pairs(x: np.ndarray, own: int, window: int, least: float) -> tuple[np.n
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
+def cell_pairs(rows: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
+    """``rows`` (node, component, ...) of the components in ``sizes`` (component, members), dealt by hash into cells of
+    about ``cell`` rows, with ``at``, their cell, once for each pair (i, j) of cells, i <= j, that theirs is part of."""
+    cells = F.ceil(F.col("members") / cell)
+    dealt = rows.join(maybe_broadcast(sizes), "component").withColumn("cells", cells).withColumn("at", F.pmod(F.xxhash64("node"), "cells"))
+    facing = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("with"))
+    return facing.select(*rows.columns, "at", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"))
+
+
+def facing_links(table: pa.Table, least: float) -> pa.Table:
+    """(node, links): the links of each row across a pair of cells, or within one."""
+    node, copies, at = table["node"].to_numpy(), table["copies"].to_numpy().astype(np.float64), table["at"].to_numpy()
+    two = np.flatnonzero(at == table["j"][0].as_py())
+    one = np.flatnonzero(at != table["j"][0].as_py())
+    within = table["i"][0].as_py() == table["j"][0].as_py()
+    if within:
+        one = two
+    x = _matrix(table["v"], slice(0, len(node)))
+    y = x[two]
+    total = np.zeros(len(node))
+    step = 256
+    for a in range(0, len(one), step):
+        rows = one[a : a + step]
+        near = x[rows] @ y.T >= least
+        if within:
+            near &= np.arange(len(two)) > np.arange(a, a + len(rows))[:, None]
+        near = near.astype(np.float64)
+        total[rows] += near @ copies[two]
+        total[two] += copies[rows] @ near
+    return pa.table({"node": node, "links": total.astype(np.int64)})
+
+
 def blocks(rows: DataFrame, order: list[str], block: int, window: int) -> DataFrame:
     """``rows`` with ``block``, ``rank`` and ``context``: every row in its own block, and the first
     ``window`` rows of a block also in the one before, as context."""
@@ -176,12 +208,16 @@ def link(
     groups = components(links)
 
     grouped = stage(classes.select("node", "copies", "v").join(groups, "node"), "grouped")
+    large = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > wide + 1)
+    large = stage(large, "large")
+    across = cell_pairs(grouped, large, block).groupBy("component", "i", "j").applyInArrow(lambda t: facing_links(t, least), "node bigint, links bigint")
     tie = F.xxhash64("node")
-    placed = blocks(grouped.select("node", "component", tie.alias("tie")), ["component", "tie", "node"], max(block, wide), wide)
+    rest = grouped.join(maybe_broadcast(large), "component", "left_anti")
+    placed = blocks(rest.select("node", "component", tie.alias("tie")), ["component", "tie", "node"], max(block, wide), wide)
     facing = placed.select("node", "component", "rank", "block", "context").join(grouped.select("node", "copies", "v"), "node")
     counts = facing.groupBy("block").applyInArrow(counted, "node bigint, links bigint")
-    counts = stage(counts.groupBy("node").agg(F.sum("links").alias("links")), "counts")
-    unstage(placed, grouped, links)
+    counts = stage(counts.union(across).groupBy("node").agg(F.sum("links").alias("links")), "counts")
+    unstage(placed, grouped, large, links)
 
     named = classes.select("node", "id", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("id").alias("component_id"))
