@@ -282,6 +282,21 @@ def test_research(spark):
     assert iou == pytest.approx(1 / 3)
 
 
+def test_units_that_share_only_common_terms_are_compared(spark):
+    terms = [("title", f"u{i:03}", t) for i in range(230) for t in ("all", f"x{i % 2}", *([f"y{i % 7}"] if i % 3 else []), *([f"z{i}"] if i % 5 else []))]
+    v = subtasks.tf_idf(spark.createDataFrame(terms, "signal string, unit string, term string"))
+    weights = {}
+    for r in v.collect():
+        weights.setdefault(r["unit"], {})[r["term"]] = r["weight"]
+    units = sorted(weights)
+    sims = {(a, b): sum(w * weights[b].get(t, 0.0) for t, w in weights[a].items()) for a in units for b in units if a != b}
+    got = {(r["a"], r["b"]): r["sim"] for r in subtasks.similarity(v).collect()}
+    assert got == pytest.approx({p: s for p, s in sims.items() if p[0] < p[1]}) and len(got) == 230 * 229 / 2
+    near = {tuple(sorted((a, b))) for a in units for b in sorted((u for u in units if u != a), key=lambda u: (-round(sims[a, u], 9), u))[:6]}
+    for block in (2048, 50):
+        assert {(r["a"], r["b"]) for r in subtasks.neighbours(subtasks.nearest(v, block=block)).collect()} == near
+
+
 def test_louvain_finds_planted_clusters(spark):
     pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(6) for j in range(i)] + [("a0", "b0", 0.1), ("b0", "c0", 0.1)]
     e = spark.createDataFrame(pairs, "a string, b string, sim double")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ NEIGHBOURS = 6
 LEVELS = {"coarse": 1.0, "medium": 3.0, "fine": 6.0}
 COMMON_SHARE, COMMON_FACTOR = 0.30, 0.2
 DUPLICATE_DAYS, DUPLICATES_KEPT = 3, 3
+#: Units of a cell, and columns of terms held at a time, when units are compared with all others.
+BLOCK, COLUMNS = 2048, 4096
 
 
 def session_units(records: DataFrame, actor: str = "agent_id", gap_ms: int = 1_800_000) -> DataFrame:
@@ -50,21 +55,81 @@ def tf_idf(terms: DataFrame) -> DataFrame:
     return weighed.join(norms, ["signal", "unit"]).select("signal", "unit", "term", (F.col("raw") / F.col("norm")).alias("weight"), "df")
 
 
-def similarity(vectors: DataFrame, most_df: int = 200, least: float = 1e-6) -> DataFrame:
-    """(signal, a, b, sim) of units that share a term, a < b.
-
-    Terms of more than ``most_df`` units find no partners by themselves (they are damped and say
-    little), but count in full for units that share another term.
-    """
-    x = vectors.select("signal", "term", F.col("unit").alias("a"), F.col("weight").alias("wa"), "df")
-    y = vectors.select("signal", "term", F.col("unit").alias("b"), F.col("weight").alias("wb"))
-    pairs = x.where(F.col("df") <= most_df).join(y, ["signal", "term"]).where("a < b")
-    rare = pairs.groupBy("signal", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    common_a = x.where(F.col("df") > most_df).select("signal", "term", "a", "wa")
-    common = rare.select("signal", "a", "b").join(common_a, ["signal", "a"]).join(y.select("signal", "term", "b", "wb"), ["signal", "term", "b"])
-    extra = common.groupBy("signal", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("e"))
-    out = rare.join(extra, ["signal", "a", "b"], "left").select("signal", "a", "b", (F.col("s") + F.coalesce("e", F.lit(0.0))).alias("sim"))
-    return out.where(F.col("sim") >= least)
+def _product(terms: pa.ChunkedArray, weights: pa.ChunkedArray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The dot products of the rows ``one`` with the rows ``two``, some columns of the terms at a time."""
+    terms, weights = terms.combine_chunks(), weights.combine_chunks()
+    owner = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+    words = terms.flatten().dictionary_encode()
+    code, value = words.indices.to_numpy(), weights.flatten().to_numpy()
+    place = np.full((2, len(terms)), -1)
+    place[0, one], place[1, two] = np.arange(len(one)), np.arange(len(two))
+    out = np.zeros((len(one), len(two)))
+    for start in range(0, len(words.dictionary), COLUMNS):
+        dense = []
+        for at, n in zip(place, (len(one), len(two)), strict=True):
+            here = (code >= start) & (code < start + COLUMNS) & (at[owner] >= 0)
+            m = np.zeros((n, min(COLUMNS, len(words.dictionary) - start)))
+            m[at[owner[here]], code[here] - start] = value[here]
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``k`` largest positive values; ties by column."""
+    sim = np.round(sim, 9)
+    least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.zeros(len(sim))
+    row, col = np.nonzero((sim >= least[:, None]) & (sim > 0))
+    order = np.lexsort((col, -sim[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    return row[np.arange(len(row)) - first < k], col[np.arange(len(row)) - first < k]
+
+
+def _facing(vectors: DataFrame, block: int, choose: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(signal, a, b, sim), a < b, of the pairs that ``choose`` takes from the similarities of two cells of units.  Units
+    are dealt by hash into cells of about ``block``, and each pair of cells, or cell with itself, is a task."""
+    rows = vectors.where("unit IS NOT NULL AND term IS NOT NULL").groupBy("signal", "unit").agg(F.collect_list(F.struct("term", "weight")).alias("t"))
+    cells = rows.groupBy("signal").agg(F.ceil(F.count(F.lit(1)) / block).alias("cells"))
+    dealt = rows.join(F.broadcast(cells), "signal").withColumn("at", F.pmod(F.xxhash64("unit"), "cells"))  # five signals at most
+    facing = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("with"))
+    facing = facing.select("signal", "unit", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"), "at", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit").combine_chunks()
+        at, j = table["at"].to_numpy(), table["j"][0].as_py()
+        two = np.flatnonzero(at == j)
+        one = two if table["i"][0].as_py() == j else np.flatnonzero(at != j)
+        sim = _product(table["terms"], table["weights"], one, two)
+        if one is two:
+            np.fill_diagonal(sim, 0)
+        row, col = choose(sim)
+        pairs = np.stack([one[row], two[col], row, col])
+        pairs[:2].sort(axis=0)
+        pairs = pairs[:, np.unique(pairs[0] * len(at) + pairs[1], return_index=True)[1]]
+        unit = table["unit"]
+        return pa.table({"signal": table["signal"].take(pairs[0]), "a": unit.take(pairs[0]), "b": unit.take(pairs[1]), "sim": sim[pairs[2], pairs[3]]})
+
+    kind = vectors.schema["unit"].dataType.simpleString()
+    return facing.groupBy("signal", "i", "j").applyInArrow(run, f"signal string, a {kind}, b {kind}, sim double")
+
+
+def similarity(vectors: DataFrame, least: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """(signal, a, b, sim) of all units that share a term, a < b.  Nearly every pair may do so: for the nearest
+    alone there is ``nearest``."""
+    return _facing(vectors, block, lambda sim: np.nonzero(sim >= least))
+
+
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """(signal, a, b, sim), a < b: among them all pairs of which one is among the other's ``k`` nearest of all units
+    (ties by id), for ``neighbours`` to choose from; each task keeps the ``k`` nearest it sees."""
+
+    def choose(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = _best(sim, k)
+        other, own = _best(sim.T, k)
+        return np.concatenate([row, own]), np.concatenate([col, other])
+
+    return _facing(vectors, block, choose)
 
 
 def reference_similarity(counts: DataFrame) -> DataFrame:

@@ -124,13 +124,13 @@ WITH {_TERMS}, s AS (SELECT a.u AS a, b.u AS b, sum(a.w * b.w) AS sim FROM v a J
 e AS (SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s), k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) <= 6)
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(sim, 6) AS sim FROM k""")
 def subtasks_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = subtasks.neighbours(subtasks.similarity(subtasks.tf_idf(_part_terms(spark, sf_dir)), most_df=1000))
+    near = subtasks.neighbours(subtasks.nearest(subtasks.tf_idf(_part_terms(spark, sf_dir))))
     return near.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query()
 def subtasks_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = subtasks.neighbours(subtasks.similarity(subtasks.tf_idf(_part_terms(spark, sf_dir)), most_df=1000))
+    near = subtasks.neighbours(subtasks.nearest(subtasks.tf_idf(_part_terms(spark, sf_dir))))
     return subtasks.clusters(near.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "sim"))
 
 
