@@ -282,6 +282,18 @@ def test_research(spark):
     assert iou == pytest.approx(1 / 3)
 
 
+def test_coordinators_need_reply_and_goal(spark):
+    m = messages(spark, [
+        ("g", "k", ["x"], 0, ""), ("h", "x", ["k", "k"], 10, ""), ("g", "k", [], 100, ""), ("g", "x", ["k"], 105, ""), ("g", "y", ["k"], 106, ""),
+        ("g", "k", [], 200, ""), ("g", "x", ["k"], 211, ""), ("g", "p", [], 300, ""), ("g", "x", ["p"], 301, ""), ("g", "p", [], 400, ""), ("g", "x", ["p"], 401, ""),
+        ("g", "q", [], 500, ""), ("g", "x", ["q"], 501, ""), ("g", "k", ["k"], 600, ""),
+    ])
+    goals = [("g0", "x", ["k"], 15), ("g1", "x", ["k"], 115), ("g2", "x", ["k"], 201), ("g3", "p", ["p"], 301), ("g4", "x", ["p"], 416), ("g5", "x", ["q"], 505), ("g6", "x", ["k"], 601)]
+    g = spark.createDataFrame([(i, a, n, T0 + timedelta(minutes=t)) for i, a, n, t in goals], "evidence_id string, agent_id string, named_ids array<string>, ts timestamp_ntz")
+    rows = [tuple(r) for r in research.coordinators(m, g).collect()]
+    assert rows == [("k", 2, ["t:msg:0", "t:msg:1", "g0", "t:msg:2", "t:msg:3", "g1"])]
+
+
 def test_units_that_share_only_common_terms_are_compared(spark):
     terms = [("title", f"u{i:03}", t) for i in range(230) for t in ("all", f"x{i % 2}", *([f"y{i % 7}"] if i % 3 else []), *([f"z{i}"] if i % 5 else []))]
     v = subtasks.tf_idf(spark.createDataFrame(terms, "signal string, unit string, term string"))

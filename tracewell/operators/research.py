@@ -65,6 +65,34 @@ def exchanges(messages: DataFrame, minutes: int = 30) -> DataFrame:
     return rows.where(gap <= minutes * 60_000).select("evidence_id", F.col("author_id").alias("replier"), F.col("_last.a").alias("asker"), gap.alias("gap_ms"))
 
 
+def coordinators(messages: DataFrame, goals: DataFrame, reply_minutes: int = 10, goal_minutes: int = 15, least: int = 2, shown: int = 3) -> DataFrame:
+    """(actor, score, example_ids): authors of at least ``least`` messages that another's message, naming the author, follows
+    within ``reply_minutes`` (in any channel) and another's session goal, naming the author, within ``goal_minutes``.
+
+    ``score`` counts such messages once each; ``example_ids`` are message, first reply and first goal of the earliest
+    ``shown``.  ``messages`` is (evidence_id, author_id, recipient_ids, ts) of agents, ``goals`` (evidence_id, agent_id,
+    named_ids, ts).  Both range joins are equi-joins on an actor and buckets as long as the window.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    asked = messages.where("author_id IS NOT NULL AND ts IS NOT NULL").select(F.col("evidence_id").alias("asked"), F.col("author_id").alias("actor"), micros.alias("t"))
+
+    def first(rows: DataFrame, by: str, named: str, minutes: int, after: Column) -> DataFrame:
+        width = minutes * 60_000_000
+        b = F.floor(F.col("t") / width)
+        said = rows.where("ts IS NOT NULL").select("evidence_id", F.col(by).alias("by"), F.explode(F.array_distinct(named)).alias("actor"), micros.alias("u")).withColumn("b", F.floor(F.col("u") / width))
+        met = asked.withColumn("b", F.explode(F.array(b, b + 1))).join(said, ["actor", "b"]).where((F.col("by") != F.col("actor")) & after & (F.col("u") - F.col("t") <= width))
+        return met.groupBy("actor", "asked", "t").agg(F.min(F.struct("u", "by", "evidence_id") if by == "agent_id" else F.struct("u", "evidence_id")).alias("f"))
+
+    later = F.struct("u", "evidence_id") > F.struct(F.col("t").alias("u"), F.col("asked").alias("evidence_id"))
+    replied = first(messages, "author_id", "recipient_ids", reply_minutes, later).withColumnRenamed("f", "reply")
+    taken = first(goals, "agent_id", "named_ids", goal_minutes, F.col("u") > F.col("t")).withColumnRenamed("f", "goal")
+    both = replied.join(taken, ["actor", "asked", "t"])
+    at = F.row_number().over(Window.partitionBy("actor").orderBy("t", "asked"))
+    example = F.when(F.col("at") <= shown, F.struct("at", F.array("asked", "reply.evidence_id", "goal.evidence_id").alias("ids")))
+    scores = both.withColumn("at", at).groupBy("actor").agg(F.count(F.lit(1)).alias("score"), F.array_sort(F.collect_list(example)).alias("e"))
+    return scores.where(F.col("score") >= least).select("actor", "score", F.flatten(F.transform("e", lambda x: x["ids"])).alias("example_ids"))
+
+
 def marker_rates(messages: DataFrame, keys: list[str], markers: dict[str, str], text: str = "content") -> DataFrame:
     """Per key: messages, and each marker's rate per 100 of them."""
     rates = [(100.0 * F.count(F.when(F.col(text).rlike(f"(?i){p}"), 1)) / F.count(F.lit(1))).alias(name) for name, p in markers.items()]

@@ -268,9 +268,26 @@ def bench_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.evidence_id AS asked, count(*) AS replies FROM messages a JOIN messages b ON a.channel = b.channel AND b.author_id <> a.author_id AND list_contains(b.recipient_ids, a.author_id)
   AND epoch_ms(b.ts) > epoch_ms(a.ts) AND epoch_ms(b.ts) - epoch_ms(a.ts) <= 600000 GROUP BY 1"""))
 def bench_coordinators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies within ten minutes that name the author: the first half of the coordinator rule."""
+    """Replies within ten minutes that name the author: the first half of the coordinator rule, which ``bench_coordinators_ranked`` holds whole."""
     rows, width = store.messages(spark, sf_dir), 600_000
     a = rows.select(F.col("evidence_id").alias("asked"), "channel", F.col("author_id").alias("dst"), millis().alias("t")).withColumn("b", F.explode(F.array(F.floor(F.col("t") / width), F.floor(F.col("t") / width) + 1)))
     b = rows.select("channel", "author_id", F.explode("recipient_ids").alias("dst"), millis().alias("u")).withColumn("b", F.floor(F.col("u") / width))
     met = a.join(b, ["channel", "dst", "b"]).where("author_id <> dst AND u > t AND u - t <= 600000")
     return met.groupBy("asked").agg(F.count(F.lit(1)).alias("replies"))
+
+
+@query(with_prelude("""
+WITH m AS (SELECT evidence_id, author_id, recipient_ids, epoch_us(ts) AS t FROM messages WHERE author_id NOT LIKE 'human:%'),
+g AS (SELECT evidence_id, agent_id, 'testdata:agent:' || ((user_id + k) % 150) AS named, epoch_us(ts) AS t FROM actions WHERE user_id % 10 <> 0 AND k % 2 = 0),
+x AS (SELECT m.author_id AS actor, m.evidence_id, m.t, (SELECT arg_min(n.evidence_id, (n.t, n.evidence_id)) FROM m n WHERE n.author_id <> m.author_id AND list_contains(n.recipient_ids, m.author_id)
+        AND (n.t, n.evidence_id) > (m.t, m.evidence_id) AND n.t - m.t <= 600000000) AS reply,
+        (SELECT arg_min(g.evidence_id, (g.t, g.agent_id, g.evidence_id)) FROM g WHERE g.agent_id <> m.author_id AND g.named = m.author_id AND g.t > m.t AND g.t - m.t <= 900000000) AS goal FROM m),
+y AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY t, evidence_id) AS place FROM x WHERE reply IS NOT NULL AND goal IS NOT NULL)
+SELECT actor, count(*) AS score, string_agg(evidence_id || ',' || reply || ',' || goal, ',' ORDER BY place) FILTER (WHERE place <= 3) AS example_ids FROM y GROUP BY 1 HAVING count(*) >= 2 ORDER BY score DESC, actor"""))
+def bench_coordinators_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even numbered actions of agents stand in for session goals, and name whom the messages' rule names."""
+    user, k = F.col("user_id"), F.col("k")
+    named = F.array(F.concat(F.lit("testdata:agent:"), ((user + k) % 150).cast("string")))
+    goals = store.actions(spark, sf_dir).where((user % 10 != 0) & (k % 2 == 0)).select("evidence_id", "agent_id", named.alias("named_ids"), "ts")
+    out = research.coordinators(store.messages(spark, sf_dir).where("author_id NOT LIKE 'human:%'"), goals)
+    return out.withColumn("example_ids", F.array_join("example_ids", ",")).orderBy(F.desc("score"), "actor")
