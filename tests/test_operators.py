@@ -309,6 +309,13 @@ def test_units_that_share_only_common_terms_are_compared(spark):
         assert {(r["a"], r["b"]) for r in subtasks.neighbours(subtasks.nearest(v, block=block)).collect()} == near
 
 
+def test_scaling_runs_2000_shuffles(spark):
+    from tracewell.registry import QUERIES
+
+    rows = QUERIES["scaling_permutations"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 5 and all(r["p"] * 2001 == pytest.approx(round(r["p"] * 2001), abs=1e-6) for r in rows)
+
+
 def test_louvain_finds_planted_clusters(spark):
     pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(6) for j in range(i)] + [("a0", "b0", 0.1), ("b0", "c0", 0.1)]
     e = spark.createDataFrame(pairs, "a string, b string, sim double")

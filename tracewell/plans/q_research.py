@@ -221,7 +221,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scaling_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return research.permutation_test(_cells(spark, sf_dir), "x", "y", "cell", times=200)
+    return research.permutation_test(_cells(spark, sf_dir), "x", "y", "cell")
 
 
 @query("""
