@@ -212,6 +212,21 @@ def test_near_duplicates_odd(odd, empty):
     assert minhash.deduplicate(odd).columns == odd.columns
 
 
+def test_rows_without_or_with_repeated_ids_are_dropped_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    schema = "doc_id long, text string"
+    near = a.rsplit(" ", 2)[0]
+    rows = [(5, a), (5, a), (None, a), (7, near), (None, b), (None, b), (None, b.rsplit(" ", 2)[0]), (8, c), (8, "short one"), (None, "")]
+    got = [tuple(r) for r in minhash.deduplicate(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == 5 and {(5, a), (8, c), (8, "short one"), (None, "")} < set(got)
+    bench = spark.createDataFrame([("q", c)], "item_id string, text string")
+    rows = [(None, c), (8, c), (8, "clean"), (None, "clean too"), (9, b)]
+    got = {tuple(r) for r in decontaminate.clean(spark.createDataFrame(rows, schema), bench).collect()}
+    assert got == set(rows[2:])
+    linked = minhash.link(spark.createDataFrame([(None, a), (3, near), (4, b)], schema)).collect()
+    assert {r["component_id"] for r in linked} == {3, 4}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

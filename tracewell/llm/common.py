@@ -73,6 +73,15 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(maybe_broadcast(ids.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)
 
 
+#: The column of ``numbered``.
+ROW = "tracewell_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, staged, with a number for each row: ids may be null or repeated."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 #: Rows of an Arrow batch; Spark's default of 10,000 long texts would cost each task tens of megabytes, several times.
 BATCH_ROWS = 2000
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from tracewell.llm.common import drop_ids, slices, small_batches, stage
+from tracewell.llm.common import ROW, drop_ids, numbered, slices, small_batches, stage
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -225,5 +225,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` without the contaminated ones."""
-    return drop_ids(documents, stage(contaminated(documents, benchmark, threshold).select("doc_id"), "contaminated"))
+    """``documents`` without the contaminated rows, which are told apart by number."""
+    rows = numbered(documents)
+    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, threshold)
+    return drop_ids(rows, stage(found.select(F.col("doc_id").alias(ROW)), "contaminated"), ROW).drop(ROW)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import drop_ids, ranked, slices, small, small_batches, stage, unstage
+from tracewell.llm.common import ROW, drop_ids, numbered, ranked, slices, small, small_batches, stage, unstage
 from tracewell.llm.components import components, forest
 
 WIDTH = 5
@@ -151,7 +151,8 @@ def sketch(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, elements) of the ``wanted`` (node, doc_id): texts are read again, sets built once."""
+    """(node, elements) of the ``wanted`` (node, doc_id): texts are read again, sets built once.  A node without an id
+    is looked for among the texts without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -163,11 +164,16 @@ def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "is_node", "elements"]
                 )
 
+    schema = "node bigint, is_node bigint, elements array<bigint>"
+    nameless = documents.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text")
+    nameless = small_batches(nameless).mapInArrow(run, schema).select(F.col("is_node").alias("node"), "elements")
+    nameless = nameless.join(wanted.where("doc_id IS NULL").select("node"), "node", "left_semi")
     if small(wanted):
         wanted = F.broadcast(wanted)
     rows = documents.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
     # An id may carry other texts too, or the same text twice; only the node's own set counts, once.
-    return small_batches(rows).mapInArrow(run, "node bigint, is_node bigint, elements array<bigint>").where("node = is_node").drop("is_node").dropDuplicates(["node"])
+    named = small_batches(rows).mapInArrow(run, schema).where("node = is_node").drop("is_node")
+    return named.union(nameless).dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -269,7 +275,7 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stage(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
 
     touched = members.select("node").distinct()
-    wanted = classes.select("node", "doc_id").join(touched, "node").where("doc_id IS NOT NULL")
+    wanted = classes.select("node", "doc_id").join(touched, "node")
     sets = stage(sets_of(documents, wanted), "sets")
     links = stage(verify(pairs, sets, percent), "links")
     groups = components(links)
@@ -302,8 +308,14 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``documents`` without those that are not their group's smallest id."""
-    return drop_ids(documents, stage(link(documents, percent).where("NOT kept").select("doc_id"), "dropped"))
+    """One row of each group of ``documents``: that of the smallest id, where there is one.  Rows are told apart by number."""
+    rows = numbered(documents)
+    groups = link(rows.select(F.col(ROW).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = stage(groups.join(rows.select(ROW, "doc_id"), ROW), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", ROW))[ROW].alias("first"))
+    dropped = stage(groups.join(first, "component_id").where(F.col(ROW) != F.col("first")).select(ROW), "dropped")
+    unstage(groups)
+    return drop_ids(rows, dropped, ROW).drop(ROW)
 
 
 __all__ = ["Shingler", "band_keys", "deduplicate", "link", "signature", "sketch"]
