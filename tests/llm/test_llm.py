@@ -212,6 +212,14 @@ def test_near_duplicates_odd(odd, empty):
     assert minhash.deduplicate(odd).columns == odd.columns
 
 
+def test_language_keeps_texts_too_short_to_tell(spark):
+    filters = language.learn(iter([("re the cat and the dog and the end", "en"), ("re der hund und die katze und das ende", "de")] * 3))
+    rows = [(1, "Re."), (2, "the dog and the cat"), (3, "1234 !"), (4, "zzqx wvvk qqjx xkcd zzpq vvxw kkqz jjxq"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert filters.judge("Re.", filters.fill())[1] == 0.5
+    assert {r["doc_id"] for r in language.keep(df, filters).collect()} == {1, 2}
+
+
 def test_rows_without_or_with_repeated_ids_are_dropped_by_row(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     schema = "doc_id long, text string"

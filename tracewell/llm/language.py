@@ -34,6 +34,8 @@ HASHES = 2
 BITS = 20
 MAX_ROWS = 4000
 MIN_TEXTS = 2
+#: N-grams that not every language claims, below which a low score is lack of evidence: about three short words.
+MIN_TOLD = 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -102,23 +104,28 @@ class Filters:
         return bits[:, kept].sum(axis=1, dtype=np.int64).astype(np.float64), int(kept.sum())
 
     def judge(self, text: str | None, fill: dict[int, np.ndarray]) -> tuple[str, float]:
+        return self.measure(text, fill)[:2]
+
+    def measure(self, text: str | None, fill: dict[int, np.ndarray]) -> tuple[str, float, int]:
+        """The language, its score, and how many n-grams it rests on: those that not every language claims."""
         raw = normalise(text)
         if not raw or not self.languages:
-            return "und", 0.0
+            return "und", 0.0, 0
         if len(self.languages) == 1:
-            return self.languages[0], 1.0
+            return self.languages[0], 1.0, 0
         share = np.zeros(len(self.languages))
-        seen = 0
+        seen = told = 0
         for size in self.tables:
             claimed, total = self.counts(raw, size)
+            told += total
             corrected = np.maximum(0.0, (claimed - fill[size] * total) / np.maximum(1e-9, 1 - fill[size]))
             if corrected.sum() > 0:
                 share += corrected / corrected.sum()
                 seen += 1
         if not seen:
-            return self.languages[0], 1 / len(self.languages)
+            return self.languages[0], 1 / len(self.languages), told
         best = int(np.argmax(share))
-        return self.languages[best], float(share[best] / seen)
+        return self.languages[best], float(share[best] / seen), told
 
 
 class Tally:
@@ -199,8 +206,8 @@ def identify(documents: DataFrame, filters: Filters) -> DataFrame:
 
 
 def keep(documents: DataFrame, filters: Filters, margin: float = 1.1) -> DataFrame:
-    """``documents`` with all columns, less the rows of no known language: ``und``, and those whose score
-    is not ``margin`` times what a language gets by chance."""
+    """``documents`` with all columns, less the rows of no known language: ``und``, and those whose score,
+    over MIN_TOLD n-grams or more, is not ``margin`` times what a language gets by chance."""
     least = margin / len(filters.languages) if len(filters.languages) > 1 else 0.0
     shared = documents.sparkSession.sparkContext.broadcast(filters)
 
@@ -209,8 +216,8 @@ def keep(documents: DataFrame, filters: Filters, margin: float = 1.1) -> DataFra
         fill = filters.fill()
 
         def test(texts):
-            judged = [filters.judge(t, fill) for t in texts]
-            return [lang != "und" and share >= least for lang, share in judged]
+            judged = [filters.measure(t, fill) for t in texts]
+            return [lang != "und" and (share >= least or told < MIN_TOLD) for lang, share, told in judged]
 
         return test
 
