@@ -47,7 +47,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.stage_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    rows = common.stage(token_files.digests(token_files.read(spark, path)), "token-digests")
+    rows = common.stage(token_files.digests(spark, path), "token-digests")
     return token_files.starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
