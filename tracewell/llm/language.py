@@ -36,13 +36,15 @@ MAX_ROWS = 4000
 MIN_TEXTS = 2
 #: N-grams that not every language claims, below which a low score is lack of evidence: about three short words.
 MIN_TOLD = 16
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def normalise(text: str | None) -> bytes:
-    """Lower-cased runs of letters between single spaces, as UTF-8; empty if there is no letter."""
-    words = _LETTERS.findall(text.lower()) if text else []
+    """Lower-cased runs of letters (``str.isalpha``) between single spaces, as UTF-8; empty if there is no letter."""
+    words = _RUNS.findall(text.lower()) if text else []
+    if words and not "".join(words).isalpha():  # the pattern lets in numbers such as fractions and Roman numerals
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     return f" {' '.join(words)} ".encode("utf-8", "surrogatepass") if words else b""
 
 
@@ -182,7 +184,7 @@ def fit(documents: DataFrame, train: Column | None = None, max_rows: int = MAX_R
     train = id_fold("doc_id", 5) != 0 if train is None else train
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & train)
     ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
-    sample = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id")
+    sample = samples.short(known.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))).join(F.broadcast(ids), "doc_id")
     return learn((r["text"], r["lang"]) for r in samples.stream(sample))
 
 

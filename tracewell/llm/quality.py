@@ -4,9 +4,9 @@ Bytes are embedded (learned), with one more channel that tells whether the last
 repeat what stood 2 to 32 bytes before.  Learned filters of 12 bytes, every 4 bytes, are rectified
 and max-pooled in chunks of 256 bytes that overlap by half and cover the whole text.  Each
 filter's maximum over the chunks and its mean over them are combined by a logistic unit into one
-probability.  Texts are read in slabs, so the memory used does not grow with a text.
+probability.  Texts are read in slabs, so that what is held beside a text does not grow with it.
 
-Training minimises log loss by Adam on a bounded sample, with gradients through the maxima.
+Training minimises log loss by Adam on a bounded sample (rows and bytes a row), with gradients through the maxima.
 
 Defined results: null and empty texts are scored as one chunk of padding; texts are read whole
 at any length; repeated rows score alike; where the sample lacks a class the score is 0.5
@@ -35,8 +35,8 @@ MAX_ROWS = 1500
 
 
 def repeats(x: np.ndarray) -> np.ndarray:
-    """1 where the eight bytes that end here also ended 2 to 32 bytes before."""
-    out = np.zeros(len(x), np.float32)
+    """Whether the eight bytes that end here also ended 2 to 32 bytes before."""
+    out = np.zeros(len(x), bool)
     n = len(x) - 7
     if n <= LAGS[0]:
         return out
@@ -82,16 +82,22 @@ class Network:
 
     def features(self, text: bytes) -> np.ndarray:
         """Maximum over chunks, and mean over chunks, of the chunks' maxima."""
-        x, repeated = padded(text)
-        step = SLAB // (STRIDE * HALF) * STRIDE * HALF
-        halves = []
-        for a in range(0, max(1, len(x) - STRIDE * (TAPS - 1)), step):
-            to = min(len(x), a + step + STRIDE * (TAPS - 1))
-            _, r = self._responses(x[a:to], repeated[a:to])
-            halves.append(r.reshape(-1, HALF, r.shape[1]).max(axis=1))
-        half = np.concatenate(halves)
-        chunks = np.maximum(half[:-1], half[1:]) if len(half) > 1 else half
-        return np.concatenate([chunks.max(axis=0), chunks.mean(axis=0)])
+        top = total = last = None
+        chunks = 0
+        for x, repeated in slabs(text, SLAB // (STRIDE * HALF) * STRIDE * HALF):
+            _, r = self._responses(x, repeated)
+            half = r.reshape(-1, HALF, r.shape[1]).max(axis=1)
+            if last is not None:
+                half = np.concatenate([last, half])
+            last = half[-1:]
+            if len(half) > 1:
+                both = np.maximum(half[:-1], half[1:])
+                top = both.max(axis=0) if top is None else np.maximum(top, both.max(axis=0))
+                total = both.sum(axis=0, dtype=np.float64) + (0 if total is None else total)
+                chunks += len(both)
+        if not chunks:
+            return np.concatenate([last[0], last[0]])
+        return np.concatenate([top, (total / chunks).astype(np.float32)])
 
     def score(self, text: bytes) -> float:
         if not self.trained:
@@ -99,16 +105,26 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.out + self.offset, -40, 40))))
 
 
-def padded(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and repeat channel, padded so that positions fill whole half chunks."""
+def slabs(text: bytes, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and repeat channel of ``step`` bytes' positions at a time, padded so that positions fill whole half chunks."""
     x = np.frombuffer(text, np.uint8)
     positions = max(1, -(-len(x) // STRIDE) - TAPS + 1)
     positions = -(-positions // HALF) * HALF
-    full = np.zeros((positions + TAPS - 1) * STRIDE, np.uint8)
-    full[: len(x)] = x
-    repeated = np.zeros(len(full), np.float32)
-    repeated[: len(x)] = repeats(x)
-    return full, repeated
+    size = (positions + TAPS - 1) * STRIDE
+    reach = LAGS[-1] + 7  # how far back the repeat channel looks
+    for a in range(0, positions * STRIDE, step):
+        to = min(size, a + step + STRIDE * (TAPS - 1))
+        full, repeated = np.zeros(to - a, np.uint8), np.zeros(to - a, bool)
+        held = x[a:to]
+        full[: len(held)] = held
+        back = min(a, reach)
+        repeated[: len(held)] = repeats(x[a - back : to])[back:] if len(held) else False
+        yield full, repeated
+
+
+def padded(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All of a text as one slab."""
+    return next(slabs(text, max(1, len(text) + STRIDE * HALF)))
 
 
 def _step(net: Network, x: np.ndarray, repeated: np.ndarray, label: int, grads: list[np.ndarray]) -> float:
@@ -128,7 +144,7 @@ def _step(net: Network, x: np.ndarray, repeated: np.ndarray, label: int, grads:
     top = chunks.argmax(axis=0)
     cols = np.arange(f)
     feats = np.concatenate([chunks[top, cols], chunks.mean(axis=0)])
-    logit = float(feats @ net.out + net.offset)
+    logit = (feats @ net.out + net.offset).item()
     p = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
     d = p - label
     grads[3] += d * feats

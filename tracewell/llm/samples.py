@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Longer texts are not learned from (all are scored): so a sample of 2 * 2,500 texts holds 640 MB at most.
+MAX_BYTES = 1 << 17
+
 
 def labelled_ids(labels: DataFrame, label: str, rows_per_class: int, train: Column, id_col: str = "doc_id") -> DataFrame:
     """(id, label) of at most ``rows_per_class`` rows of each of the classes 0 and 1: those whose id
@@ -17,10 +20,15 @@ def labelled_ids(labels: DataFrame, label: str, rows_per_class: int, train: Colu
     return parts[0].union(parts[1])
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, rows_per_class: int, train: Column, id_col: str = "doc_id") -> DataFrame:
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, rows_per_class: int, train: Column, id_col: str = "doc_id", max_bytes: int = MAX_BYTES) -> DataFrame:
     """(id, text, label) of the sample; the ids, at most twice ``rows_per_class``, are broadcast."""
     ids = labelled_ids(labels, label, rows_per_class, train, id_col)
-    return documents.select(id_col, "text").join(F.broadcast(ids), id_col).select(id_col, "text", "label")
+    return short(documents.select(id_col, "text"), max_bytes).join(F.broadcast(ids), id_col).select(id_col, "text", "label")
+
+
+def short(rows: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows that a fit may hold on one machine: those with texts of at most ``max_bytes`` bytes."""
+    return rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
 
 
 def stream(sample: DataFrame) -> Iterator:

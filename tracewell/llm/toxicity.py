@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -118,9 +119,13 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for a, b in spared:
-            for at in [p for p in found if a <= p < b]:
-                del found[at]
+        if spared and found:
+            places = sorted(found)
+            past = 0  # what lies before this place is done, however many phrases overlap
+            for a, b in sorted(spared):
+                for at in places[bisect_left(places, max(a, past)) : bisect_left(places, b)]:
+                    del found[at]
+                past = max(past, b)
         return found
 
     def strength(self, words: list[str], machine: ahocorasick.Automaton | None) -> float:
@@ -279,7 +284,7 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
                     found = lexicon.matches(words, machine)
                     scores.append(lexicon.score(lexicon.normalised(sum(found.values()), len(words))))
                     joined = " ".join(words) if found else ""
-                    matches.append([joined[p:].split(" ", 1)[0] for p in sorted(found)])
+                    matches.append([joined[p : e if (e := joined.find(" ", p)) >= 0 else None] for p in sorted(found)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(matches, pa.list_(pa.string()))], names=["doc_id", "score", "matches"])
 
     return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, matches array<string>")
