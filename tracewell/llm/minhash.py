@@ -9,7 +9,7 @@ work stops there: one level for a long document.
 
 Flow, every step linear in what it reads:
 
-1. documents -> (digest of the whole set, band keys), one pass; equal sets become one class;
+1. documents -> (128-bit digest of the whole set, band keys), one pass; equal sets become one class;
 2. band keys shared by two classes or more make buckets.  A bucket never emits its pairs:
    each member is paired with one centre only, the member that shares most with others;
 3. pairs are verified on full sets (100 * intersection >= 75 * union), then grouped;
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ROW, drop_ids, numbered, ranked, slices, small, small_batches, stage, unstage
+from tracewell.llm.common import ROW, drop_ids, maybe_broadcast, numbered, ranked, slices, small, small_batches, stage, unstage
 from tracewell.llm.components import components, forest
 
 WIDTH = 5
@@ -46,6 +46,8 @@ PERCENT = 75
 #: Buckets of at most so many open members list their pairs; larger ones are compared in blocks.
 FEW = 16
 BLOCK = 512
+#: Pairs of one node that are verified together.
+PARTNERS = 256
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _VOCABULARY = 100_000
 
@@ -129,58 +131,71 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def sketch(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, keys): ``node`` stands for the whole set (null if it is empty)."""
+    """(id, n_shingles, digest, keys): ``digest``, of 128 bits, stands for the whole set (null if it is empty)."""
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for whole in batches:
             for batch in slices(whole):
-                counts, nodes, keys = [], [], []
+                counts, digests, keys = [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingler.shingles(text)
                     counts.append(len(s))
-                    nodes.append(xxhash.xxh64_intdigest(s) - (1 << 63) if len(s) else None)
+                    digests.append(xxhash.xxh128_digest(s) if len(s) else None)
                     keys.append(band_keys(signature(s)) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=[id_col, "n_shingles", "node", "keys"],
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=[id_col, "n_shingles", "digest", "keys"],
                 )
 
-    return small_batches(documents).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles bigint, node bigint, keys array<bigint>")
+    return small_batches(documents).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, elements) of the ``wanted`` (node, doc_id): texts are read again, sets built once.  A node without an id
+    """(node, elements) of the ``wanted`` (node, digest, doc_id): texts are read again, sets built once.  A node without an id
     is looked for among the texts without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for whole in batches:
-            for batch in slices(whole):
-                sets = [shingler.shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-                nodes = [xxhash.xxh64_intdigest(s) - (1 << 63) if len(s) else None for s in sets]
+            for batch in slices(whole, 2):
+                sets = [shingler.shingles(t).view(np.int64) for t in batch.column(2).to_pylist()]
+                digests = [xxhash.xxh128_digest(s) if len(s) else None for s in sets]
+                # An id may carry other texts too; only the node's own set counts.
+                own = [i for i, (has, wants) in enumerate(zip(digests, batch.column(1).to_pylist(), strict=True)) if wants in (None, has)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "is_node", "elements"]
+                    [batch.column(0).take(pa.array(own, pa.int64())), pa.array([digests[i] for i in own], pa.binary()), pa.array([sets[i] for i in own], pa.list_(pa.int64()))],
+                    names=["node", "digest", "elements"],
                 )
 
-    schema = "node bigint, is_node bigint, elements array<bigint>"
-    nameless = documents.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text")
-    nameless = small_batches(nameless).mapInArrow(run, schema).select(F.col("is_node").alias("node"), "elements")
-    nameless = nameless.join(wanted.where("doc_id IS NULL").select("node"), "node", "left_semi")
+    schema = "node bigint, digest binary, elements array<bigint>"
+    nameless = documents.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("digest"), "text")
+    nameless = small_batches(nameless).mapInArrow(run, schema).select("digest", "elements")
+    nameless = nameless.join(wanted.where("doc_id IS NULL").select("digest", "node"), "digest").select("node", "elements")
     if small(wanted):
         wanted = F.broadcast(wanted)
-    rows = documents.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    # An id may carry other texts too, or the same text twice; only the node's own set counts, once.
-    named = small_batches(rows).mapInArrow(run, schema).where("node = is_node").drop("is_node")
-    return named.union(nameless).dropDuplicates(["node"])
+    rows = documents.select("doc_id", "text").join(wanted, "doc_id").select("node", "digest", "text")
+    named = small_batches(rows).mapInArrow(run, schema).select("node", "elements")
+    return named.union(nameless).dropDuplicates(["node"])  # the same text twice under one id
+
+
+def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """``rows`` of the ``pairs`` with the set of each ``side``.  A node with many partners is the work of many tasks: its pairs are
+    dealt by the partner into parts of about PARTNERS, and its set is copied to each part."""
+    parts = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")).where("parts > 1")
+    parts = maybe_broadcast(parts)
+    copied = sets.join(parts, "node", "left").select(
+        F.col("node").alias(side), F.col("elements").alias(f"of_{side}"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    )
+    dealt = rows.join(parts.withColumnRenamed("node", side), side, "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), "parts"), F.lit(0).cast("long"))).drop("parts")
+    return dealt.join(copied, [side, "part"]).drop("part")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b"))
-    both = pairs.join(one, "a").join(two, "b")
+    """The (a, b) of ``pairs``, a staged table, whose sets are similar enough."""
+    both = _with_set(_with_set(pairs, pairs, sets, "a", "b"), pairs, sets, "b", "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
@@ -258,7 +273,10 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents``."""
     sketches = stage(sketch(documents), "sketches")
     classes = stage(
-        sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
+        sketches.where("digest IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
@@ -275,7 +293,7 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stage(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
 
     touched = members.select("node").distinct()
-    wanted = classes.select("node", "doc_id").join(touched, "node")
+    wanted = classes.select("node", "digest", "doc_id").join(touched, "node")
     sets = stage(sets_of(documents, wanted), "sets")
     links = stage(verify(pairs, sets, percent), "links")
     groups = components(links)
@@ -289,21 +307,21 @@ def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     few = rest.where(F.col("left") <= FEW)
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
     across = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("g") != F.col("h"))).where(_as_long(percent, "n", "m"))
-    across = across.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    across = stage(across.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), "across")
     more = verify(across, sets, percent).union(verify_blocks(rest.where(F.col("left") > FEW), sets, percent))
     more = stage(more, "links")
     if more.limit(1).count():
         unstage(groups)
         groups = components(links.union(more))
-    unstage(members, pairs, sets, rest)
+    unstage(members, pairs, sets, rest, across)
 
-    named = classes.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("node", "digest", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stage(named.join(names, "component").select("node", "component_id"), "named")
+    named = stage(named.join(names, "component").select("digest", "component_id"), "named")
     unstage(links, more, groups, classes)
     out = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")]
-    linked = sketches.where("node IS NOT NULL").join(named, "node").select(*out)
-    alone = sketches.where("node IS NULL").withColumn("component_id", F.col("doc_id")).select(*out)
+    linked = sketches.where("digest IS NOT NULL").join(named, "digest").select(*out)
+    alone = sketches.where("digest IS NULL").withColumn("component_id", F.col("doc_id")).select(*out)
     return linked.union(alone)
 
 
