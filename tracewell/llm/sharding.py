@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Offsets of (shard, bucket) are broadcast up to this many rows, which the parameters bound.
 MAX_OFFSETS = 1_000_000
 ROW_OVERHEAD = 16
+#: Equal rows that one task lists at a time.
+RUN = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -109,16 +111,17 @@ def with_shard(df: DataFrame, tree: Tree, grown: Tree | None, key: str, slot_buc
     return out.withColumn("bucket", bucket.cast("int"))
 
 
-def number(rows: DataFrame, tree: Tree, key: str, order: list[str], slot_buckets: int = 1024) -> DataFrame:
-    """``rows`` with a gapless ``slot`` per shard."""
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+def number(rows: DataFrame, tree: Tree, key: str, order: list[str], slot_buckets: int = 1024, count: str | None = None) -> DataFrame:
+    """``rows`` with a gapless ``slot`` per shard; a row that stands for ``count`` rows takes as many slots, and gets the first."""
+    n = F.lit(1) if count is None else F.col(count)
+    counts = rows.groupBy("shard", "bucket").agg(F.sum(n).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     if tree.shards * slot_buckets <= MAX_OFFSETS:
         offsets = F.broadcast(offsets)
-    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*order)) - 1
+    within = Window.partitionBy("shard", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("at", at)
+        rows.withColumn("at", F.coalesce(F.sum(n).over(within), F.lit(0)))
         .join(offsets, ["shard", "bucket"])
         .withColumn("slot", (F.col("offset") + F.col("at")).cast("long"))
         .drop("offset", "at")
@@ -139,6 +142,14 @@ def shard_documents(
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    rows = with_shard(rows, tree, grow(tree), "doc_id", slot_buckets)
-    out = number(rows, tree, "doc_id", ["doc_id", "text_crc32", "size"], slot_buckets)
+    # Rows of one id and text are equal here: they are counted before they are shuffled and numbered as one, so an id that a third
+    # of all rows carry is one row to sort; then they are dealt anew in bounded runs, each row with its slot.
+    alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    alike = with_shard(alike, tree, grow(tree), "doc_id", slot_buckets)
+    placed = number(alike, tree, "doc_id", ["doc_id", "text_crc32", "size"], slot_buckets, "n")
+    last = F.col("n") - 1
+    runs = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))))
+    runs = runs.repartition("doc_id", "text_crc32", "run")
+    out = runs.withColumn("step", F.explode(F.sequence(F.col("run") * RUN, F.least(last, F.col("run") * RUN + (RUN - 1)))))
+    out = out.withColumn("slot", F.col("slot") + F.col("step"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
