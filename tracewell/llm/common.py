@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import warnings
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,11 +19,17 @@ _OWN_DIR: list[str] = []
 BROADCAST_ROWS = 1_000_000
 
 
+#: Staged tables not yet deleted: path -> the file system's path and its configuration.
+_LIVE: dict[str, tuple] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="tracewell-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], True)
@@ -28,7 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tracewell-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there is deleted at the end of the driver, if not before."""
+    path = f"{shared_dir(spark).rstrip('/')}/tracewell-{name}-{uuid.uuid4().hex}"
+    if not _LIVE:
+        atexit.register(sweep)
+    _LIVE[path] = (spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
+    return path
+
+
+def _delete(path: str) -> None:
+    where, conf = _LIVE.pop(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def sweep(but: tuple[str, ...] = ()) -> None:
+    """Delete all staged tables but those at the paths ``but``: nothing that was made from them can be read again."""
+    for path in [p for p in _LIVE if p not in but]:
+        try:
+            _delete(path)
+        except Exception as e:  # noqa: BLE001  the gateway may be gone when the driver ends
+            warnings.warn(f"{path} is left behind: {e}", stacklevel=2)
+            return
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -46,10 +75,18 @@ def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for df in frames:
         path = getattr(df, "_staged_at", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        if path in _LIVE:
+            _delete(path)
+
+
+@contextmanager
+def scratch(*kept: DataFrame) -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes at its end the tables that were staged within, but those handed to the function it gives."""
+    before = set(_LIVE)
+    spared = {getattr(df, "_staged_at", None) for df in kept}
+    yield lambda df: spared.add(getattr(df, "_staged_at", None))
+    for path in [p for p in _LIVE if p not in before and p not in spared]:
+        _delete(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -87,7 +124,11 @@ BATCH_ROWS = 2000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering its session's Arrow batches to BATCH_ROWS rows."""
+    """``df``, after lowering its session's Arrow batches to BATCH_ROWS rows.
+
+    Spark takes the size from the session when a plan is made, at the action; so the setting stays, which
+    changes no result.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
