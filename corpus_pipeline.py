@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again by its successor."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again by its successor.
+
+Defined results: rows are judged by their texts, whatever their ids, so rows with a null id or with one that others carry too
+stay or go one by one.  Null texts, and texts without a letter, go in the language stage, and with them the empty ones.  Equal
+texts are copies: one row stays, the one of the smallest id (a null id only where no copy has one).  Columns beyond those of
+``documents`` go with their rows up to the last stage, whatever their names; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, language, minhash, piece_bpe, toxicity
-from tracewell.llm.common import stage
+from tracewell.llm.common import scratch, stage, unstage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what earlier stages wrote is deleted as soon as their successors have read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch() as spare:
+            docs = stage(step(spark, before, sf_dir), f"pipeline-{name}")
+            spare(docs)
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
