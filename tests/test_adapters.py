@@ -72,5 +72,3 @@ def test_views(spark):
     e = spark.createDataFrame([("a", T0), ("b", T0 - timedelta(days=1))], "id string, ts timestamp_ntz")
     links = spark.createDataFrame([("a", "b"), ("a", "z")], "src string, dst string")
     assert {r["problem"]: r["n"] for r in views.trace_problems(e, links).collect()} == {"edge_to_nowhere": 1, "edge_back_in_time": 1}
-    f = spark.createDataFrame([("G", "u", 1), ("C", "u", 2)], "monitor string, subject string, sequence int")
-    assert [r["monitor"] for r in views.single_point(f, f.limit(1)).collect()] == ["C"]

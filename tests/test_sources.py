@@ -92,8 +92,24 @@ def test_ingest_replaces_by_source(spark, dataset, tmp_path):
     with pytest.raises(ValueError, match="repeated keys"):
         ingest.ingest(spark, root, "three", {"messages": out["messages"].union(out["messages"])}, "c")
     before = ingest.read(spark, root)["messages"].count()
-    ingest.compact(spark, root)
-    assert ingest.read(spark, root)["messages"].count() == before
+    dead, share = ingest.garbage(spark, root)
+    assert dead and 0 < share < 1 and ingest.compact(spark, root, least=0.999) == "kept"
+    assert ingest.compact(spark, root, least=0.0) == "compacted"
+    assert ingest.read(spark, root)["messages"].count() == before and ingest.garbage(spark, root) == ([], 0.0)
+
+
+def test_of_two_writers_at_once_one_fails(spark, dataset, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    out = mapping.apply(MAPPING, readers.tables(spark, dataset), "src")
+    ingest.ingest(spark, root, "src", out, "a")
+    seen = ingest.current(spark, root)
+    few = {"messages": out["messages"].limit(2)}
+    assert ingest.ingest(spark, root, "two", few, "b") == "new"
+    monkeypatch.setattr(ingest, "current", lambda *_: seen)  # as a writer that looked before the other was done
+    with pytest.raises(ingest.SourceConflict):
+        ingest.ingest(spark, root, "three", few, "c")
+    monkeypatch.undo()
+    assert set(ingest.current(spark, root)[1]) == {"src", "two"}
 
 
 def test_export_and_check(spark, tmp_path):

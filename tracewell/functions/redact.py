@@ -23,22 +23,24 @@ CREDENTIAL, EMAIL, PHONE, IP, URL_CREDENTIAL = "[credential]", "[email]", "[phon
 #: Name parts whose values are secrets.
 PASSWORD_NAMES = ("password", "passwd", "pwd", "passphrase")
 SECRET_NAMES = ("secret", "token", "apikey", "api_key", "access_key", "private_key", "client_secret", "auth_token", "credentials")
+#: Prefixes of cloud key ids, which need no digit.
+KEY_IDS = ("A3T", "AKIA", "ASIA", "ABIA", "ACCA", "AGPA", "AIDA", "AIPA", "ANPA", "ANVA", "AROA", "APKA")
 #: Formats of providers' keys.
 PROVIDER_KEYS = (
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}",
-    r"gh[pousr]_[A-Za-z0-9]{20,255}",
-    r"github_pat_[A-Za-z0-9_]{20,255}",
-    r"glpat-[A-Za-z0-9_-]{20,64}",
-    r"xox[abprs]-[A-Za-z0-9-]{10,200}",
-    r"sk-(?:ant-|proj-)?[A-Za-z0-9_-]{20,200}",
-    r"sk_(?:live|test)_[A-Za-z0-9]{16,100}",
-    r"rk_(?:live|test)_[A-Za-z0-9]{16,100}",
-    r"AIza[A-Za-z0-9_-]{35}",
-    r"ya29\.[A-Za-z0-9_-]{20,300}",
-    r"hf_[A-Za-z0-9]{20,100}",
+    r"(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|AROA|APKA)[A-Z0-9]{16}",
+    r"gh[pousr]_[A-Za-z0-9]{36,251}",
+    r"github_pat_[A-Za-z0-9_]{22,251}",
+    r"glpat-[A-Za-z0-9_-]{20,}",
+    r"xox[abposr]-[A-Za-z0-9-]{10,}",
+    r"xapp-[0-9]-[A-Za-z0-9-]{10,}",
+    r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}",
+    r"sk-[A-Za-z0-9_-]{20,}",
+    r"AIza[0-9A-Za-z_-]{35}",
+    r"hf_[A-Za-z0-9]{30,}",
     r"npm_[A-Za-z0-9]{36}",
-    r"pypi-[A-Za-z0-9_-]{20,300}",
-    r"SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}",
+    r"pypi-[A-Za-z0-9_-]{50,}",
+    r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
+    r"(?:AC|SK)[0-9a-f]{32}",
 )
 
 
@@ -83,7 +85,7 @@ def _url(m: re.Match[str]) -> str | None:
 
 
 def _provider(m: re.Match[str]) -> str | None:
-    return CREDENTIAL if any(c.isdigit() for c in m[0]) or m[0][:4] in ("AKIA", "ASIA") else None
+    return CREDENTIAL if any(c.isdigit() for c in m[0]) or m[0].startswith(KEY_IDS) else None
 
 
 def _auth(m: re.Match[str]) -> str | None:
@@ -129,8 +131,8 @@ def rules(allowed_domains: tuple[str, ...] = (), with_ip: bool = False) -> tuple
     out = [
         Rule("url_credential", re.compile(r"\b([A-Za-z][A-Za-z0-9+.-]{1,20}://)([^\s/@?#]{1,256})@"), _url, ("://",)),
         Rule("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]{0,20000}(?:-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?"), fixed(CREDENTIAL), ("private key",)),
-        Rule("provider_key", re.compile(r"(?<![A-Za-z0-9_-])(?:" + "|".join(PROVIDER_KEYS) + r")(?![A-Za-z0-9])"), _provider,
-             ("akia", "asia", "gh", "glpat", "xox", "sk", "rk_", "aiza", "ya29", "hf_", "npm_", "pypi", "sg.")),
+        Rule("provider_key", re.compile(r"(?<![A-Za-z0-9_-])(?:" + "|".join(PROVIDER_KEYS) + r")(?![A-Za-z0-9_-])"), _provider,
+             (*(k.lower() for k in KEY_IDS), "gh", "glpat", "xox", "xapp", "sk", "rk_", "aiza", "hf_", "npm_", "pypi", "sg.", "ac")),
         Rule("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{5,2000}\.[A-Za-z0-9_-]{5,4000}\.[A-Za-z0-9_-]{5,1000}"), fixed(CREDENTIAL), ("eyj",)),
         Rule("auth_header", re.compile(r"(\bBearer\s{1,4}|\bAuthorization\s{0,2}[:=]\s{0,2}(?:Basic\s{1,4}|Token\s{1,4}|Bearer\s{1,4})?)([A-Za-z0-9._~+/=-]{8,2000})", re.I), _auth, ("bearer", "authorization")),
         Rule("keyword_secret", re.compile(rf"\b((?:[A-Za-z0-9]{{1,40}}[_-])?(?:{names}))([\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?)([^\s\"',;]{{6,300}})", re.I), _keyword,

@@ -29,16 +29,13 @@ def tokens(text: Column) -> Column:
 
 
 def terms(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """One row per row and distinct term: tokens and pairs of neighbours, without stopwords in either half."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOPWORDS))])
+    """One row per row and distinct term: tokens and pairs of neighbours, without stopwords in either half.  Words are dropped within
+    the array, by a hashed lookup, so that only terms become rows."""
     listed = df.select(*keep, tokens(F.col(text)).alias("_t"))
-    pairs = F.when(
-        F.size("_t") >= 2,
-        F.transform(F.sequence(F.lit(0), F.size("_t") - 2), lambda i: F.concat_ws(" ", F.get(F.col("_t"), i), F.get(F.col("_t"), i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
-    exploded = listed.select(*keep, F.explode(F.array_distinct(F.concat("_t", pairs))).alias("term"))
-    first, second = F.split_part("term", F.lit(" "), F.lit(1)), F.split_part("term", F.lit(" "), F.lit(2))
-    return exploded.where(~F.array_contains(stop, first) & ~F.array_contains(stop, second))
+    fine = lambda w: ~w.isin(*STOPWORDS)
+    pair = lambda w, i: F.when((i > 0) & fine(w) & fine(F.get(F.col("_t"), i - 1)), F.concat_ws(" ", F.get(F.col("_t"), i - 1), w))
+    found = F.concat(F.filter("_t", fine), F.array_compact(F.transform("_t", pair)))
+    return listed.select(*keep, F.explode(F.array_distinct(found)).alias("term"))
 
 
 def like_literal(query: str) -> str:
@@ -97,9 +94,9 @@ def plain_words(text: Column) -> Column:
 
 
 def shingle_hashes(words: str, width: int = 6) -> Column:
-    """crc32 of each run of ``width`` words.  ``words`` must be a column of its own: an expression would be
-    evaluated anew for every shingle."""
+    """A 64-bit hash of each run of ``width`` words.  ``words`` must be a column of its own: an expression would be
+    evaluated anew for every shingle.  Each word is hashed once; a shingle folds the hashes of its words."""
     return F.when(
         F.size(words) >= width,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.crc32(F.array_join(F.slice(words, i, width), " ").cast("binary"))),
+        F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(*[F.get(F.col(words), i - 1 + k) for k in range(width)])),
     ).otherwise(F.array().cast("array<bigint>"))

@@ -7,23 +7,17 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.time import millis
 
-#: Intervals that may be broadcast; beyond it, joins go by day buckets.
-FEW_INTERVALS = 10_000
-
-
 def within_intervals(points: DataFrame, intervals: DataFrame, start: str = "start_ts", end: str = "end_ts", on: str | None = None, how: str = "inner") -> DataFrame:
     """Points in the half-open intervals that hold them; an open end holds all later points, and
     overlapping intervals each match.
 
-    A checked few intervals are broadcast.  Else both sides are dealt by day and the
-    condition is tested within a day; open ends are cut at the last point's day.
+    Both sides are dealt by day, so the join is by equal days, whether Spark broadcasts the intervals' days or shuffles
+    them, and the condition is tested within a day; open ends are cut at the last point's day.
     """
     inside = (F.col("ts") >= F.col(start)) & (F.col(end).isNull() | (F.col("ts") < F.col(end)))
     if on:
         inside &= points[on] == intervals[on]
-    if intervals.limit(FEW_INTERVALS + 1).count() <= FEW_INTERVALS:
-        return points.join(F.broadcast(intervals), inside, how)
-    last = points.agg(F.max("ts").alias("_last"))
+    last = points.agg(F.max("ts").alias("_last"))  # one row
     days = intervals.crossJoin(F.broadcast(last)).withColumn(
         "_day", F.explode(F.sequence(F.to_date(start), F.greatest(F.to_date(start), F.to_date(F.coalesce(end, "_last")))))
     ).drop("_last")
@@ -43,10 +37,20 @@ def latest_before(points: DataFrame, marks: DataFrame, keys: list[str], mark_col
 
 
 def overlapping(intervals: DataFrame, key: str, owner: str, start: str, end: str) -> DataFrame:
-    """Pairs of one key and different owners whose closed intervals overlap, the smaller owner first."""
-    a = intervals.select(key, F.col(owner).alias("owner_a"), F.col(start).alias("start_a"), F.col(end).alias("end_a"))
-    b = intervals.select(key, F.col(owner).alias("owner_b"), F.col(start).alias("start_b"), F.col(end).alias("end_b"))
-    return a.join(b, key).where((F.col("owner_a") < F.col("owner_b")) & (F.col("start_a") <= F.col("end_b")) & (F.col("start_b") <= F.col("end_a")))
+    """Pairs of one key and different owners whose closed intervals overlap, the smaller owner first.
+
+    Two intervals overlap where the later one starts inside the earlier: each is dealt to the days it spans and meets those that
+    start on one of them, so a key with very many intervals is the work of as many tasks as it has days.
+    """
+    rows = intervals.select(key, F.col(owner).alias("owner"), F.col(start).alias("start"), F.col(end).alias("end")).where(F.col("start") <= F.col("end"))
+    one = rows.withColumn("_day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
+    two = rows.select(key, F.col("owner").alias("owner_l"), F.col("start").alias("start_l"), F.col("end").alias("end_l"), F.to_date("start").alias("_day"))
+    near = one.join(two, [key, "_day"]).where((F.col("start_l") >= F.col("start")) & (F.col("start_l") <= F.col("end")))
+    # Of two that start together each lies in the other: the smaller owner counts as the earlier.
+    near = near.where((F.col("owner") != F.col("owner_l")) & ((F.col("start") < F.col("start_l")) | (F.col("owner") < F.col("owner_l"))))
+    low = F.col("owner") < F.col("owner_l")
+    pick = lambda name: [F.when(low, F.col(name)).otherwise(F.col(f"{name}_l")).alias(f"{name}_a"), F.when(low, F.col(f"{name}_l")).otherwise(F.col(name)).alias(f"{name}_b")]
+    return near.select(key, *pick("owner"), *pick("start"), *pick("end"))
 
 
 def _carried(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,10 +95,13 @@ def gap_runs(df: DataFrame, keys: list[str], gap_ms: int, id_col: str = "evidenc
     return runs(rows, keys, F.col("_before").isNull() | (millis() - F.col("_before") > gap_ms), id_col).drop("_before")
 
 
-def first_ids(id_col: str, k: int, *order: str) -> Column:
-    """Aggregate: the first ``k`` ids in the order."""
+def first_ids(rows: DataFrame, keys: list[str], k: int, id_col: str = "evidence_id", *order: str) -> DataFrame:
+    """(keys, ids): the first ``k`` ids of each group in the order.  Rows are ranked, which Spark limits before it shuffles them, so no
+    more than ``k`` of a group are ever gathered."""
     cols = order or ("ts", id_col)
-    return F.slice(F.transform(F.array_sort(F.collect_list(F.struct(*cols, F.col(id_col).alias("_id")))), lambda x: x["_id"]), 1, k)
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*cols))
+    kept = rows.select(*keys, *cols, at.alias("_n")).where(F.col("_n") <= k)
+    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(id_col).alias("_id")))), lambda x: x["_id"]).alias("ids"))
 
 
 def earliest(value: str, *order: str) -> Column:

@@ -45,16 +45,21 @@ def in_segments(records: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def rising_terms(placed: DataFrame, agents: DataFrame, text: str = "content", top: int = 10, min_messages: int = MIN_TERM_MESSAGES, min_authors: int = MIN_TERM_AUTHORS) -> DataFrame:
-    """Per segment the terms whose log-odds against the segment before rose most (3 x ``top`` candidates)."""
+    """Per segment the terms whose log-odds against the segment before rose most (3 x ``top`` candidates).
+
+    Terms are counted by author first, so that authors are told apart without a set of them; the segment before is the
+    preceding row of the term's window, so the counts are made once.
+    """
     said = placed.join(agents.select(F.col("agent_id").alias("author_id")), "author_id", "left_semi")
-    counts = terms(said, text, ["seg", "author_id", "ts", "evidence_id"]).groupBy("seg", "term").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("author_id").alias("authors"), earliest("evidence_id", "ts", "evidence_id").alias("first_id")
-    )
-    totals = said.groupBy("seg").agg(F.count(F.lit(1)).cast("double").alias("ni"))
-    before = counts.select((F.col("seg") + 1).alias("seg"), "term", F.col("n").alias("nb"))
-    of_before = totals.select((F.col("seg") + 1).alias("seg"), F.col("ni").alias("nj"))
-    wanted = counts.where((F.col("n") >= min_messages) & (F.col("authors") >= min_authors))
-    both = wanted.join(before, ["seg", "term"], "left").join(totals, "seg", "left").join(of_before, "seg", "left").fillna(0, ["nb", "nj"])
+    uses = terms(said, text, ["seg", "author_id", "ts", "evidence_id"])
+    by_author = uses.groupBy("seg", "term", "author_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("ts").isNull(), "ts", "evidence_id")).alias("f"))
+    counts = by_author.groupBy("seg", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("authors"), F.min("f")["evidence_id"].alias("first_id"))
+    step = Window.partitionBy("term").orderBy("seg").rangeBetween(-1, -1)
+    both = counts.withColumn("nb", F.coalesce(F.sum("n").over(step), F.lit(0)))
+    both = both.where((F.col("n") >= min_messages) & (F.col("authors") >= min_authors))
+    sizes = said.groupBy("seg").agg(F.count(F.lit(1)).cast("double").alias("ni"))
+    sizes = sizes.withColumn("nj", F.coalesce(F.sum("ni").over(Window.orderBy("seg").rangeBetween(-1, -1)), F.lit(0.0)))  # one row a segment
+    both = both.join(F.broadcast(sizes), "seg")
     delta, error = log_odds(F.col("n"), F.col("nb"), F.col("ni"), F.col("nj"))
     # without a baseline delta is 0 but for rounding; such terms do not rise
     scored = both.withColumn("delta", delta).where("delta > 1e-9").withColumn("score", F.col("delta") / error)
@@ -80,7 +85,7 @@ def threads(placed: DataFrame, top: int = 5, gap_ms: int = THREAD_GAP_MS) -> Dat
     at = F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("n"), "t0", "channel"))
     best = found.withColumn("at", at).where(F.col("at") <= top)
     kept = rows.join(best.select("seg", "channel", "run"), ["seg", "channel", "run"], "left_semi")
-    ids = kept.groupBy("seg", "channel", "run").agg(first_ids("evidence_id", THREAD_IDS).alias("ids"))
+    ids = first_ids(kept, ["seg", "channel", "run"], THREAD_IDS)
     counts = kept.groupBy("seg", "channel", "run", "author_id").agg(F.count(F.lit(1)).alias("c"))
     authors = counts.groupBy("seg", "channel", "run").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "author_id"))), lambda x: x["author_id"]).alias("authors")
@@ -96,24 +101,23 @@ def novel_terms(messages: DataFrame, agents: DataFrame, text: str = "content", c
     span = timed.agg(F.min("ts").alias("t0"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("u0"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("u1"))
     cutoff = span.select((F.col("u0") + F.greatest(F.floor((F.col("u1") - F.col("u0")) * 0.1), F.lit(86_400_000_000))).alias("cutoff"))
     flagged = timed.join(agents.select(F.col("agent_id").alias("author_id"), F.lit(True).alias("ag")), "author_id", "left").withColumn("ag", F.coalesce("ag", F.lit(False)))
-    used = flagged.select("evidence_id", "author_id", "ts", "ag", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    used = used.crossJoin(F.broadcast(cutoff)).withColumn("late", F.unix_micros(F.col("ts").cast("timestamp")) > F.col("cutoff"))  # one row
-    agent_ts = F.when(F.col("ag"), F.col("ts"))
-    seen = used.groupBy("term").agg(
-        F.max(~F.col("late")).alias("early"), F.count(F.when(F.col("ag"), 1)).alias("n"), F.countDistinct(F.when(F.col("ag"), F.col("author_id"))).alias("agents"),
-        F.min("ts").alias("any_ts"), F.min(agent_ts).alias("first_ts"),
-    )
-    banned = [*STOPWORDS, *(common or []), *(names or [])]
-    good = seen.where(~F.col("early") & (F.col("n") >= min_messages) & (F.col("agents") >= min_agents) & (F.col("any_ts") == F.col("first_ts")))
-    good = good.where(F.col("term").rlike(f"^(?:{COINED})$") & ~F.col("term").isin(*banned))
-    uses = used.where("ag AND late").join(good.select("term", "first_ts"), "term")
-    fast = F.col("ts") < F.col("first_ts") + F.expr(f"interval {FAST_DAYS} days")
-    coined = uses.groupBy("term").agg(earliest("author_id", "ts", "evidence_id").alias("coiner"), earliest("evidence_id", "ts", "evidence_id").alias("first_id"))
-    out = uses.join(coined, "term").groupBy("term", "first_ts", "coiner", "first_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("author_id").alias("agents"),
-        F.countDistinct(F.when(fast & (F.col("author_id") != F.col("coiner")), F.col("author_id"))).alias("adopters_fast"),
-        F.count(F.when(fast, 1)).alias("n_fast"), first_ids("evidence_id", USE_IDS).alias("ids"),
-    )
+    coinable = lambda w: w.rlike(f"^(?:{COINED})$") & ~w.isin(*STOPWORDS, *(common or []), *(names or []))
+    used = flagged.select("evidence_id", "author_id", "ts", "ag", tokens(F.col(text)).alias("_t"))
+    used = used.select("evidence_id", "author_id", "ts", "ag", F.explode(F.array_distinct(F.filter("_t", coinable))).alias("term"))
+    # One row per term and author tells all but how many uses fall into the first fortnight.
+    by_author = used.groupBy("term", "author_id", "ag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "evidence_id", "author_id")).alias("f"))
+    seen = by_author.groupBy("term").agg(
+        F.min("f.ts").alias("any_ts"), F.min(F.when(F.col("ag"), F.col("f"))).alias("f"), F.sum(F.when(F.col("ag"), F.col("n"))).alias("n"), F.count(F.when(F.col("ag"), 1)).alias("agents")
+    )
+    late = F.unix_micros(F.col("any_ts").cast("timestamp")) > F.col("cutoff")
+    good = seen.crossJoin(F.broadcast(cutoff)).where(late & (F.col("n") >= min_messages) & (F.col("agents") >= min_agents) & (F.col("any_ts") == F.col("f.ts")))  # one row
+    good = good.select("term", F.col("f.ts").alias("first_ts"), F.col("f.author_id").alias("coiner"), F.col("f.evidence_id").alias("first_id"), "n", "agents")
+    fast = lambda c: F.col(c) < F.col("first_ts") + F.expr(f"interval {FAST_DAYS} days")
+    quick = by_author.where("ag").select("term", "author_id", F.col("f.ts").alias("own_ts")).join(good.select("term", "first_ts", "coiner"), "term")
+    quick = quick.groupBy("term").agg(F.count(F.when(fast("own_ts") & (F.col("author_id") != F.col("coiner")), 1)).alias("adopters_fast"))
+    uses = used.where("ag").select("term", "ts", "evidence_id").join(good.select("term", "first_ts"), "term")
+    soon = uses.groupBy("term").agg(F.count(F.when(fast("ts"), 1)).alias("n_fast"))
+    out = good.join(quick, "term").join(soon, "term").join(first_ids(uses, ["term"], USE_IDS), "term")
     starts = out.select("term", millis("first_ts").alias("t"))
     span = FAST_DAYS * 86_400_000
     said = flagged.where("ag").groupBy(ms.alias("m")).agg(F.count(F.lit(1)).alias("c"))

@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracewell.functions.text import plain_words, shingle_hashes
 from tracewell.functions.time import millis
+from tracewell.operators.joins import runs, with_previous
 
 BURST_WEEKS = 4
 
 
 def shared_shingles(texts: DataFrame, group: list[str], author: str, text: str, width: int = 6) -> DataFrame:
-    """Per group and author: distinct shingles, and how many of them another author of the group has too."""
+    """Per group and author: distinct shingles, and how many of them another author of the group has too.
+
+    Shingles are dealt once, by group and shingle, where the least and the greatest author tell whether a shingle is shared and the
+    step from the row before whether it is the author's first; only counts by author travel further.
+    """
     listed = texts.select(*group, author, plain_words(F.col(text)).alias("_w"))
-    s = listed.select(*group, author, F.explode(F.array_distinct(shingle_hashes("_w", width))).alias("s")).distinct()
-    common = s.groupBy(*group, "s").agg(F.count(F.lit(1)).alias("holders"))
-    both = s.join(common, [*group, "s"])
-    return both.groupBy(*group, author).agg(F.count(F.lit(1)).alias("shingles"), F.count(F.when(F.col("holders") > 1, 1)).alias("shared"))
+    s = listed.select(*group, author, F.explode(F.array_distinct(shingle_hashes("_w", width))).alias("s"))
+    w = Window.partitionBy(*group, "s").orderBy(author)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = s.select(*group, author, F.lag(author).over(w).eqNullSafe(F.col(author)).alias("again"), (F.first(author).over(whole) != F.last(author).over(whole)).alias("many"))
+    return own.where("NOT again").groupBy(*group, author).agg(F.count(F.lit(1)).alias("shingles"), F.count(F.when(F.col("many"), 1)).alias("shared"))
 
 
 def burstiness(uses: DataFrame, term: str = "term", weeks: int = BURST_WEEKS) -> DataFrame:
@@ -56,13 +64,17 @@ def exposures(uses: DataFrame, messages: DataFrame, hours: int = 2) -> DataFrame
 
 
 def exchanges(messages: DataFrame, minutes: int = 30) -> DataFrame:
-    """(evidence_id, replier, asker, gap_ms): each message with the latest one by another author in its room, if recent."""
-    w = Window.partitionBy("channel").orderBy("ts", "evidence_id")
-    rows = messages.where("channel IS NOT NULL AND ts IS NOT NULL").withColumn("_prev", F.lag("author_id").over(w)).withColumn("_ms", millis())
-    last = F.when(F.col("_prev") != F.col("author_id"), F.struct(F.col("_prev").alias("a"), F.lag("_ms").over(w).alias("t")))
-    rows = rows.withColumn("_last", F.last(last, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    gap = F.col("_ms") - F.col("_last.t")
-    return rows.where(gap <= minutes * 60_000).select("evidence_id", F.col("author_id").alias("replier"), F.col("_last.a").alias("asker"), gap.alias("gap_ms"))
+    """(evidence_id, replier, asker, gap_ms): each message with the latest one by another author in its room, if recent.
+
+    The latest message of another is the last row of the run of one author before: runs are counted, and carried from day to
+    day, so that a busy room is the work of many tasks.
+    """
+    rows = messages.where("channel IS NOT NULL AND ts IS NOT NULL").select("evidence_id", "ts", "channel", "author_id")
+    rows = with_previous(rows, ["channel"], {"_a": F.col("author_id"), "_t": millis()})
+    turned = runs(rows, ["channel"], F.col("_a").isNull() | (F.col("_a") != F.col("author_id")))
+    other = turned.groupBy("channel", "run").agg(F.min(F.struct("ts", "evidence_id", "_a", "_t")).alias("f")).select("channel", "run", F.col("f._a").alias("asker"), F.col("f._t").alias("at"))
+    both = turned.join(other, ["channel", "run"]).withColumn("gap_ms", millis() - F.col("at"))
+    return both.where(F.col("gap_ms") <= minutes * 60_000).select("evidence_id", F.col("author_id").alias("replier"), "asker", "gap_ms")
 
 
 def coordinators(messages: DataFrame, goals: DataFrame, reply_minutes: int = 10, goal_minutes: int = 15, least: int = 2, shown: int = 3) -> DataFrame:
@@ -202,32 +214,75 @@ def interval_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 def likely_copiers(uses: DataFrame, messages: DataFrame, days: int = 3) -> DataFrame:
     """(term, author_id, first_ts, copier): first uses, and whether an earlier use by another stood in a room the
-    author had posted in within ``days`` before the own first use, or named the author."""
+    author had posted in within ``days`` before the own first use, or named the author.
+
+    An author's earlier use by another is one before the own first use, as all own uses come later; so per term and room the earliest
+    use by each of two different authors is enough, and likewise per term and named reader.
+    """
     span = days * 86_400_000
-    first = uses.groupBy("term", "author_id").agg(F.min_by("ts", F.struct("ts", "evidence_id")).alias("first_ts")).withColumn("t", millis("first_ts"))
-    first = first.withColumn("start", F.min("t").over(Window.partitionBy("term")))
-    by_others = uses.select("term", "channel", F.col("author_id").alias("by"), "recipient_ids", millis().alias("u"))
-    rooms = messages.select("author_id", "channel", millis().alias("m"))
-    seen = (
-        first.join(by_others, "term").where((F.col("by") != F.col("author_id")) & (F.col("u") < F.col("t")))
-    )
-    named = seen.where(F.array_contains("recipient_ids", F.col("author_id"))).select("term", "author_id")
-    # rooms first: one row per author, room and day keeps the join small
-    days_in = rooms.groupBy("author_id", "channel", F.floor(F.col("m") / 86_400_000).alias("day")).agg(F.collect_set("m").alias("ms"))
-    near = seen.select("term", "author_id", "channel", "t", F.explode(F.sequence(F.floor((F.col("t") - span) / 86_400_000), F.floor(F.col("t") / 86_400_000))).alias("day")).distinct()
-    there = near.join(days_in, ["author_id", "channel", "day"]).where(F.exists("ms", lambda m: (m >= F.col("t") - span) & (m < F.col("t")))).select("term", "author_id")
+    firsts = uses.groupBy("term", "author_id").agg(F.min(F.struct("ts", "evidence_id"))["ts"].alias("first_ts")).withColumn("t", millis("first_ts"))
+    at = lambda rows, *keys: two_earliest(rows, list(keys))
+    said = uses.select("term", "channel", F.col("author_id").alias("by"), "recipient_ids", millis().alias("u"))
+    called = at(said.select("term", F.explode(F.array_distinct("recipient_ids")).alias("author_id"), "by", "u"), "term", "author_id")
+    before = F.col("t") > F.when(F.col("one.by") != F.col("author_id"), F.col("one.u")).otherwise(F.col("two.u"))
+    named = firsts.join(called, ["term", "author_id"]).where(before).select("term", "author_id")
+    rooms = at(said.select("term", "channel", "by", "u"), "term", "channel")
+    # Rooms that an author posted in shortly before the own first use of a term: one row per author, room and day is met with the day.
+    day = 86_400_000
+    posted = messages.groupBy("author_id", "channel", F.floor(millis() / day).alias("day")).agg(F.min(millis()).alias("lo"), F.max(millis()).alias("hi"), F.array_sort(F.collect_set(millis())).alias("ms"))
+    near = firsts.select("term", "author_id", "t", F.explode(F.sequence(F.floor((F.col("t") - span) / day), F.floor(F.col("t") / day))).alias("day"))
+    met = near.join(posted, ["author_id", "day"]).where((F.col("hi") >= F.col("t") - span) & (F.col("lo") < F.col("t")) & F.exists("ms", lambda m: (m >= F.col("t") - span) & (m < F.col("t"))))
+    there = met.select("term", "author_id", "t", "channel").distinct().join(rooms, ["term", "channel"]).where(before).select("term", "author_id")
     copiers = named.union(there).distinct().withColumn("copier", F.lit(True))
-    return first.join(copiers, ["term", "author_id"], "left").select("term", "author_id", "first_ts", F.coalesce("copier", F.lit(False)).alias("copier"))
+    return firsts.join(copiers, ["term", "author_id"], "left").select("term", "author_id", "first_ts", F.coalesce("copier", F.lit(False)).alias("copier"))
+
+
+def two_earliest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, one, two) of rows (keys, by, u): the earliest (u, by) of each group, and the earliest by somebody else."""
+    per = rows.groupBy(*keys, "by").agg(F.min("u").alias("u")).select(*keys, F.struct("u", "by").alias("e"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("e"))
+    few = per.withColumn("n", place).where(F.col("n") <= 2)
+    return few.groupBy(*keys).agg(F.min("e").alias("one"), F.max(F.when(F.col("n") == 2, F.col("e"))).alias("two"))
 
 
-#: Characters that pass for one another in names, by the one that stands for them.
-CONFUSABLE = ("013457|$@lI", "oieastisaii")
+#: Cyrillic letters that pass for Latin ones in names, and the Latin ones.
+CYRILLIC, LATIN = "асеорхуіАВСЕНКМОРТХ", "aceopxyiABCEHKMOPTX"
+
+
+def _compatible(names: pd.Series) -> pd.Series:
+    """NFKC, which the built-in functions lack, and full case folding."""
+    table = str.maketrans(CYRILLIC, LATIN)
+    return names.map(lambda n: unicodedata.normalize("NFKC", n).translate(table).casefold(), na_action="ignore")
+
+
+def skeleton(name: Column) -> Column:
+    """A name as it looks: compatibility forms and look-alikes folded, case folded, without spaces and the signs - _ and dot.  The
+    fold, in Arrow batches, is for names that are not plain ASCII."""
+    plain = name.rlike(r"^[\x00-\x7f]*$")
+    folded = F.when(plain, F.lower(name)).otherwise(F.pandas_udf(_compatible, StringType())(F.when(~plain, name)))
+    return F.regexp_replace(folded, r"[\s\-_.]+", "")
 
 
 def confusable_names(names: DataFrame, name: str = "name", id_col: str = "agent_id") -> DataFrame:
-    """(skeleton, ids): different agents whose names look alike once folded."""
-    folded = F.regexp_replace(F.translate(F.lower(F.col(name)), CONFUSABLE[0].lower(), CONFUSABLE[1]), r"[^\p{L}]+", "")
-    return names.groupBy(folded.alias("skeleton")).agg(F.array_sort(F.collect_set(id_col)).alias("ids")).where(F.size("ids") > 1)
+    """(skeleton, ids, kind): agents with different names that look alike; ``homoglyph`` where a name is not plain ASCII, else
+    ``case_or_spacing``.  Agents of one and the same name are no collision."""
+    ascii_name = F.col(name).rlike(r"^[\x00-\x7f]*$")
+    rows = names.select(F.col(name).alias("_n"), F.struct(F.when(ascii_name, 1).otherwise(0).alias("o"), F.col(id_col).alias("id")).alias("a"), skeleton(F.col(name)).alias("skeleton"))
+    alike = rows.groupBy("skeleton").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"), F.array_sort(F.collect_set("a")).alias("a")).where("lo <> hi AND size(a) > 1")
+    kind = F.when(F.exists("a", lambda x: x["o"] == 0), "homoglyph").otherwise("case_or_spacing")
+    return alike.select("skeleton", F.transform("a", lambda x: x["id"]).alias("ids"), kind.alias("kind"))
+
+
+def attribution_issues(messages: DataFrame, talks: DataFrame) -> DataFrame:
+    """(evidence_id, issue, talk_id, chat_speaker, event_speaker): chat rows without a talk event, or with one by another speaker.
+
+    ``messages`` is (evidence_id, message_id, author_id), ``talks`` (talk_id, message_id, speaker_id, sequence); of several talk events
+    of a message the last counts.
+    """
+    last = talks.where("message_id IS NOT NULL").groupBy("message_id").agg(F.max(F.struct("sequence", "talk_id", "speaker_id")).alias("k"))
+    rows = messages.join(last, "message_id", "left")
+    issue = F.when(F.col("k").isNull(), "missing_event").when(~F.col("k.speaker_id").eqNullSafe(F.col("author_id")), "speaker_mismatch")
+    return rows.withColumn("issue", issue).where("issue IS NOT NULL").select("evidence_id", "issue", F.col("k.talk_id").alias("talk_id"), F.col("author_id").alias("chat_speaker"), F.col("k.speaker_id").alias("event_speaker"))
 
 
 def silent_gaps(records: DataFrame, key: str, days: float = 2.5) -> DataFrame:

@@ -13,7 +13,7 @@ from tracewell.functions.stats import count_band, wilson
 BINS = ("hour", "day", "week", "month")
 MAX_BUCKETS = 2000
 #: Widths, in milliseconds, that a histogram may have.
-NICE_MS = tuple(m * 60_000 for m in (1, 2, 5, 10, 15, 30, 60, 120, 180, 360, 720, 1440, 2880, 10080, 20160, 43200))
+NICE_MS = tuple(m * 60_000 for m in (1, 5, 15, 60, 180, 360, 720, 1440, 2880, 10080, 20160, 43200))
 
 
 def bucket(ts: Column, bin: str, tz: str | None = None) -> Column:

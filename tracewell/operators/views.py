@@ -9,6 +9,7 @@ from tracewell.functions.stats import js_part
 from tracewell.functions.text import name_key
 from tracewell.functions.time import millis
 from tracewell.operators.joins import within_intervals
+from tracewell.operators.ordered import beside, last
 from tracewell.operators.records import neighbours
 
 
@@ -53,12 +54,11 @@ def homophily(edges: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def candidate_claims(log: DataFrame, hours: int = 4) -> DataFrame:
     """Claims whose subject's latest check before was a failure no more than ``hours`` old."""
-    w = Window.partitionBy("subject").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     check = (F.col("type") == "tool_result") & F.col("outcome").isin("pass", "fail")
-    last = F.last(F.when(check, F.struct("outcome", "ts")), ignorenulls=True).over(w)
-    rows = log.where("subject IS NOT NULL").withColumn("_l", last)
+    about = log.where("artifact IS NOT NULL")
+    rows = beside(about.where("type = 'claim'"), about.where(check), ["artifact", "version"], {"_l": last(F.struct("sequence", "outcome", "ts"))})
     near = F.col("_l.ts") >= F.col("ts") - F.expr(f"interval {hours} hours")
-    return rows.where((F.col("type") == "claim") & (F.col("_l.outcome") == "fail") & near).drop("_l")
+    return rows.where((F.col("_l.outcome") == "fail") & near).drop("_l")
 
 
 def busiest_window(points: DataFrame, width: str = "4 hours", slide: str = "30 minutes") -> DataFrame:
@@ -78,11 +78,24 @@ def merged_spans(spans: DataFrame, key: str, gap_ms: int) -> DataFrame:
 
 
 def split_windows(log: DataFrame, parts: int) -> DataFrame:
-    """``log`` with ``part``, equal runs of the order of record, and ``carried``: for each record the parts that know
-    of it from before, its own being the first."""
-    n = F.max("sequence").over(Window.partitionBy())
-    part = F.floor((F.col("sequence") - 1) * parts / n)
-    return log.withColumn("part", part).withColumn("carried", F.sequence(part, F.lit(parts - 1).cast("bigint")))
+    """``log`` with ``part``: equal runs of the order of record."""
+    end = log.agg(F.max("sequence").alias("_n"))  # one row
+    return log.crossJoin(F.broadcast(end)).withColumn("part", F.floor((F.col("sequence") - 1) * parts / F.col("_n"))).drop("_n")
+
+
+def carried_facts(log: DataFrame, parts: int) -> DataFrame:
+    """(part, event_id): records that a part needs from before it: the created tasks that its records belong to, the claims that they
+    withdraw or cite, and the latest check of each subject that it claims."""
+    rows = split_windows(log, parts)
+    made = rows.where("type = 'task_created'").select(F.col("part").alias("from"), "event_id", F.inline("tasks")).select("from", "event_id", "task")
+    said = rows.where("type = 'claim'").select(F.col("part").alias("from"), "event_id", "claim_id")
+    cites = rows.select("part", F.col("supersedes").alias("claim_id")).union(rows.select("part", F.explode("references").alias("claim_id"))).where("claim_id IS NOT NULL").distinct()
+    about = rows.where("type = 'claim' AND artifact IS NOT NULL").groupBy("part", "artifact", "version").agg(F.min("sequence").alias("sequence"))
+    checks = rows.where("type = 'tool_result' AND category = 'verification' AND artifact IS NOT NULL").select("artifact", "version", "sequence", F.struct("sequence", "event_id", F.col("part").alias("from")).alias("k"))
+    known = beside(about, checks, ["artifact", "version"], {"k": last(F.col("k"))}).where("k.from < part").select("part", F.col("k.event_id").alias("event_id"))
+    of = lambda keys, facts: keys.join(facts, keys.columns[1]).where("`from` < part").select("part", "event_id")
+    tasks = rows.where("task IS NOT NULL").select("part", "task").distinct()
+    return of(tasks, made).union(of(cites, said)).union(known).distinct()
 
 
 def same_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -115,27 +128,6 @@ def batches(df: DataFrame, size: int, overlap: int, order: str = "evidence_id")
     return df.withColumn("_b", F.when(at % size < overlap, F.array(own, own + 1)).otherwise(F.array(own))).withColumn("batch", F.explode("_b")).drop("_b")
 
 
-def unverifiable(claims: DataFrame) -> DataFrame:
-    """Claims that no check could settle: without subject, or about a feeling or plan."""
-    return claims.where(F.col("subject").isNull() | F.lower(F.coalesce("asserts", F.lit(""))).isin("intent", "opinion", "feeling"))
-
-
-def goal_churn(goals: DataFrame, least: int = 5, similar: float = 0.3) -> DataFrame:
-    """(agent, changes, sessions): owners of at least ``least`` sessions, and how often a goal shares under ``similar``
-    of its words with the goal before.  ``goals`` is (agent, session, sequence, goal_key)."""
-    w = Window.partitionBy("agent").orderBy("sequence")
-    words = F.array_distinct(F.split("goal_key", " "))
-    rows = goals.withColumn("_w", words).withColumn("_p", F.lag("_w").over(w))
-    jaccard = F.size(F.array_intersect("_w", "_p")) / F.size(F.array_union("_w", "_p"))
-    return rows.groupBy("agent").agg(F.count(F.when(jaccard < similar, 1)).alias("changes"), F.count(F.lit(1)).alias("sessions")).where(F.col("sessions") >= least)
-
-
-def single_point(findings_with: DataFrame, findings_without: DataFrame) -> DataFrame:
-    """Findings that vanish when one record is withheld: they rest on it alone."""
-    keys = ["monitor", "subject", "sequence"]
-    return findings_with.join(findings_without.select(*keys), keys, "left_anti")
-
-
 def trace_problems(events: DataFrame, edges: DataFrame) -> DataFrame:
     """(problem, n) of an idea trace: repeated ids, edges to nowhere, edges back in time."""
     repeated = events.groupBy("id").count().where("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("id_repeated").alias("problem"), "n")

@@ -19,12 +19,19 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}')) AS emails FROM documents
-WHERE len(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}')) > 0""")
+SELECT doc_id, len(h) AS emails FROM (SELECT doc_id, regexp_extract_all(text, '(^|[^A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@([A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}') AS h FROM documents) WHERE len(h) > 0""")
 def redact_email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-    hits = F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    return store.table(spark, sf_dir, "documents").select("doc_id", hits.alias("emails")).where("emails > 0")
+    """The addresses that redaction itself finds, with its other rules off."""
+    active = tuple(r for r in redact.rules() if r.name == "email")
+    out = redact.redacted(store.table(spark, sf_dir, "documents"), "text", ["doc_id"], active)
+    return out.select("doc_id", F.get_json_object("counts", "$.email").cast("long").alias("emails")).where("emails > 0")
+
+
+@query("SELECT doc_id, text AS redacted, '{}' AS counts FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?i)[@0-9=:]|bearer|authorization|private key|eyj')")
+def redact_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold nothing any rule could start from come out as they went in."""
+    rows = store.table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike("(?i)[@0-9=:]|bearer|authorization|private key|eyj"))
+    return redact.redacted(rows, "text", ["doc_id"])
 
 
 @query(r"""
@@ -105,8 +112,8 @@ def findings_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = """
 t AS (SELECT p_partkey AS u, unnest(string_split(lower(p_name), ' ')) AS term FROM part UNION ALL SELECT p_partkey, lower(p_type) FROM part UNION ALL SELECT p_partkey, lower(p_brand) FROM part),
 c AS (SELECT u, term, count(*) AS c FROM t GROUP BY 1, 2), n AS (SELECT count(DISTINCT u) AS n FROM c), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
-r AS (SELECT u, term, df, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) * CASE WHEN df > 0.3 * n THEN 0.2 ELSE 1 END AS raw FROM c JOIN d USING (term), n),
-v AS (SELECT u, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY u)) AS w FROM r)"""
+r AS (SELECT u, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) * CASE WHEN df > 0.3 * n THEN 0.2 ELSE 1 END AS raw FROM c JOIN d USING (term), n),
+v AS (SELECT u, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY u)) AS w FROM r)"""
 
 
 def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +127,7 @@ def subtasks_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_TERMS}, s AS (SELECT a.u AS a, b.u AS b, sum(a.w * b.w) AS sim FROM v a JOIN v b ON a.term = b.term AND a.u < b.u GROUP BY 1, 2 HAVING max(CASE WHEN a.df <= 1000 THEN 1 END) = 1),
+WITH {_TERMS}, s AS (SELECT a.u AS a, b.u AS b, sum(a.w * b.w) AS sim FROM v a JOIN v b ON a.term = b.term AND a.u < b.u GROUP BY 1, 2),
 e AS (SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s), k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) <= 6)
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(sim, 6) AS sim FROM k""")
 def subtasks_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,11 +264,28 @@ def bench_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT regexp_replace(translate(lower(c_name), '013457|$@li', 'oieastisaii'), '[^\\p{L}]+', '', 'g') AS skeleton, c_custkey FROM customer)
-SELECT skeleton, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1""")
+WITH n AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Agent ' || (c_custkey % 40) WHEN 1 THEN 'AGENT-' || (c_custkey % 40) WHEN 2 THEN 'аgent_' || (c_custkey % 40) ELSE 'agent' || (c_custkey // 40) END AS name FROM customer),
+k AS (SELECT *, regexp_replace(replace(lower(name), 'а', 'a'), '[ _.-]', '', 'g') AS skeleton FROM n)
+SELECT skeleton, count(DISTINCT id) AS n, CASE WHEN bool_or(strlen(name) > length(name)) THEN 'homoglyph' ELSE 'case_or_spacing' END AS kind FROM k GROUP BY 1 HAVING count(DISTINCT name) > 1""")
 def bench_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("agent_id"))
-    return research.confusable_names(rows).select("skeleton", F.size("ids").cast("long").alias("n"))
+    """Customers under four spellings, one of them with a Cyrillic first letter."""
+    c = F.col("c_custkey")
+    near = (c % 40).cast("string")
+    name = F.when(c % 4 == 0, F.concat(F.lit("Agent "), near)).when(c % 4 == 1, F.concat(F.lit("AGENT-"), near)).when(c % 4 == 2, F.concat(F.lit("аgent_"), near)).otherwise(F.concat(F.lit("agent"), F.floor(c / 40).cast("string")))
+    out = research.confusable_names(store.table(spark, sf_dir, "customer").select(name.alias("name"), c.alias("agent_id")))
+    return out.select("skeleton", F.size("ids").cast("long").alias("n"), "kind")
+
+
+@query(with_prelude("""
+WITH t AS (SELECT 'talk:' || event_id AS talk_id, event_id // 2 * 2 AS message_id, CASE WHEN k % 5 = 0 THEN 'testdata:agent:0' ELSE author_id END AS speaker_id, event_id AS s FROM messages WHERE k % 7 > 0),
+l AS (SELECT message_id, arg_max(talk_id, s) AS talk_id, arg_max(speaker_id, s) AS speaker_id FROM t GROUP BY 1)
+SELECT m.evidence_id, CASE WHEN l.talk_id IS NULL THEN 'missing_event' ELSE 'speaker_mismatch' END AS issue, l.talk_id, author_id AS chat_speaker, l.speaker_id AS event_speaker FROM messages m LEFT JOIN l ON l.message_id = m.event_id WHERE l.speaker_id IS DISTINCT FROM author_id"""))
+def bench_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, e, k = store.messages(spark, sf_dir), F.col("event_id"), F.col("k")
+    talks = rows.where(k % 7 > 0).select(
+        F.concat(F.lit("talk:"), e.cast("string")).alias("talk_id"), (F.floor(e / 2) * 2).alias("message_id"), F.when(k % 5 == 0, "testdata:agent:0").otherwise(F.col("author_id")).alias("speaker_id"), e.alias("sequence")
+    )
+    return research.attribution_issues(rows.select("evidence_id", e.alias("message_id"), "author_id"), talks)
 
 
 @query(with_prelude("""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell import staging
 from tracewell.functions import extract, stats, text
 from tracewell.functions.time import parse
 from tracewell.operators import joins, records, timeline
@@ -18,12 +16,6 @@ from tracewell.sources import ingest, mapping
 from tracewell.streaming import live
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder where driver and executors both write: the cluster's, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tracewell-{name}-{uuid.uuid4().hex}"
-
-
 @query("""
 WITH p AS (SELECT 'user_id' AS field, count(*) AS "rows", count(*) - count(user_id) AS nulls, round(avg(length(user_id::VARCHAR)), 6) AS avg_length FROM events
 UNION ALL SELECT 'event_type', count(*), count(*) - count(event_type), round(avg(length(event_type)), 6) FROM events UNION ALL SELECT 'props', count(*), count(*) - count(props), round(avg(length(props)), 6) FROM events)
@@ -77,7 +69,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_prelude("SELECT channel, count(*) AS n FROM messages WHERE channel <> 'error' GROUP BY 1 UNION ALL SELECT 'all of both', count(*) FROM messages"))
 def ingest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources, one of them replaced, read back from the current version."""
-    root = _folder(spark, "store")
+    root = staging.new_path(spark, "store")
     rows = store.messages(spark, sf_dir).select("evidence_id", "channel", "author_id", "ts", "event_id")
     ingest.ingest(spark, root, "one", {"messages": rows}, "a")
     ingest.ingest(spark, root, "two", {"messages": rows.where("channel = 'error'")}, "b")
@@ -88,7 +80,7 @@ def ingest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'chat' AS source, 'msg' AS kind, count(*) AS n, 0 AS problems FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL")
 def export_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "export")
+    path = staging.new_path(spark, "export")
     rows = _mapped(spark, sf_dir)["messages"].select("evidence_id", "source", F.lit("msg").alias("kind"), "content")
     manifest = ingest.export(rows, path)
     problems = ingest.check_export(spark, path)
@@ -144,7 +136,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _last_batch(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """What a stream over all that is there yields, written by each batch and read back."""
-    out, checkpoint = _folder(spark, name), _folder(spark, f"{name}-checkpoint")
+    out, checkpoint = staging.new_path(spark, name), staging.new_path(spark, f"{name}-checkpoint")
     live.drain_each(stream, lambda df, n: df.write.mode("overwrite").parquet(out), checkpoint, "complete")
     return spark.read.parquet(out)
 
@@ -166,7 +158,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, checkpoint = _folder(spark, "dedup"), _folder(spark, "dedup-checkpoint")
+    out, checkpoint = staging.new_path(spark, "dedup"), staging.new_path(spark, "dedup-checkpoint")
     live.drain(live.deduplicated(_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"], "60 days"), out, checkpoint)
     return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import graph, views
 from tracewell.plans import store
-from tracewell.plans.q_monitors import TYPED, typed_log
+from tracewell.plans.typed import TYPED, typed_log
 from tracewell.plans.q_recap import _SEGS, _mentions
 from tracewell.plans.store import with_prelude
 from tracewell.registry import query
@@ -62,7 +62,7 @@ def graph_homophily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_prelude(f"""
-WITH {TYPED}, k AS (SELECT c.sequence, c.ts, arg_max(l.outcome, l.sequence) AS o, arg_max(l.ts, l.sequence) AS t FROM typed c JOIN typed l ON l.subject = c.subject AND l.sequence < c.sequence AND l.type = 'tool_result' AND l.outcome IN ('pass', 'fail')
+WITH {TYPED}, k AS (SELECT c.sequence, c.ts, arg_max(l.outcome, l.sequence) AS o, arg_max(l.ts, l.sequence) AS t FROM typed c JOIN typed l ON l.artifact = c.artifact AND l.version = c.version AND l.sequence < c.sequence AND l.type = 'tool_result' AND l.outcome IN ('pass', 'fail')
   WHERE c.type = 'claim' GROUP BY 1, 2)
 SELECT sequence FROM k WHERE o = 'fail' AND t >= ts - INTERVAL 96 HOUR"""))
 def claims_worth_a_look(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +120,13 @@ def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("type") == "claim", 1)).alias("claims"))
 
 
-@query("""
-WITH g AS (SELECT c_nationkey AS agent, c_custkey AS sequence, list_distinct([lower(c_mktsegment), 'goal']) AS w FROM customer),
-p AS (SELECT *, lag(w) OVER (PARTITION BY agent ORDER BY sequence) AS q FROM g)
-SELECT agent, count(*) FILTER (WHERE q IS NOT NULL AND len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q)))::DOUBLE < 0.5) AS changes, count(*) AS sessions FROM p GROUP BY 1 HAVING count(*) >= 5""")
-def goal_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    goals = store.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("agent"), F.col("c_custkey").alias("sequence"), F.concat(F.lower("c_mktsegment"), F.lit(" goal")).alias("goal_key"))
-    return views.goal_churn(goals, similar=0.5)
+@query(with_prelude(f"""
+WITH {TYPED}, p AS (SELECT *, CAST((sequence - 1) * 4 // (SELECT max(sequence) FROM typed) AS BIGINT) AS part FROM typed),
+m AS (SELECT DISTINCT a.part, b.event_id FROM p a JOIN p b ON b.made_task = a.task AND b.part < a.part),
+r AS (SELECT part, supersedes AS c FROM p WHERE supersedes IS NOT NULL UNION SELECT part, unnest(refs_claims) FROM p),
+c AS (SELECT DISTINCT r.part, b.event_id FROM r JOIN p b ON b.claim_id = r.c AND b.part < r.part),
+f AS (SELECT part, artifact, version, min(sequence) AS s FROM p WHERE type = 'claim' AND artifact IS NOT NULL GROUP BY 1, 2, 3),
+k AS (SELECT part, (SELECT max(x.sequence) FROM p x WHERE x.category = 'verification' AND x.artifact = f.artifact AND x.version = f.version AND x.sequence < f.s) AS s FROM f)
+SELECT * FROM m UNION SELECT * FROM c UNION SELECT k.part, x.event_id FROM k JOIN p x ON x.sequence = k.s WHERE x.part < k.part"""))
+def carried_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.carried_facts(typed_log(spark, sf_dir), 4)

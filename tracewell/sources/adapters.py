@@ -70,10 +70,15 @@ def agent_rooms(spark: SparkSession, root: str, source: str = "rooms") -> dict[s
 
 
 def added_lines(revisions: DataFrame, page: str = "page_key", order: str = "sequence", body: str = "body") -> DataFrame:
-    """``revisions`` with ``added``, the lines that the revision before did not have, and ``removed``."""
+    """``revisions`` with ``added``, the lines that the revision before did not have, and ``removed``.  A line that stands there more
+    often than before counts as added for each time more."""
     w = Window.partitionBy(page).orderBy(order)
     lines = revisions.withColumn("_l", F.split(F.coalesce(body, F.lit("")), "\n")).withColumn("_b", F.coalesce(F.lag("_l").over(w), F.array().cast("array<string>")))
-    return lines.withColumn("added", F.array_except("_l", "_b")).withColumn("removed", F.array_except("_b", "_l")).drop("_l", "_b")
+    # The nth occurrence of a line is told apart from the others by its number.
+    occurs = lambda c: F.transform(F.col(c), lambda x, i: F.struct(x.alias("line"), F.size(F.filter(F.slice(F.col(c), 1, i + 1), lambda y: y == x)).alias("nth")))
+    more = lambda a, b: F.transform(F.array_except(a, b), lambda x: x["line"])
+    numbered = lines.withColumn("_l", occurs("_l")).withColumn("_b", occurs("_b"))
+    return numbered.withColumn("added", more(F.col("_l"), F.col("_b"))).withColumn("removed", more(F.col("_b"), F.col("_l"))).drop("_l", "_b")
 
 
 def wiki(pages: DataFrame, revisions: DataFrame, source: str = "wiki") -> dict[str, DataFrame]:

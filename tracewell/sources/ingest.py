@@ -1,8 +1,10 @@
 """The store on disk: replace-by-source ingestion, versions, exports with manifests, and their check.
 
-A store is a folder of versions.  Each holds every table as Parquet, partitioned by source; a small pointer
-file names the current one, and readers resolve it once.  Ingesting a source writes a new
-version that takes the other sources' files over, so readers never see half of a change.
+A store is a folder of data and of catalogs.  Each source's tables are Parquet folders of their own, written once; a catalog, a small
+JSON file with a number in its name, lists for every source its owner, digest and folders.  The catalog of the greatest number is
+the current one, and readers resolve it once.  Ingesting a source writes that source's folders only, and then the next catalog
+under a name that must not exist yet; so a reader or a crash in between finds the store before or after a change, never half of
+it, and of two writers at once one fails.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from tracewell.functions.redact import Rule, redact, rules
 
 KEYS = {"agents": "agent_id", "messages": "evidence_id", "actions": "evidence_id", "periods": "evidence_id", "artifacts": "artifact_id", "touches": "touch_id"}
-POINTER = "CURRENT"
+CATALOG = "catalog-"
+#: Share of bytes no longer listed from which a store is compacted.
+COMPACT_SHARE = 0.25
 
 
 class SourceConflict(ValueError):
@@ -32,15 +36,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written aside, then renamed: a reader finds the old text or the new."""
+    """Written aside, then renamed to a name that must be free: a reader finds nothing or all of it."""
     fs, to = _fs(spark, path)
-    _, temp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(temp, True)
+    _, temp = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(temp, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(to):
-        fs.delete(to, False)
-    fs.rename(temp, to)
+    if fs.exists(to) or not fs.rename(temp, to):
+        fs.delete(temp, False)
+        raise SourceConflict(f"{path} was written by someone else meanwhile")
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -48,18 +52,24 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r[0] for r in spark.read.text(path).collect()) if fs.exists(where) else None
 
 
-def current(spark: SparkSession, root: str) -> str | None:
-    name = _read_text(spark, f"{root}/{POINTER}")
-    return f"{root}/{name.strip()}" if name else None
+def current(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """The number and content of the current catalog: 0 and nothing before the first."""
+    fs, where = _fs(spark, root)
+    if not fs.exists(where):
+        return 0, {}
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    numbers = [int(n[len(CATALOG) : -5]) for n in names if n.startswith(CATALOG) and n.endswith(".json")]
+    return (max(numbers), json.loads(_read_text(spark, f"{root}/{CATALOG}{max(numbers):08d}.json"))) if numbers else (0, {})
 
 
 def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    version = current(spark, root)
-    if version is None:
-        return {}
-    fs, where = _fs(spark, version)
-    held = lambda path: any(s.getPath().getName().startswith("source=") for s in fs.listStatus(path))  # noqa: E731  empty tables leave none
-    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(where) if s.isDirectory() and held(s.getPath())}
+    """The store's tables, each the union of its sources' folders."""
+    out: dict[str, DataFrame] = {}
+    for source, entry in sorted(current(spark, root)[1].items()):
+        for name, folder in entry["tables"].items():
+            df = spark.read.parquet(f"{root}/{folder}").withColumn("source", F.lit(source))
+            out[name] = df if name not in out else out[name].unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def duplicate_keys(df: DataFrame, key: str, top: int = 5) -> DataFrame:
@@ -80,7 +90,7 @@ def fingerprint(tables: dict[str, DataFrame]) -> str:
 
 def ingest(spark: SparkSession, root: str, source: str, tables: dict[str, DataFrame], owner: str) -> str:
     """Replace the source's rows by ``tables``: ``new``, ``same`` or ``replaced``.  ``owner`` tells datasets apart."""
-    catalog = json.loads(_read_text(spark, f"{root}/sources.json") or "{}")
+    number, catalog = current(spark, root)
     known = catalog.get(source)
     if known and known["owner"] != owner:
         raise SourceConflict(f"source {source!r} belongs to {known['owner']!r}")
@@ -90,28 +100,41 @@ def ingest(spark: SparkSession, root: str, source: str, tables: dict[str, DataFr
     digest = fingerprint(tables)
     if known and known["digest"] == digest:
         return "same"
-    version = f"v-{uuid.uuid4().hex}"
-    old = read(spark, root)
-    for name in sorted({*old, *tables}):
-        parts = []
-        if name in old:
-            parts.append(old[name].where(F.col("source") != source))
-        if name in tables:
-            parts.append(tables[name].withColumn("source", F.lit(source)))
-        whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-        whole.write.partitionBy("source").parquet(f"{root}/{version}/{name}")
-    _write_text(spark, f"{root}/{POINTER}", version)
-    _write_text(spark, f"{root}/sources.json", json.dumps(catalog | {source: {"owner": owner, "digest": digest}}, sort_keys=True))
+    folders = {}
+    for name, df in tables.items():
+        folders[name] = f"data/{name}-{uuid.uuid4().hex}"
+        df.drop("source").write.parquet(f"{root}/{folders[name]}")
+    catalog[source] = {"owner": owner, "digest": digest, "tables": folders}
+    _write_text(spark, f"{root}/{CATALOG}{number + 1:08d}.json", json.dumps(catalog, sort_keys=True))
     return "replaced" if known else "new"
 
 
-def compact(spark: SparkSession, root: str, target_files: int = 1) -> str:
-    """Rewrite the current version with few files per source, then move the pointer."""
-    version = f"v-{uuid.uuid4().hex}"
-    for name, df in read(spark, root).items():
-        df.repartition(target_files, "source").write.partitionBy("source").parquet(f"{root}/{version}/{name}")
-    _write_text(spark, f"{root}/{POINTER}", version)
-    return version
+def garbage(spark: SparkSession, root: str) -> tuple[list[str], float]:
+    """Folders that the current catalog does not list, and their share of the store's bytes."""
+    live = {f for entry in current(spark, root)[1].values() for f in entry["tables"].values()}
+    fs, where = _fs(spark, f"{root}/data")
+    held = {f"data/{s.getPath().getName()}": fs.getContentSummary(s.getPath()).getLength() for s in fs.listStatus(where)} if fs.exists(where) else {}
+    dead = sorted(set(held) - live)
+    return dead, sum(held[d] for d in dead) / max(1, sum(held.values()))
+
+
+def compact(spark: SparkSession, root: str, least: float = COMPACT_SHARE, target_files: int = 1) -> str:
+    """Once ``least`` of the store's bytes are no longer listed: ``compacted`` after the listed folders are rewritten with few files, the
+    catalog is moved on and the unlisted folders and older catalogs are deleted; else ``kept``."""
+    dead, share = garbage(spark, root)
+    if share < least:
+        return "kept"
+    number, catalog = current(spark, root)
+    old = [f for entry in catalog.values() for f in entry["tables"].values()]
+    for entry in catalog.values():
+        for name, folder in entry["tables"].items():
+            entry["tables"][name] = f"data/{name}-{uuid.uuid4().hex}"
+            spark.read.parquet(f"{root}/{folder}").coalesce(target_files).write.parquet(f"{root}/{entry['tables'][name]}")
+    _write_text(spark, f"{root}/{CATALOG}{number + 1:08d}.json", json.dumps(catalog, sort_keys=True))
+    fs, _ = _fs(spark, root)
+    for path in [*dead, *old, *[f"{CATALOG}{n:08d}.json" for n in range(1, number + 1)]]:
+        fs.delete(_fs(spark, f"{root}/{path}")[1], True)
+    return "compacted"
 
 
 def export(records: DataFrame, path: str, active: tuple[Rule, ...] | None = None) -> dict:

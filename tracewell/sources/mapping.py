@@ -58,8 +58,9 @@ def _field(df: DataFrame, spec: Any, found: dict[str, DataFrame], joins: list[tu
         table = reduce(DataFrame.unionByName, matching(found, spec["lookup"]["from"]).values())
         name = f"_lookup{len(joins)}"
         key, value = path_column(table, spec["lookup"]["key"]), path_column(table, spec["lookup"]["value"])
-        rows = table.select(key.cast("string").alias(f"{name}_k"), value.cast("string").alias(name)).where(F.col(f"{name}_k").isNotNull())
-        first = rows.groupBy(f"{name}_k").agg(F.first(name).alias(name))
+        # The first row of a key wins: rows are numbered as they are read, file by file.
+        rows = table.select(key.cast("string").alias(f"{name}_k"), value.cast("string").alias(name), F.monotonically_increasing_id().alias("_n")).where(F.col(f"{name}_k").isNotNull())
+        first = rows.groupBy(f"{name}_k").agg(F.min_by(name, "_n").alias(name))
         joins.append((first, f"{name}_k", out.cast("string")))
         out = F.col(name)
     if "values" in spec:
