@@ -3,14 +3,19 @@ from __future__ import annotations
 import json
 import math
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracewell.functions import extract, names, redact, stats, text
+from tracewell.functions import chat, extract, names, redact, stats, text
 from tracewell.functions.time import millis, parse
+from tracewell.operators import adaptation, monitors
+
+
+T0 = datetime(2024, 1, 1)
 
 
 def one(spark, *cols, **values):
@@ -161,20 +166,88 @@ def test_verdict_flags_and_frame(spark):
     assert [(r["turn_id"], r["verdict"]["outcome"]) for r in extract.verdicts(df).collect()] == [(1, "pass")]
 
 
-def test_chat_events():
-    got = extract.chat("The site is live at https://a.example/x. https://b.example gives a 404 error! Tests pass, 12 tests. @ann please check it. @ann ready?", ("ann", "bob"))
-    assert [(e["kind"], e["subject"], e["asserts"]) for e in got] == [
-        ("claim", "a.example/x@live", "live"), ("quote", "b.example@live", None), ("claim", None, "verification_passed"), ("directive", None, "ann"), ("question", None, "ann")
-    ]
-    assert extract.chat(None) == []
+ROSTER = {"a1": "ann", "b1": "bob", "c1": "Carol 4", "d1": "dee"}
+
+
+@pytest.mark.parametrize(
+    ("text", "intent", "claimed", "artifact"),
+    [
+        ("The site is live at https://A.example.org/x/?v=1.", "claim", ["https://a.example.org/x"], None),
+        ("It is live: https://a.example.org and https://b.example.org are live", "claim", ["https://a.example.org", "https://b.example.org"], None),
+        ("https://a.example.org is live and https://b.example.org is planned", "claim", ["https://a.example.org"], None),
+        ("https://a.example.org is live and points to https://b.example.org", "claim", ["https://a.example.org"], None),
+        ("Both pages published https://a.example.org https://b.example.org", "claim", ["https://a.example.org", "https://b.example.org"], None),
+        ("The docs are live! More below.\nsee https://a.example.org", "claim", ["https://a.example.org"], None),
+        ("The docs are live! More below.\nthis is the link that we all wanted https://a.example.org", "message", [], None),
+        ("It will be live at https://a.example.org", "message", [], None),
+        ("https://github.com/a/b is live", "message", [], None),
+        ("https://a.example.org gives a 404", "quote", [], "https://a.example.org"),
+        ("https://a.example.org should be broken", "message", [], None),
+        ("All 12 tests pass", "tests", [], None),
+        ("Fixed the bug in src/app/x.py", "fixed", [], "file:src/app/x.py"),
+        ("Resolved #12", "fixed", [], "pr:#12"),
+        ("merged #7 now", "pushed", [], "pr:#7"),
+        ("pushed it", "pushed", [], None),
+        ("I wrote docs/a.md", "made", [], "file:docs/a.md"),
+        ("@bob please look", "directive", [], None),
+        ("@bob: check the logs", "directive", [], None),
+        ("@bob nice", "message", [], None),
+        ("@bob @dee @Carol 4 please look", "message", [], None),
+        ("", "message", [], None),
+    ],
+)
+def test_readings_of_chat(text, intent, claimed, artifact):
+    r = chat.reading(text, ROSTER, "a1")
+    assert (r["intent"], [c["page"] for c in r["claimed"]], r["artifact"]) == (intent, claimed, artifact)
+
+
+def test_flags_of_chat():
+    r = chat.reading("I think 47 tests pass #shipit [WIP] but my mistake, the site is down @bob ok? see a/b.py and https://a.example.org", ROSTER, "a1")
+    assert (r["hedged"], r["number_value"], r["number_kind"], r["negative"], r["blame"], r["own_error"], r["corrects"]) == (True, 47.0, "tests-passed", True, True, True, True)
+    assert (r["conventions"], r["named"], r["asked"], r["refs"], r["names"]) == (["#shipit", "[WIP]"], ["b1"], ["b1"], ["https://a.example.org", "a/b.py"], ["https://a.example.org"])
+    assert chat.reading("it is broken: https://a.example.org", ROSTER, None)["intent"] == "quote"
+    assert chat.stated_number("returns 200 OK") == (200.0, "http-status") and chat.reading(None, {}, None)["refs"] == []
+    assert chat.addressed("well done Carol-4 and carol 4", {"c1": "Carol‑4"}, "x")[0] == ["c1"]
 
 
 def test_action_facts(spark):
-    assert extract.writes("cat a > b.txt; tee -a log.txt; cp x y; run 2>/dev/null") == ["b.txt", "log.txt", "y"]
-    df = spark.createDataFrame([("rm -rf x",), ("git reset --hard",), ("ls",), (None,)], "c string")
-    assert [r[0] for r in df.select(extract.destructive(F.col("c"))).collect()] == [0, 1, None, None]
-    r = one(spark, extract.goal_key(F.lit("Verify: the  Site!")).alias("k"), extract.verify_goal(F.lit("Verify: it")).alias("v"))
-    assert tuple(r) == ("verify the site", True)
+    assert extract.writes("cat a > b.txt\ntee -a log.txt\ncp x y\nrun 2>/dev/null\n# > no\nsed -i 's/a/b/' z.py\ngit commit -m x") == ["file:b.txt", "file:log.txt", "file:y", "file:z.py", "repo:*"]
+    rows = [("rm -rf x",), ("rm -r x",), ("ls\ngit reset --hard",), ("git push origin -f",), ("# rm -rf x",), ("ls",), (None,)]
+    df = spark.createDataFrame(rows, "c string")
+    assert [r[0] for r in df.select(extract.destructive(F.col("c"))).collect()] == ["rm -rf", None, "git reset --hard", "git push --force", None, None, None]
+    goals = {"Verify: the  Site!": ("verify the site", False), "Check the deploy": ("check the deploy", True), "check my email and tests": ("check my email and tests", False), "run the tests": ("run the tests", True)}
+    for goal, want in goals.items():
+        r = one(spark, extract.goal_key(F.lit(goal)).alias("k"), extract.verify_goal(F.lit(goal)).alias("v"))
+        assert tuple(r) == want
+
+
+def test_a_window_becomes_a_typed_log(spark):
+    t = lambda m: T0 + timedelta(minutes=m)
+    sessions = spark.createDataFrame([("w", "s1", "a1", t(0), "Verify the deploy"), ("w", "s2", "a1", t(30), "More"), ("w", "s3", "b1", t(1), "Idle")], "window string, session string, agent string, ts timestamp_ntz, goal string")
+    ends = spark.createDataFrame([("w", "a1", t(0), "start", "s1"), ("w", "a1", t(20), "stop", "s1"), ("w", "a1", t(30), "start", "s2"), ("w", "a1", t(40), "consolidate", "s4"), ("w", "b1", t(5), "consolidate", "s3")], "window string, agent string, ts timestamp_ntz, kind string, session string")
+    spans = {r["session"]: (r["end_ts"], r["end_reason"]) for r in adaptation.session_spans(sessions, ends).collect()}
+    assert spans == {"s1": (t(20), "stop"), "s2": (t(40), "consolidate"), "s3": (None, None)}
+    turns = spark.createDataFrame([("w", "t1", "s1", t(3), "curl -I https://site.example.org/", "HTTP/1.1 404 Not Found"), ("w", "t2", "s1", t(4), "rm -rf x", "")], "window string, turn_id string, session string, ts timestamp_ntz, command string, output string")
+    said = [("m1", 2, "a1", "The site is live at https://site.example.org"), ("m2", 5, "a1", "https://site.example.org gives a 404"), ("m3", 6, "a1", "I was wrong about https://site.example.org"), ("m4", 25, "a1", "https://site.example.org is live"),
+            ("m5", 31, "a1", "https://site.example.org is live, really"), ("m6", 32, None, "https://site.example.org is broken?"), ("m7", 33, "b1", "@ann please check https://site.example.org"), ("m8", 34, "b1", "hello"), ("m9", 35, "b1", "  ")]
+    messages = spark.createDataFrame([("w", i, t(m), s, "r", x) for i, m, s, x in said], "window string, message_id string, ts timestamp_ntz, speaker string, room string, content string")
+    log = adaptation.adapted(sessions, ends, turns, messages, ROSTER)
+    rows = log.orderBy("sequence").collect()
+    assert [r["sequence"] for r in rows] == list(range(1, len(rows) + 1)) and set(monitors_columns(spark)) <= set(log.columns)
+    by = {r["event_id"]: r for r in rows}
+    assert (by["chat/m1"]["type"], by["chat/m1"]["claim_id"], by["chat/m1"]["task"]) == ("claim", "C-m1", "S-s1")
+    assert (by["chat/m2"]["type"], by["chat/m2"]["quotes_event"]) == ("quote", "turn/t1")
+    assert (by["chat/m3"]["type"], by["chat/m3"]["supersedes"], by["chat/m3"]["evidence"]) == ("correction", "C-m1", ["chat/m1"])
+    assert (by["chat/m4"]["task"], by["chat/m4"]["repeat_of"], by["chat/m5"]["repeat_of"], by["chat/m5"]["task"]) == (None, "C-m1", "C-m1", "S-s2")
+    assert (by["chat/m6"]["type"], by["chat/m6"]["is_human"], by["chat/m7"]["type"], by["chat/m7"]["to"], by["chat/m8"]["type"]) == ("quote", True, "directive", ["a1"], "message")
+    assert (by["turn/t1"]["outcome"], by["turn/t1"]["artifact"], by["turn/t1"]["version"], by["act/t2"]["destructive"]) == ("fail", "https://site.example.org", "live", "rm -rf")
+    assert "chat/m9" not in by and by["session/s1"]["tasks"][0]["verify_goal"]
+    drafts = log.select("window", "ts", "type", "named", "event_id", F.lit(0).alias("prio"), F.col("event_id").alias("order"))
+    assert adaptation.numbered(drafts, 14).count() == 14 and "chat/m8" not in {r["event_id"] for r in adaptation.numbered(drafts, len(rows) - 1).collect()}
+
+
+def monitors_columns(spark):
+    return spark.createDataFrame([], monitors.LOG).columns
 
 
 def test_session_ends(spark):
