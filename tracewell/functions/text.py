@@ -100,3 +100,22 @@ def shingle_hashes(words: str, width: int = 6) -> Column:
         F.size(words) >= width,
         F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(*[F.get(F.col(words), i - 1 + k) for k in range(width)])),
     ).otherwise(F.array().cast("array<bigint>"))
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of the UTF-8 bytes."""
+    octets = F.filter(F.split(F.hex(F.encode(text, "UTF-8")), "(?<=\\G..)"), lambda h: h != "")
+    # The prime is 2**24 + 403, so that the product stays within 64 bits and the part beyond 32 falls away.
+    low = lambda x, bits: x.bitwiseAND(F.lit(bits))
+
+    def step(acc: Column, octet: Column) -> Column:
+        x = acc.bitwiseXOR(F.conv(octet, 16, 10).cast("bigint"))
+        return low(low(x * 403, 0xFFFFFFFF) + F.shiftleft(low(x, 0xFF), 24), 0xFFFFFFFF)
+
+    return F.aggregate(octets, F.lit(2166136261).cast("bigint"), step)
+
+
+def fenced(text: Column, nonce: str) -> Column:
+    """Untrusted text between marks that carry a nonce of the request; anything in it that looks like such a mark or a tag is made harmless."""
+    safe = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<(?=[/!?A-Za-z])", "‹"), "(?i)untrusted-", "untrusted‐")
+    return F.concat(F.lit(f"<untrusted-{nonce}>\n"), safe, F.lit(f"\n</untrusted-{nonce}>"))

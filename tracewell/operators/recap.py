@@ -197,3 +197,19 @@ def interleaved(moments: DataFrame, kinds: list[str], order: str = "score") -> D
     at = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(order), "t", "id"))
     place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
     return moments.withColumn("rank_in_kind", at).orderBy("rank_in_kind", place)
+
+
+def burst_details(found: DataFrame, messages: DataFrame, entity: str = "channel", day: str = "d") -> DataFrame:
+    """``found`` bursts with their first and last moment, first ids and, where the entity is an author, the channel it mostly spoke in
+    (ties: the first by name).  ``messages`` has (evidence_id, channel, author_id, ts)."""
+    rows = messages.withColumn("entity", F.col(entity)).withColumn(day, F.to_date("ts")).join(found.select("entity", day).distinct(), ["entity", day], "left_semi")
+    keys = ["entity", day]
+    spans = rows.groupBy(*keys).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    most = rows.where("channel IS NOT NULL").groupBy(*keys, "channel").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("o"), "channel"))["channel"].alias("channel"))
+    return found.join(spans, keys).join(most, keys, "left").join(first_ids(rows, keys, USE_IDS), keys)
+
+
+def first_uses(coined: DataFrame, least: int = 3) -> DataFrame:
+    """Moments of coined terms that caught on: (kind, t, agent, term, score, id), by how many others took them up within a fortnight."""
+    rows = coined.where(F.col("adopters_fast") >= least)
+    return rows.select(F.lit("first_use").alias("kind"), F.col("first_ts").alias("t"), F.col("coiner").alias("agent"), "term", F.col("adopters_fast").alias("score"), F.col("first_id").alias("id"))

@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.joins import with_previous
 from tracewell.functions.text import matches, name_key, snippet
 
 AUTHOR = {"messages": "author_id", "actions": "agent_id"}
@@ -119,9 +120,13 @@ def search(messages: DataFrame, query: str, how: str = "phrase", limit: int = 20
 
 
 def within_budget(df: DataFrame, order: list[Column], budget: int = 80_000) -> DataFrame:
-    """The first rows whose JSON fits the budget together; the first row always stays."""
+    """The first rows whose JSON fits the budget together; the first row always stays.
+
+    An empty object takes two characters already, so no more than half the budget's rows can fit: only so many, the first in order, are
+    ever brought together."""
     size = F.length(F.to_json(F.struct(*df.columns)))
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over one response's items
+    df = df.orderBy(*order).limit(budget // 2 + 1)
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over the rows that one response may hold
     return df.withColumn("_at", F.row_number().over(Window.orderBy(*order))).withColumn("_sum", F.sum(size).over(w)).where((F.col("_sum") <= budget) | (F.col("_at") == 1)).drop("_sum", "_at")
 
 
@@ -207,3 +212,36 @@ def condition(column: Column, op: str, value=None) -> Column:
     if op == "contains":
         return F.coalesce(text.contains(str(value)), F.lit(False))
     raise ValueError(f"unknown condition: {op!r}")
+
+
+def counted_page(records: DataFrame, limit: int = 50, offset: int = 0) -> tuple[DataFrame, dict]:
+    """A page of records in order, and what a reader needs to go on: total, has_more, next_offset."""
+    total = records.count()
+    more = offset + limit < total
+    return page(in_order(records), limit=limit, offset=offset), {"total": total, "has_more": more, "next_offset": offset + limit if more else None}
+
+
+def found(records: DataFrame, query: str, how: str = "phrase", text: str = "content", limit: int = 50, offset: int = 0, width: int = 200) -> DataFrame:
+    """A page of the matches of a search with their snippets and, on every row, how many matches there are in all."""
+    hits = records.where(matches(F.col(text), query, how))
+    total = hits.agg(F.count(F.lit(1)).alias("total"))  # one row
+    rows = page(in_order(hits), limit=limit, offset=offset)
+    return rows.withColumn("snippet", snippet(F.col(text), query if how == "phrase" else (query.split() or [""])[0], width)).crossJoin(F.broadcast(total))
+
+
+def outside_actors(messages: DataFrame, agents: DataFrame) -> DataFrame:
+    """(kind, actors, records): records of authors that no row of ``agents`` has, by what their ids start with."""
+    rows = messages.where("author_id IS NOT NULL").join(agents.select(F.col("agent_id").alias("author_id")), "author_id", "left_anti")
+    kind = F.when(F.col("author_id").contains(":"), F.split_part("author_id", F.lit(":"), F.lit(1))).otherwise("unknown")
+    per = rows.groupBy(kind.alias("kind"), "author_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("kind").agg(F.count(F.lit(1)).alias("actors"), F.sum("n").alias("records"))
+
+
+def previous_of_author(messages: DataFrame, n: int = 3) -> DataFrame:
+    """(evidence_id, earlier): each message with its author's ``n`` messages before, the nearest first."""
+    rows = messages.select("evidence_id", "author_id", "ts").where("author_id IS NOT NULL AND ts IS NOT NULL")
+    carried = "evidence_id"
+    for i in range(1, n + 1):
+        rows = with_previous(rows, ["author_id"], {f"p{i}": F.col(carried)})
+        carried = f"p{i}"
+    return rows.select("evidence_id", F.array_compact(F.array(*[f"p{i}" for i in range(1, n + 1)])).alias("earlier"))

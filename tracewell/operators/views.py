@@ -9,7 +9,8 @@ from tracewell.functions.stats import js_part
 from tracewell.functions.text import name_key
 from tracewell.functions.time import millis
 from tracewell.operators.joins import within_intervals
-from tracewell.operators.ordered import beside, last
+from tracewell.functions import extract
+from tracewell.operators.ordered import beside, carry, last
 from tracewell.operators.records import neighbours
 
 
@@ -137,3 +138,52 @@ def trace_problems(events: DataFrame, edges: DataFrame) -> DataFrame:
     counts = both.agg(F.count(F.when(F.col("ta").isNull() | F.col("tb").isNull(), 1)).alias("edge_to_nowhere"), F.count(F.when(F.col("ta") > F.col("tb"), 1)).alias("edge_back_in_time"))
     cells = F.array(*[F.struct(F.lit(c).alias("problem"), F.col(c).alias("n")) for c in ("edge_to_nowhere", "edge_back_in_time")])
     return repeated.unionByName(counts.select(F.explode(cells).alias("c")).select("c.*")).where("n > 0")
+
+
+def turn_index(turns: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(turn_id, session, ts, command_hash, output_hash, destructive, empty_output) of every turn of the chosen sessions: 12 hex digits of sha1 tell
+    commands and outputs apart without keeping them."""
+    digest = lambda c: F.substring(F.sha1(F.coalesce(c, F.lit("")).cast("binary")), 1, 12)
+    kept = turns.join(sessions.select("session").distinct(), "session", "left_semi")
+    command = F.when(F.col("command").isNotNull(), digest(F.col("command")))
+    return kept.select("turn_id", "session", "ts", command.alias("command_hash"), digest(F.col("output")).alias("output_hash"), extract.destructive(F.col("command")).alias("destructive"), (F.trim(F.coalesce("output", F.lit(""))) == "").alias("empty_output"))
+
+
+def document_problems(log: DataFrame) -> DataFrame:
+    """(problem, n): what makes a typed log unfit: records without id, time, agent or type, repeated ids, numbers that are missing, repeated
+    or go back in time, claims without id or rule of assertion, corrections of unknown claims."""
+    need = {f"no_{c}": F.count(F.when(F.col(c).isNull(), 1)) for c in ("event_id", "ts", "agent", "type", "sequence")}
+    need["claim_without_id"] = F.count(F.when((F.col("type") == "claim") & F.col("claim_id").isNull(), 1))
+    need["claim_without_assertion"] = F.count(F.when((F.col("type") == "claim") & F.col("asserts").isNull(), 1))
+    ends = [F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"), F.count("sequence").alias("_n")]
+    row = log.agg(*[v.alias(k) for k, v in need.items()], *ends).withColumn("numbers_missing", F.greatest(F.col("_hi") - F.col("_lo") + 1 - F.col("_n"), F.lit(0)))
+    again = lambda c: log.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.lit(f"repeated_{c}").alias("problem"), F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(F.lit(k).alias("problem"), F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias("n")) for k in [*need, "numbers_missing"]])
+    known = log.where("type = 'claim'").select(F.col("claim_id").alias("supersedes")).distinct()
+    lost = log.where("type = 'correction'").join(known, "supersedes", "left_anti").agg(F.lit("correction_of_nothing").alias("problem"), F.count(F.lit(1)).alias("n"))
+    steps = carry(log.where("sequence IS NOT NULL").select(F.lit(0).alias("_k"), "sequence", "ts"), ["_k"], {"_p": last(F.struct("sequence", "ts"))})
+    back = steps.where("ts < _p.ts").agg(F.lit("back_in_time").alias("problem"), F.count(F.lit(1)).alias("n"))
+    out = row.select(F.inline(cells))
+    for part in (again("event_id"), again("sequence"), lost, back):
+        out = out.unionByName(part)
+    return out.where("n > 0")
+
+
+def review_report(findings: DataFrame, shown: int = 3) -> DataFrame:
+    """(monitor, active, resolved, insufficient, agents, examples): what a reviewer of monitors looks at first."""
+    place = F.row_number().over(Window.partitionBy("monitor").orderBy(F.desc("detected_at"), "finding_id"))
+    examples = findings.withColumn("_n", place).where(F.col("_n") <= shown).groupBy("monitor").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "finding_id"))), lambda x: x["finding_id"]).alias("examples"))
+    states = [F.count(F.when(F.col("state") == s, 1)).alias(s) for s in ("active", "resolved", "insufficient")]
+    return findings.groupBy("monitor").agg(*states, F.countDistinct("agent").alias("agents")).join(examples, "monitor")
+
+
+def live_payload(log: DataFrame) -> DataFrame:
+    """(session, owner, started, ended, actions, results, fails, claims, last_ts): what a live view shows of each session."""
+    made = log.where("type = 'task_created'").select(F.col("ts").alias("started"), F.inline("tasks")).groupBy("task").agg(F.min("started").alias("started"), F.min_by("owner", "started").alias("owner"))
+    n = lambda t: F.count(F.when(t, 1))
+    kind = F.col("type")
+    did = log.where("task IS NOT NULL").groupBy("task").agg(
+        n(kind == "action").alias("actions"), n(kind == "tool_result").alias("results"), n((kind == "tool_result") & (F.col("outcome") == "fail")).alias("fails"), n(kind == "claim").alias("claims"),
+        F.max("ts").alias("last_ts"), F.min(F.when((kind == "status_updated") & (F.col("status") == "ended"), F.col("ts"))).alias("ended"),
+    )
+    return made.join(did, "task", "left").select(F.col("task").alias("session"), "owner", "started", "ended", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("actions", "results", "fails", "claims")], "last_ts")

@@ -110,9 +110,10 @@ def labels_and_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "head", F.regexp_replace("s", "^…|…$", "").alias("around"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS goal_key, regexp_matches(lower(text), '\b(verify|verification|check|validate|confirm|test|qa|audit)\b') AS verify FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS goal_key, NOT regexp_matches(text, '\bcheck\w*\s+(my |the |for |new |all )?(e-?mails?|messages?|chat|inbox|dashboards?)\b', 'i') AND (regexp_matches(text, '\b(run(ning)? (the )?tests|test suite|pytest|npm test|vitest)\b', 'i')
+  OR (regexp_matches(text, '\b(verif\w*|validat\w*|confirm\w*|check\w*)\b', 'i') AND regexp_matches(text, '\b(urls?|deploy\w*|live|builds?|tests?|pages|prs?|pull requests?)\b', 'i'))) AS verify FROM documents""")
 def goal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.table(spark, sf_dir, "documents").where("lang = 'en'")
+    rows = store.table(spark, sf_dir, "documents")
     return rows.select("doc_id", extract.goal_key(F.col("text")).alias("goal_key"), extract.verify_goal(F.col("text")).alias("verify"))
 
 
@@ -164,11 +165,11 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_prelude("""
-WITH m AS (SELECT *, row_number() OVER (ORDER BY ts, evidence_id) AS r, length(to_json({'evidence_id': evidence_id, 'channel': channel})) AS size FROM messages WHERE channel = 'error' AND author_id = 'testdata:agent:3')
-SELECT evidence_id FROM (SELECT *, sum(size) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS total FROM m) WHERE total <= 500 OR r = 1"""))
+WITH m AS (SELECT *, row_number() OVER (ORDER BY ts, evidence_id) AS r, length(to_json({'evidence_id': evidence_id, 'channel': channel})) AS size FROM messages)
+SELECT evidence_id FROM (SELECT *, sum(size) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS total FROM m) WHERE total <= 50000 OR r = 1"""))
 def response_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.messages(spark, sf_dir).where("channel = 'error' AND author_id = 'testdata:agent:3'").select("evidence_id", "channel", "ts")
-    fits = records.within_budget(rows.select("evidence_id", "channel").join(rows.select("evidence_id", "ts"), "evidence_id").select("evidence_id", "channel"), [F.split_part("evidence_id", F.lit(":"), F.lit(3)).cast("int")], 500)
+    rows = store.messages(spark, sf_dir).select("evidence_id", "channel")
+    fits = records.within_budget(rows, [F.split_part("evidence_id", F.lit(":"), F.lit(3)).cast("int")], 50_000)
     return fits.select("evidence_id")
 
 

@@ -22,6 +22,8 @@ from tracewell.functions.redact import Rule, redact, rules
 
 KEYS = {"agents": "agent_id", "messages": "evidence_id", "actions": "evidence_id", "periods": "evidence_id", "artifacts": "artifact_id", "touches": "touch_id"}
 CATALOG = "catalog-"
+#: Rows of a viewer's document.
+PAYLOAD_ROWS = 50_000
 #: Share of bytes no longer listed from which a store is compacted.
 COMPACT_SHARE = 0.25
 
@@ -200,3 +202,17 @@ def check_export(spark: SparkSession, path: str) -> list[str]:
     if hits:
         problems.append(f"{hits} values that redaction should have found")
     return problems
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Append rows as JSON lines to a log's folder: findings, sweeps and their summaries.  A log is read whole, and the last line of an id
+    counts, so nothing in it is ever changed."""
+    rows.write.mode("append").json(path)
+
+
+def write_payload(rows: DataFrame, path: str, name: str = "rows", **meta) -> None:
+    """One JSON document, the facts of ``meta`` and all rows as a list, for a viewer: what it shows is small by nature, and checked."""
+    few = [r[0] for r in rows.limit(PAYLOAD_ROWS + 1).select(F.to_json(F.struct(*rows.columns))).collect()]
+    if len(few) > PAYLOAD_ROWS:
+        raise ValueError(f"a payload holds at most {PAYLOAD_ROWS} rows; narrow the filter")
+    _write_text(rows.sparkSession, path, json.dumps({**meta, name: [json.loads(r) for r in few]}, sort_keys=True))

@@ -92,3 +92,11 @@ def drain_each(stream: DataFrame, each: Callable[[DataFrame, int], None], checkp
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def watch(spark: SparkSession, path: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None):
+    """Watch a folder of JSON lines and hand each new batch to ``handle``: every ``seconds``, or all there is now and then stop.  The
+    checkpoint remembers what was seen, so a watch taken up again goes on where it ended."""
+    lines = spark.readStream.schema(schema).json(path)
+    writer = lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if seconds is None else writer.trigger(processingTime=f"{seconds} seconds").start()
