@@ -47,11 +47,11 @@ def in_segments(records: DataFrame, segments: DataFrame) -> DataFrame:
 def rising_terms(placed: DataFrame, agents: DataFrame, text: str = "content", top: int = 10, min_messages: int = MIN_TERM_MESSAGES, min_authors: int = MIN_TERM_AUTHORS) -> DataFrame:
     """Per segment the terms whose log-odds against the segment before rose most (3 x ``top`` candidates).
 
-    Terms are counted by author first, so that authors are told apart without a set of them; the segment before is the
-    preceding row of the term's window, so the counts are made once.
+    Uses are dealt once, by term: counts by author, counts by segment and the step back to the segment before (the preceding row of
+    the term's window) all find a term's rows together.
     """
     said = placed.join(agents.select(F.col("agent_id").alias("author_id")), "author_id", "left_semi")
-    uses = terms(said, text, ["seg", "author_id", "ts", "evidence_id"])
+    uses = terms(said, text, ["seg", "author_id", "ts", "evidence_id"]).repartition("term")
     by_author = uses.groupBy("seg", "term", "author_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("ts").isNull(), "ts", "evidence_id")).alias("f"))
     counts = by_author.groupBy("seg", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("authors"), F.min("f")["evidence_id"].alias("first_id"))
     step = Window.partitionBy("term").orderBy("seg").rangeBetween(-1, -1)
@@ -104,8 +104,8 @@ def novel_terms(messages: DataFrame, agents: DataFrame, text: str = "content", c
     coinable = lambda w: w.rlike(f"^(?:{COINED})$") & ~w.isin(*STOPWORDS, *(common or []), *(names or []))
     used = flagged.select("evidence_id", "author_id", "ts", "ag", tokens(F.col(text)).alias("_t"))
     used = used.select("evidence_id", "author_id", "ts", "ag", F.explode(F.array_distinct(F.filter("_t", coinable))).alias("term"))
-    # One row per term and author tells all but how many uses fall into the first fortnight.
-    by_author = used.groupBy("term", "author_id", "ag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "evidence_id", "author_id")).alias("f"))
+    # One row per term and author tells all but how many uses fall into the first fortnight.  Uses are dealt once, by term.
+    by_author = used.repartition("term").groupBy("term", "author_id", "ag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "evidence_id", "author_id")).alias("f"))
     seen = by_author.groupBy("term").agg(
         F.min("f.ts").alias("any_ts"), F.min(F.when(F.col("ag"), F.col("f"))).alias("f"), F.sum(F.when(F.col("ag"), F.col("n"))).alias("n"), F.count(F.when(F.col("ag"), 1)).alias("agents")
     )
@@ -113,11 +113,14 @@ def novel_terms(messages: DataFrame, agents: DataFrame, text: str = "content", c
     good = seen.crossJoin(F.broadcast(cutoff)).where(late & (F.col("n") >= min_messages) & (F.col("agents") >= min_agents) & (F.col("any_ts") == F.col("f.ts")))  # one row
     good = good.select("term", F.col("f.ts").alias("first_ts"), F.col("f.author_id").alias("coiner"), F.col("f.evidence_id").alias("first_id"), "n", "agents")
     fast = lambda c: F.col(c) < F.col("first_ts") + F.expr(f"interval {FAST_DAYS} days")
-    quick = by_author.where("ag").select("term", "author_id", F.col("f.ts").alias("own_ts")).join(good.select("term", "first_ts", "coiner"), "term")
-    quick = quick.groupBy("term").agg(F.count(F.when(fast("own_ts") & (F.col("author_id") != F.col("coiner")), 1)).alias("adopters_fast"))
-    uses = used.where("ag").select("term", "ts", "evidence_id").join(good.select("term", "first_ts"), "term")
-    soon = uses.groupBy("term").agg(F.count(F.when(fast("ts"), 1)).alias("n_fast"))
-    out = good.join(quick, "term").join(soon, "term").join(first_ids(uses, ["term"], USE_IDS), "term")
+    uses = used.where("ag").select("term", "author_id", "ts", "evidence_id").join(good, "term")
+    by_term = Window.partitionBy("term")
+    ranked = uses.select("*", F.row_number().over(by_term.orderBy("ts", "evidence_id")).alias("_n"), F.row_number().over(Window.partitionBy("term", "author_id").orderBy("ts", "evidence_id")).alias("_own"))
+    early = F.when(fast("ts"), 1)
+    out = ranked.groupBy("term", "first_ts", "coiner", "first_id", "n", "agents").agg(
+        F.count(F.when((F.col("_own") == 1) & fast("ts") & (F.col("author_id") != F.col("coiner")), 1)).alias("adopters_fast"), F.count(early).alias("n_fast"),
+        F.array_sort(F.collect_list(F.when(F.col("_n") <= USE_IDS, F.struct("_n", "evidence_id")))).alias("ids"),
+    ).withColumn("ids", F.transform("ids", lambda x: x["evidence_id"]))
     starts = out.select("term", millis("first_ts").alias("t"))
     span = FAST_DAYS * 86_400_000
     said = flagged.where("ag").groupBy(ms.alias("m")).agg(F.count(F.lit(1)).alias("c"))
