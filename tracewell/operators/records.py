@@ -163,19 +163,22 @@ def resolve_agents(names: DataFrame, agents: DataFrame) -> DataFrame:
 
     In order: exact id, last part of the id, display name, alias, part of the name.
     """
-    a = agents.select("agent_id", F.col("display_name"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
-    asked = names.select(F.col("name").alias("asked"), name_key(F.col("name")).alias("key"))
-    label = name_key(F.col("display_name"))
-    how = (
-        F.when(F.col("agent_id") == F.col("asked"), 1)
-        .when(F.element_at(F.split("agent_id", ":"), -1) == F.col("asked"), 2)
-        .when(label == F.col("key"), 3)
-        .when(F.array_contains(F.transform("aliases", name_key), F.col("key")), 4)
-        .when((F.col("key") != "") & label.contains(F.col("key")), 5)
-    )
+    asked = names.select(F.col("name").alias("asked"), name_key(F.col("name")).alias("key")).distinct()
     if asked.limit(MAX_ASKED + 1).count() > MAX_ASKED:
         raise ValueError(f"at most {MAX_ASKED} names at once")
-    ranked = a.join(F.broadcast(asked), how.isNotNull()).select("asked", "agent_id", how.alias("rank"))
+    label = name_key(F.col("display_name"))
+    ranked_key = lambda k, rank: F.struct(k.alias("k"), F.lit(rank).alias("rank"))
+    ids = agents.select("agent_id", F.inline(F.array(ranked_key(F.col("agent_id"), 1), ranked_key(F.element_at(F.split("agent_id", ":"), -1), 2))))
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: ranked_key(name_key(x), 4))
+    titles = agents.select("agent_id", F.inline(F.concat(F.array(ranked_key(label, 3)), aliases)))
+    ranked = asked.join(ids, F.col("asked") == F.col("k")).select("asked", "agent_id", "rank")
+    ranked = ranked.union(asked.join(titles, F.col("key") == F.col("k")).select("asked", "agent_id", "rank"))
+    # Only names that equal nothing are looked for within names: every part of a name, which is short, is a key too.
+    left = asked.where("key <> ''").join(ranked.select("asked").distinct(), "asked", "left_anti")
+    starts = F.sequence(F.lit(1), F.length("label"))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("label") - i + 1), lambda n: F.substring(F.col("label"), i, n))))
+    held = agents.select("agent_id", label.alias("label")).where("label <> ''").select("agent_id", F.explode(F.array_distinct(parts)).alias("key"))
+    ranked = ranked.union(left.join(held, "key").select("asked", "agent_id", F.lit(5))).distinct()
     best = ranked.groupBy("asked", "rank").agg(F.min("agent_id").alias("agent_id"), F.count(F.lit(1)).alias("candidates"))
     top = best.groupBy("asked").agg(F.min_by(F.struct("agent_id", "rank", "candidates"), "rank").alias("b"))
     kinds = F.array(*[F.lit(x) for x in ("id", "suffix", "name", "alias", "part")])
