@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import words_of_identifier
 from tracewell.operators.joins import gap_runs
 
 #: The blend of signals, neighbours kept, and the resolutions of the three levels.
@@ -31,14 +30,60 @@ def session_units(records: DataFrame, actor: str = "agent_id", gap_ms: int = 1_8
     return units.select(F.concat_ws("#", "actor", F.col("run").cast("string")).alias("unit"), "actor", "start_ts", "end_ts", "n")
 
 
+#: Words of code, and of titles, that tell nothing about the work.
+CODE_STOP = """const let var function return import export from default class this new null undefined true false if else
+for while switch case break continue typeof instanceof await async try catch throw finally length push map filter
+reduce foreach join slice concat includes keys values entries object array string number math floor round min max
+console log document element innerhtml classname style div span button id data type html css px rem test tests
+assert equal strict deep describe should expect node the and with that are not has get set""".split()
+TITLE_STOP = """feat fix fixes chore docs doc test tests add adds added adding update updates updated with and the for into
+from to of in on a an by pr prs merge merged pull request requests new system systems module modules integration
+integrate integrated integrating wire wired wiring implement implemented implementation support use using via all
+its it this that is are be as or vs our we i you please review approve approved approval lgtm thanks thank looks
+good can will now just also ready done check checked scan scanned clean here there let lets
+im ive ill should would could has have had was were been more some any no not yes ok okay main branch commit
+commits rebase rebased conflict conflicts day issue issues comprehensive core basic initial""".split()
+#: What each line, import and file name of a change counts.
+LINE_WEIGHT, FILE_WEIGHT, IMPORT_WEIGHT = 1, 2, 3
+
+
 def stem(word: Column) -> Column:
-    """A light stem: common English endings off words of more than four letters."""
-    return F.when(F.length(word) > 4, F.regexp_replace(word, "(ations?|ings?|edly|ers?|ies|ed|es|s)$", "")).otherwise(word)
+    """A word without its plural ending, of which three letters must be left."""
+    n = F.length(word)
+    cut = lambda k, end: F.concat(F.substring(word, F.lit(1), n - k), F.lit(end))
+    return F.when(word.endswith("ies") & (n >= 6), cut(3, "y")).when(word.endswith("ses") & (n >= 6), cut(3, "s")).when(word.endswith("s") & (n >= 4), cut(1, "")).otherwise(word)
+
+
+def letter_words(text: Column) -> Column:
+    """The lower-cased words, of three letters or more, of identifiers and prose, cut at case changes and all but letters."""
+    spaced = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.filter(F.split(F.lower(spaced), "[^A-Za-z]+"), lambda w: F.length(w) > 2)
 
 
 def title_terms(units: DataFrame, title: str = "title") -> DataFrame:
-    """(unit, term) of a title's words, split at camelCase and underscores, and stemmed."""
-    return units.select("unit", F.explode(F.transform(words_of_identifier(F.col(title)), stem)).alias("term")).where(F.length("term") > 1)
+    """(signal, unit, term) of a title's words, stemmed, without addresses, numbers of issues, a leading kind and empty words."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(title), r"https?://\S+", " "), r"#\d+", " "), r"^\s*\w+(\([^)]*\))?:\s*", "")
+    words = F.transform(F.filter(letter_words(plain), lambda w: ~w.isin(*TITLE_STOP)), stem)
+    return units.select(F.lit("title").alias("signal"), "unit", F.explode(words).alias("term"))
+
+
+def file_words(path: Column) -> Column:
+    """The stemmed words of a path's last part, without its ending."""
+    base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.(m?js|ts|json|md|css|html)$", "")
+    return F.transform(F.filter(letter_words(base), lambda w: ~w.isin("test", "tests", "index", "spec")), stem)
+
+
+def code_terms(changes: DataFrame) -> DataFrame:
+    """(signal, unit, term), with repetitions, of what units added: words of identifiers in added lines once, of file names twice, of newly
+    imported targets three times.  ``changes`` is (unit, artifact, lines, imports); a target that a unit imports again counts once."""
+    idents = lambda line: F.regexp_extract_all(line, F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
+    lines = changes.select("unit", F.explode("lines").alias("line")).select("unit", F.explode(idents(F.col("line"))).alias("ident"))
+    lines = lines.select("unit", F.explode(F.transform(F.filter(letter_words(F.col("ident")), lambda w: ~w.isin(*CODE_STOP)), stem)).alias("term"), F.lit(LINE_WEIGHT).alias("n"))
+    files = changes.select("unit", F.explode(file_words(F.col("artifact"))).alias("term"), F.lit(FILE_WEIGHT).alias("n"))
+    targets = changes.select("unit", F.explode("imports").alias("target")).distinct()
+    imports = targets.select("unit", F.explode(file_words(F.col("target"))).alias("term"), F.lit(IMPORT_WEIGHT).alias("n"))
+    every = lines.union(files).union(imports)
+    return every.select(F.lit("code").alias("signal"), "unit", "term", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).drop("col")
 
 
 def tf_idf(terms: DataFrame) -> DataFrame:

@@ -83,3 +83,35 @@ def agents_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def info_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = store.messages(spark, sf_dir).select("evidence_id").union(store.actions(spark, sf_dir).select("evidence_id")).union(store.periods(spark).select("evidence_id"))
     return ids.select(*records.split_evidence_id()).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^A-Za-z]+'), lambda w: length(w) > 2)"
+_STEM = "CASE WHEN ends_with(w, 'ies') AND length(w) > 5 THEN left(w, length(w) - 3) || 'y' WHEN ends_with(w, 'ses') AND length(w) > 5 THEN left(w, length(w) - 2) WHEN ends_with(w, 's') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey AS unit, 'fix(api): see https://x.example/' || p_partkey || ' #12 ' || p_name || ' PartTypes and classes of ' || p_type AS title FROM part),
+w AS (SELECT unit, unnest({_WORDS.format("replace(title, 'fix(api): see https://x.example/' || unit || ' #12 ', 'see ')")}) AS w FROM t)
+SELECT unit, {_STEM} AS term, count(*) AS n FROM w WHERE w NOT IN ({', '.join(f"'{x}'" for x in subtasks.TITLE_STOP)}) GROUP BY 1, 2""")
+def subtasks_title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names inside titles with a kind, an address and the number of an issue."""
+    key = F.col("p_partkey").cast("string")
+    title = F.concat(F.lit("fix(api): see https://x.example/"), key, F.lit(" #12 "), "p_name", F.lit(" PartTypes and classes of "), "p_type")
+    units = store.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), title.alias("title"))
+    return subtasks.title_terms(units).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH c AS (SELECT p_partkey % 50 AS unit, 'src/' || replace(p_brand, '#', '') || '/PartIndex' || p_partkey || '.js' AS path, 'const ' || replace(p_name, ' ', 'Of_') || ' = getPart(\"' || p_type || '\")' AS line, './lib/' || replace(lower(p_type), ' ', '-') AS target FROM part),
+i AS (SELECT unit, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) AS ident FROM c),
+w AS (SELECT unit, unnest({_WORDS.format('ident')}) AS w, 1 AS n, true AS code FROM i UNION ALL SELECT unit, unnest({_WORDS.format("replace(list_extract(string_split(path, '/'), -1), '.js', '')")}), 2, false FROM c
+  UNION ALL SELECT unit, unnest({_WORDS.format("list_extract(string_split(target, '/'), -1)")}), 3, false FROM (SELECT DISTINCT unit, target FROM c))
+SELECT unit, {_STEM} AS term, CAST(sum(n) AS BIGINT) AS n FROM w WHERE CASE WHEN code THEN w NOT IN ({', '.join(f"'{x}'" for x in subtasks.CODE_STOP)}) ELSE w NOT IN ('test', 'tests', 'index', 'spec') END GROUP BY 1, 2""".replace('\\"', '"'))
+def subtasks_code_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as changes of fifty units, each with a file, a line and an import."""
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", ""), F.lit("/PartIndex"), key.cast("string"), F.lit(".js"))
+    line = F.concat(F.lit("const "), F.regexp_replace("p_name", " ", "Of_"), F.lit(' = getPart("'), "p_type", F.lit('")'))
+    target = F.concat(F.lit("./lib/"), F.regexp_replace(F.lower("p_type"), " ", "-"))
+    changes = store.table(spark, sf_dir, "part").select((key % 50).alias("unit"), path.alias("artifact"), F.array(line).alias("lines"), F.array(target).alias("imports"))
+    return subtasks.code_terms(changes).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n"))
