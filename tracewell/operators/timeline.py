@@ -72,10 +72,10 @@ def active_grid(daily: DataFrame, entity: str, until_last: bool) -> DataFrame:
     """
     days = daily.groupBy("d").agg(F.sum("den").alias("_x")).where("_x > 0").select("d", F.row_number().over(Window.orderBy("d")).alias("day_index"))
     spans = daily.where("den > 0").groupBy(entity).agg(F.min("d").alias("_first"), F.max("d").alias("_last"))
-    on = F.col("d") >= F.col("_first")
-    if until_last:
-        on &= F.col("d") <= F.col("_last")
-    grid = spans.join(F.broadcast(days), on).select(entity, "d", "day_index")
+    if not until_last:
+        spans = spans.crossJoin(F.broadcast(days.agg(F.max("d").alias("_end")))).withColumn("_last", F.greatest("_last", "_end"))  # one row
+    spans = spans.select(entity, F.explode(F.sequence("_first", "_last")).alias("d"))
+    grid = spans.join(F.broadcast(days), "d").select(entity, "d", "day_index")
     return grid.join(daily, [entity, "d"], "left").fillna(0, ["num", "den"])
 
 
