@@ -520,3 +520,12 @@ def test_tracers(spark):
     assert [tuple(r) for r in research.probable_source(first, m).collect()] == [("t", "a", "x")]
     t = research.before_after(m, "zig", "2024-01-01 00:04:00").first()
     assert tuple(t) == (1, 0, 1, 1)
+
+
+def test_betweenness_takes_graphs_of_any_size(spark):
+    import inspect
+
+    assert inspect.signature(graph.betweenness).parameters["max_edges"].default is None
+    e = spark.createDataFrame([("a", "b", 4), ("b", "c", 4), ("c", "d", 4)], "src string, dst string, weight long")
+    for tasks in (1, 3):
+        assert {r["node"]: round(r["betweenness"], 9) for r in graph.betweenness(e, tasks=tasks).collect()} == {"a": 0.0, "b": round(2 / 6, 9), "c": round(2 / 6, 9), "d": 0.0}
