@@ -529,3 +529,19 @@ def test_betweenness_takes_graphs_of_any_size(spark):
     e = spark.createDataFrame([("a", "b", 4), ("b", "c", 4), ("c", "d", 4)], "src string, dst string, weight long")
     for tasks in (1, 3):
         assert {r["node"]: round(r["betweenness"], 9) for r in graph.betweenness(e, tasks=tasks).collect()} == {"a": 0.0, "b": round(2 / 6, 9), "c": round(2 / 6, 9), "d": 0.0}
+
+
+def test_nearest_compares_equal_units_once(spark, monkeypatch):
+    compared = []
+    facing = subtasks._facing
+    monkeypatch.setattr(subtasks, "_facing", lambda v, *a: compared.append(v.select("unit").distinct().count()) or facing(v, *a))
+    terms = [("title", f"u{i:03}", t) for i in range(200) for t in (f"x{i % 3}", f"y{i % 4}", "z")] + [("title", "u999", "z"), ("title", "w", "alone")]
+    v = subtasks.tf_idf(spark.createDataFrame(terms, "signal string, unit string, term string"))
+    weights = {}
+    for r in v.collect():
+        weights.setdefault(r["unit"], {})[r["term"]] = r["weight"]
+    sim = lambda a, b: round(sum(w * weights[b].get(t, 0.0) for t, w in weights[a].items()), 9)
+    near = {tuple(sorted((a, b))) for a in weights for b in sorted((u for u in weights if u != a and sim(a, u) > 0), key=lambda u: (-sim(a, u), u))[:6]}
+    for block in (2048, 5):
+        assert {(r["a"], r["b"]) for r in subtasks.neighbours(subtasks.nearest(v, block=block)).collect()} == near
+    assert compared == [14, 14]

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.joins import gap_runs
+from tracewell.operators.joins import first_ids, gap_runs
+from tracewell.staging import stage
 
 #: The blend of signals, neighbours kept, and the resolutions of the three levels.
 WEIGHTS = {"code": 0.35, "title": 0.25, "files": 0.15, "refs": 0.15, "chat": 0.10}
@@ -166,15 +167,36 @@ def similarity(vectors: DataFrame, least: float = 1e-6, block: int = BLOCK) -> D
 
 
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
-    """(signal, a, b, sim), a < b: among them all pairs of which one is among the other's ``k`` nearest of all units
-    (ties by id), for ``neighbours`` to choose from; each task keeps the ``k`` nearest it sees."""
+    """(signal, a, b, sim), a < b: the pairs of which one is among the other's ``k`` nearest of all units (ties by id).
+
+    Units of equal vectors are one class and are compared once: a unit's nearest are among the ``k + 1`` least ids of the ``k + 1`` nearest
+    classes, its own included, so what is compared grows with the square of different vectors, not of units.
+    """
+    listed = vectors.where("unit IS NOT NULL AND term IS NOT NULL").groupBy("signal", "unit").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("t"))
+    # Weights that differ by the order of a sum only are equal; were they not, the results would be the same from more classes.
+    key = F.sha2(F.to_json(F.transform("t", lambda x: F.struct(x["term"], F.round(x["weight"], 12).alias("w")))), 256)
+    units = stage(listed.select("signal", "unit", key.alias("class"), "t"), "units")
+    least = first_ids(units, ["signal", "class"], k + 1, "unit", "unit")
+    heads = stage(units.select("signal", F.col("unit").alias("head"), "class", "t").join(least, ["signal", "class"]).where("head = ids[0]"), "heads")
 
     def choose(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, col = _best(sim, k)
-        other, own = _best(sim.T, k)
+        row, col = _best(sim, k + 1)
+        other, own = _best(sim.T, k + 1)
         return np.concatenate([row, own]), np.concatenate([col, other])
 
-    return _facing(vectors, block, choose)
+    pairs = _facing(heads.select("signal", F.col("head").alias("unit"), F.explode("t").alias("x")).select("signal", "unit", "x.*"), block, choose)
+    own = heads.select("signal", F.col("head").alias("a"), F.col("head").alias("b"), F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]).alias("sim")).where("sim > 0")
+    ways = pairs.union(pairs.select("signal", F.col("b").alias("a"), F.col("a").alias("b"), "sim")).union(own)
+    first = lambda rows, by: rows.withColumn("at", F.row_number().over(Window.partitionBy("signal", "a").orderBy(F.desc(F.round("sim", 9)), by))).where(F.col("at") <= k + 1).drop("at")
+    named = first(ways, "b").join(heads.select("signal", F.col("head").alias("b"), "ids"), ["signal", "b"])
+    near = first(named.select("signal", "a", F.explode("ids").alias("n"), "sim"), "n")
+    lists = near.groupBy("signal", F.col("a").alias("head")).agg(F.array_sort(F.collect_list(F.struct((-F.round("sim", 9)).alias("o"), "n", "sim"))).alias("near"))
+    classes = heads.select("signal", "class", "head").join(lists.select("signal", "head", "near"), ["signal", "head"])
+    each = units.select("signal", "unit", "class").join(classes.select("signal", "class", "near"), ["signal", "class"])
+    # A unit's own list is its class's without itself.
+    mine = F.slice(F.filter("near", lambda x: x["n"] != F.col("unit")), 1, k)
+    out = each.select("signal", "unit", F.explode(mine).alias("x")).select("signal", F.least("unit", "x.n").alias("a"), F.greatest("unit", "x.n").alias("b"), "x.sim")
+    return out.groupBy("signal", "a", "b").agg(F.max("sim").alias("sim"))
 
 
 def reference_similarity(counts: DataFrame) -> DataFrame:
