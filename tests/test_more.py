@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import staging
-from tracewell.operators import ideas, records, research
+from tracewell.operators import adaptation, ideas, records, research
 from tracewell.sources import ingest, protocol
 from tracewell.streaming import live
 
@@ -129,3 +129,15 @@ def test_exposures_join_no_uses_with_messages(spark):
 def test_markers_are_words_of_ascii(spark):
     rows = spark.createDataFrame([("u", "chung undüöein"), ("u", "hund"), ("u", "Und_so"), ("u", "so UND.")], "role string, content string")
     assert research.marker_rates(rows, ["role"], {"und": r"\bund\b"}).first()["und"] == 50.0
+
+
+def test_session_ends_among_boundaries_of_one_moment(spark):
+    at = lambda us: T0 + timedelta(microseconds=us)
+    sessions = spark.createDataFrame([("w", s, "a", at(0)) for s in ("s1", "s2", "s9")] + [("w", "s3", "a", at(5))], "window string, session string, agent string, ts timestamp_ntz")
+    ends = [("s1", 5, "start"), ("s9", 5, "consolidate"), ("s9", 7, "start"), ("s4", 9, "consolidate")]
+    b = spark.createDataFrame([("w", "a", at(us), kind, s) for s, us, kind in ends], "window string, agent string, ts timestamp_ntz, kind string, session string")
+    got = {r["session"]: (r["end_ts"], r["end_reason"]) for r in adaptation.session_spans(sessions, b).collect()}
+    assert got["s1"] == (at(5), "consolidate") and got["s9"] == (at(5), "next-start") and got["s2"][0] == at(5) and got["s3"] == (at(7), "next-start")
+    # s9's own row alone at the next moment, then one with another beside it.
+    b = spark.createDataFrame([("w", "a", at(us), "start", s) for s, us in [("s9", 3), ("s9", 5), ("s1", 5), ("s4", 9)]], "window string, agent string, ts timestamp_ntz, kind string, session string")
+    assert {r["session"]: r["end_ts"] for r in adaptation.session_spans(sessions, b).collect()} == {"s1": at(3), "s2": at(3), "s9": at(5), "s3": at(9)}

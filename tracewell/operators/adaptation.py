@@ -24,19 +24,23 @@ HUMANS = "humans"
 KEYS = ["window", "agent"]
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def session_spans(sessions: DataFrame, boundaries: DataFrame) -> DataFrame:
     """``sessions`` (session, agent, ts, ...) with ``end_ts`` and ``end_reason``: the agent's next stop, or its next boundary that belongs
     to another session.  ``boundaries`` is (window, agent, ts, kind, session) with the kinds stop, consolidate and start."""
-    at = boundaries.select("window", "agent", millis("ts").alias("_ms"), "ts", "kind", F.coalesce("session", F.lit("")).alias("owner")).where("agent IS NOT NULL")
+    at = boundaries.select("window", "agent", _micros("ts").alias("_us"), "ts", "kind", F.coalesce("session", F.lit("")).alias("owner")).where("agent IS NOT NULL")
     # Boundaries of one moment count once; a stop counts for every session, any other for all but its own.
-    stops = at.where("kind = 'stop'").select("window", "agent", "_ms", F.struct("_ms", "ts", "kind").alias("b"))
-    rows = sessions.withColumn("_ms", millis("ts")).withColumn("owner", F.col("session"))
-    rows = beside(rows, stops, KEYS, after={"stop": first(F.col("b"))}, order="_ms", block=None)
-    rows = last_of_another(rows, at.where("kind <> 'stop'").select("window", "agent", "owner", "_ms", "ts", "kind"), KEYS, "other", owner="owner", reverse=True, order="_ms", block=None)
-    other = F.when(F.col("other").isNotNull(), F.struct(F.col("other._ms").alias("_ms"), F.col("other.ts").alias("ts"), F.col("other.kind").alias("kind")))
+    stops = at.where("kind = 'stop'").select("window", "agent", "_us", F.struct("_us", "ts", "kind").alias("b"))
+    rows = sessions.withColumn("_us", _micros("ts")).withColumn("owner", F.col("session"))
+    rows = beside(rows, stops, KEYS, after={"stop": first(F.col("b"))}, order="_us", block=None)
+    rows = last_of_another(rows, at.where("kind <> 'stop'").select("window", "agent", "owner", "_us", "ts", "kind"), KEYS, "other", owner="owner", reverse=True, order="_us", block=None, ties=True)
+    other = F.when(F.col("other").isNotNull(), F.struct(F.col("other._us").alias("_us"), F.col("other.ts").alias("ts"), F.col("other.kind").alias("kind")))
     end = F.least("stop", other)
     reason = F.when(end["kind"] == "stop", "stop").when(end["kind"] == "consolidate", "consolidate").when(end.isNotNull(), "next-start")
-    return rows.withColumn("end_ts", end["ts"]).withColumn("end_reason", reason).drop("_ms", "owner", "stop", "other")
+    return rows.withColumn("end_ts", end["ts"]).withColumn("end_reason", reason).drop("_us", "owner", "stop", "other")
 
 
 def open_session(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -46,9 +50,9 @@ def open_session(points: DataFrame, spans: DataFrame) -> DataFrame:
     agent's sessions of the days around searched.
     """
     one = spans.select("window", "agent", F.col("ts").alias("s0"), "end_ts", "session")
-    starts = one.select("window", "agent", millis("s0").alias("_ms"), F.struct("s0", "end_ts", "session").alias("s"))
+    starts = one.select("window", "agent", _micros("s0").alias("_us"), F.struct("s0", "end_ts", "session").alias("s"))
     # A session that starts at the very moment counts as started.
-    near = beside(points.withColumn("_ms", millis("ts") + 1), starts, KEYS, {"s": last(F.col("s"))}, order="_ms", block=None).drop("_ms")
+    near = beside(points.withColumn("_us", _micros("ts") + 1), starts, KEYS, {"s": last(F.col("s"))}, order="_us", block=None).drop("_us")
     over = F.col("s.end_ts").isNotNull() & (F.col("s.end_ts") <= F.col("ts"))
     kept = near.where(F.col("s").isNull() | ~over).withColumn("task", F.col("s.session")).drop("s")
     rest = near.where(over).drop("s").withColumn("_id", F.monotonically_increasing_id())

@@ -84,22 +84,30 @@ def _known(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
 
 
-def last_of_another(probes: DataFrame, rows: DataFrame, keys: list[str], name: str, owner: str = "agent", reverse: bool = False, order: str = "sequence", block: int | None = BLOCK, stage: Stage | None = None) -> DataFrame:
+def last_of_another(probes: DataFrame, rows: DataFrame, keys: list[str], name: str, owner: str = "agent", reverse: bool = False, order: str = "sequence", block: int | None = BLOCK, stage: Stage | None = None, ties: bool = False) -> DataFrame:
     """``probes`` with ``name``, the last row before each (the first after it, if ``reverse``) among the ``rows`` of equal keys
     that another ``owner`` has, as a struct of all its columns, the order first.
 
     Each row first learns the nearest row of an owner other than its own: the last row of the run of one owner before.  So
-    the nearest row of all tells the probe both.
+    the nearest row of all tells the probe both.  Rows of one key at one place are told apart only with ``ties``: then of each place
+    the greatest row counts, and the greatest of another owner there is the nearest other to all that come after.
     """
     sign = -1 if reverse else 1
     columns = [order, *[c for c in rows.columns if c not in (order, "_n")]]
     turned = rows.select("*", (sign * F.col(order)).alias("_n"))
     asked = probes.withColumn("_n", sign * F.col(order))
     whole = F.struct("_n", *columns)
-    near = carry(turned, keys, {"_near": last(whole)}, order="_n", block=block, stage=stage)
-    breaks = near.withColumn("_break", F.when(F.col(f"_near.{owner}") != F.col(owner), F.struct("_n", F.col("_near").alias("row"))))
-    told = carry(breaks, keys, {"_other": last(F.col("_break"))}, order="_n", block=block, stage=stage)
-    told = told.withColumn("_else", F.coalesce("_break", "_other")["row"])
+    if ties:
+        at = Window.partitionBy(*keys, "_n")
+        turned = turned.withColumn("_top", F.max(whole).over(at))
+        turned = turned.withColumn("_beside", F.max(F.when(F.col(owner) != F.col(f"_top.{owner}"), whole)).over(at)).where(whole.eqNullSafe(F.col("_top"))).drop("_top")
+    near = carry(turned, keys, {"_near": last(F.struct("_n", *columns, "_beside") if ties else whole)}, order="_n", block=block, stage=stage)
+    row = F.struct(*[F.col(f"_near.{c}").alias(c) for c in ("_n", *columns)])
+    other = F.when(F.col(f"_near.{owner}") != F.col(owner), F.struct("_n", row.alias("row")))
+    if ties:
+        other = other.when(F.col("_near._beside").isNotNull(), F.struct("_n", F.col("_near._beside").alias("row")))
+    told = carry(near.withColumn("_break", other), keys, {"_other": last(F.col("_break"))}, order="_n", block=block, stage=stage)
+    told = told.withColumn("_else", F.coalesce(*(["_beside"] if ties else []), F.col("_break.row"), F.col("_other.row")))
     found = beside(asked, told, keys, {"_last": last(F.struct("_n", F.struct("_n", *columns).alias("row"), "_else"))}, order="_n", block=block, stage=stage)
     pick = F.when(F.col(f"_last.row.{owner}") != F.col(owner), F.col("_last.row")).otherwise(F.col("_last._else"))
     return found.withColumn(name, pick).drop("_last", "_n")
