@@ -141,3 +141,10 @@ def test_session_ends_among_boundaries_of_one_moment(spark):
     # s9's own row alone at the next moment, then one with another beside it.
     b = spark.createDataFrame([("w", "a", at(us), "start", s) for s, us in [("s9", 3), ("s9", 5), ("s1", 5), ("s4", 9)]], "window string, agent string, ts timestamp_ntz, kind string, session string")
     assert {r["session"]: r["end_ts"] for r in adaptation.session_spans(sessions, b).collect()} == {"s1": at(3), "s2": at(3), "s9": at(5), "s3": at(9)}
+
+
+def test_weekly_hazard_joins_no_uses_with_messages(spark):
+    from tracewell.registry import QUERIES
+
+    plan = QUERIES["idea_weekly_hazard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
