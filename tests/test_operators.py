@@ -545,3 +545,9 @@ def test_nearest_compares_equal_units_once(spark, monkeypatch):
     for block in (2048, 5):
         assert {(r["a"], r["b"]) for r in subtasks.neighbours(subtasks.nearest(v, block=block)).collect()} == near
     assert compared == [14, 14]
+
+
+def test_reach_along_a_long_chain(spark):
+    n = 1450
+    e = spark.range(1, n).selectExpr("CAST(id - 1 AS STRING) AS src", "CAST(id AS STRING) AS dst")
+    assert worldstate.reach(e, e.select(F.col("src").alias("root"))).count() == n * (n - 1) // 2

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.monitors import World, visible
 from tracewell.operators.ordered import count, first
+from tracewell.staging import stage
 
 #: Findings whose records contradict a claim, and those that a claim's records cannot confirm yet.
 CONTRADICTED = ("A", "D", "E", "G", "J", "W", "Y", "AO", "AP", "AQ", "AR", "AY")
@@ -103,18 +104,19 @@ def dependencies(w: World) -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): all nodes reachable from each root, the root itself left out.
 
-    A recursive query over the edges.  Equal rows of a round are merged, and a path longer than there are
-    nodes has only known nodes, so the depth is bounded by their (checked) number.
+    By doubling: what lies 1 to n steps from a root, and from there exactly n steps on, lies n + 1 to 2 n steps from it.  So a chain of any
+    length takes rounds by its logarithm, and in a forest each pair is made once.  A round that finds nothing new is the last.
     """
-    nodes = edges.select("src").union(edges.select("dst")).distinct().count()
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE r(root, node, depth) MAX RECURSION LEVEL {levels} AS (
-             SELECT root, dst, 1 FROM {roots} JOIN {edges} ON src = root
-             UNION ALL
-             SELECT DISTINCT root, dst, depth + 1 FROM r JOIN {edges} ON src = node WHERE depth < {nodes})
-           SELECT DISTINCT root, node FROM r WHERE node <> root""",
-        roots=roots, edges=edges, nodes=nodes, levels=max(nodes + 2, 100),
-    )
+    steps = stage(edges.where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "steps")
+    found = stage(steps.join(roots.select(F.col("root").alias("src")).distinct(), "src").select(F.col("src").alias("root"), F.col("dst").alias("node")), "reach")
+    while True:
+        ahead = found.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        new = stage(ahead.join(found, ["root", "node"], "left_anti"), "reach")
+        if new.isEmpty():
+            return found.where("node <> root")
+        found = found.union(new)
+        other = steps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+        steps = stage(steps.join(other, "dst").select("src", F.col("to").alias("dst")).distinct(), "steps")
 
 
 def citing(w: World) -> DataFrame:
