@@ -551,3 +551,14 @@ def test_reach_along_a_long_chain(spark):
     n = 1450
     e = spark.range(1, n).selectExpr("CAST(id - 1 AS STRING) AS src", "CAST(id AS STRING) AS dst")
     assert worldstate.reach(e, e.select(F.col("src").alias("root"))).count() == n * (n - 1) // 2
+
+
+def test_lineage_sorts_no_checks_by_claim(spark):
+    import re
+
+    rows = log(spark, [CLAIM] + [{**CLAIM, "claim_id": f"D{i}"} for i in range(13)] + [PASS] * 3)
+    got = worldstate.lineage(monitors.World(rows), rows.where("claim_id = 'C1'"))
+    steps = [(r["step"], r["sequence"]) for r in got.orderBy("sequence").collect()]
+    first = steps[0][1]
+    assert steps == [("introduced", first), *[("repeated", first + 1 + i) for i in range(10)], *[("checked", first + 14 + i) for i in range(3)]]
+    assert not re.search(r"windowspecdefinition\(claim_id#\d+, (?!agent)", got._jdf.queryExecution().optimizedPlan().toString())
