@@ -569,3 +569,20 @@ def test_bursts_as_peaks_leave_out_the_foot_of_a_rise(spark):
     daily = spark.createDataFrame(rows, "entity string, d string, num long, den long").withColumn("d", F.to_date("d"))
     days = lambda **k: sorted(str(r["d"])[-2:] for r in recap.bursts(daily, min_z=1.0, **k).collect())
     assert days() == ["21", "25"] and days(peaks=True) == ["25"]
+
+
+@pytest.mark.parametrize("part", [1, 5, 4096])
+def test_parts_of_a_graph_are_clustered_alone(spark, monkeypatch, part):
+    import random
+
+    rng = random.Random(3)
+    groups = [[f"{g}{i}" for i in range(6)] for g in "dbca"]
+    edges = [(a, b, rng.choice([0.5, 0.9, 1.0])) for g in groups for n, a in enumerate(g) for b in g[n + 1 :]] + [("x", "y", 0.4), ("d0", "b0", 0.1)]
+    monkeypatch.setattr(subtasks, "PART", part)
+    got = subtasks.louvain(edges, 1.0)
+    assert got == {n: "abcdx".index({"y": "x"}.get(n[0], n[0])) for n in got} and list(got) == sorted(got)
+    # Edges travel packed, not a row for each edge and level.
+    e = spark.createDataFrame(edges, "a string, b string, sim double")
+    made = subtasks.clusters(e)
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["unit"]: r["cluster"] for r in made.where("level = 'coarse'").collect()} == got

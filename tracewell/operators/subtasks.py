@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ COMMON_SHARE, COMMON_FACTOR = 0.30, 0.2
 DUPLICATE_DAYS, DUPLICATES_KEPT = 3, 3
 #: Units of a cell, and columns of terms held at a time, when units are compared with all others.
 BLOCK, COLUMNS = 2048, 4096
+#: Edges of one packed value, and nodes of small parts of a graph that are clustered together.
+PACK, PART = 1 << 17, 4096
 
 
 def session_units(records: DataFrame, actor: str = "agent_id", gap_ms: int = 1_800_000) -> DataFrame:
@@ -219,64 +220,143 @@ def neighbours(sims: DataFrame, k: int = NEIGHBOURS, least: float = 0.0) -> Data
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
 
 
-def louvain(edges: list[tuple[str, str, float]], resolution: float) -> dict[str, int]:
-    """Greedy modularity: nodes in order of name move to the neighbouring community of largest gain (ties: the
-    smallest), communities become nodes, until nothing moves.  Deterministic by construction."""
-    links: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-    names = sorted({n for a, b, _ in edges for n in (a, b)})
-    number = {n: i for i, n in enumerate(names)}
-    for a, b, w in edges:
-        links[number[a]][number[b]] += w
-        links[number[b]][number[a]] += w
-    member = list(range(len(names)))
-    total = sum(w for n in links.values() for w in n.values())
-    while total:
-        nodes = sorted(links)
-        degree = {n: sum(links[n].values()) for n in nodes}
-        home = {n: n for n in nodes}
-        weight = dict(degree)
+def _parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each node's part of the graph, named by its smallest node.  Roots hook on to smaller roots until no link joins two."""
+    label = np.arange(n)
+    while True:
+        one, two = label[a], label[b]
+        apart = one != two
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
+        up = label[label]
+        while (up != label).any():
+            label, up = up, up[up]
+
+
+def _merged(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between ``n`` nodes, each once, by source and then as they were first met."""
+    key, first, at = np.unique(src * n + dst, return_index=True, return_inverse=True)
+    order = np.lexsort((first, key // n))
+    return (key // n)[order], (key % n)[order], np.bincount(at, w)[order]
+
+
+def _communities(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, total: float, resolution: float) -> np.ndarray:
+    """The community of each of ``n`` nodes.  Links are given both ways, ordered by source; ``total`` is their weight in the whole graph."""
+    member = np.arange(n)
+    while True:
+        ends = np.searchsorted(src, np.arange(n + 1)).tolist()
+        degree = np.bincount(src, w, n).tolist()
+        home, weight = list(range(n)), degree.copy()
         moved_any = False
         for _ in range(100):
             moved = False
-            for n in nodes:
-                near: dict[int, float] = defaultdict(float)
-                for m, w in links[n].items():
-                    if m != n:
-                        near[home[m]] += w
-                weight[home[n]] -= degree[n]
-                gain = lambda c: near.get(c, 0.0) - resolution * degree[n] * weight[c] / total  # noqa: B023, E731
-                best = max(sorted({*near, home[n]}), key=lambda c: (round(gain(c), 12), c == home[n], -c))  # noqa: B023
-                weight[best] += degree[n]
-                if best != home[n]:
-                    home[n] = best
+            for i in range(n):
+                d, h, lo, hi = degree[i], home[i], ends[i], ends[i + 1]
+                near: dict[int, float] = {}
+                for m, x in zip(dst[lo:hi].tolist(), w[lo:hi].tolist(), strict=True):
+                    if m != i:
+                        c = home[m]
+                        near[c] = near.get(c, 0.0) + x
+                weight[h] -= d
+                best, most = h, round(near.pop(h, 0.0) - resolution * d * weight[h] / total, 12)
+                for c, x in near.items():
+                    gain = round(x - resolution * d * weight[c] / total, 12)
+                    if gain > most or (gain == most and best != h and c < best):
+                        best, most = c, gain
+                weight[best] += d
+                if best != h:
+                    home[i] = best
                     moved = moved_any = True
             if not moved:
                 break
         if not moved_any:
-            break
-        member = [home[m] for m in member]
-        merged: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        for n in nodes:
-            for m, w in links[n].items():
-                merged[home[n]][home[m]] += w
-        links = merged
-    order: dict[int, int] = {}
-    return {n: order.setdefault(member[number[n]], len(order)) for n in names}
+            return member
+        kept, place = np.unique(home, return_inverse=True)
+        member = place[member]
+        src, dst, w = _merged(place[src], place[dst], w, len(kept))
+        n = len(kept)
+
+
+def _louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
+    """The community of each node, numbered by their first nodes.  No community reaches beyond a part of the graph and no part's moves
+    change another's, so a part, or some small ones, are worked on at a time."""
+    part = _parts(n, a, b)
+    by_part = np.argsort(part, kind="stable")
+    place = np.empty(n, np.int64)
+    place[by_part] = np.arange(n)
+    a, b = place[a], place[b]
+    order = np.argsort(a * n + b, kind="stable")
+    a, b, w = a[order].astype(np.int32), b[order].astype(np.int32), w[order]
+    total = 2 * float(w.sum())
+    found = np.arange(n)
+    starts = np.flatnonzero(np.diff(part[by_part], prepend=-1))
+    ends = np.append(starts[1:], n)
+    lo = 0
+    while lo < n and total:
+        # The parts that begin within so many nodes.
+        hi = ends[np.searchsorted(starts, lo + PART, side="left") - 1]
+        e = slice(*np.searchsorted(a, [lo, hi]))
+        src, dst = np.stack([a[e], b[e]]).T.ravel().astype(np.int64) - lo, np.stack([b[e], a[e]]).T.ravel().astype(np.int64) - lo
+        by_src = np.argsort(src, kind="stable")
+        found[lo:hi] = lo + _communities(hi - lo, src[by_src], dst[by_src], np.repeat(w[e], 2)[by_src], total, resolution)
+        lo = hi
+    _, first, at = np.unique(found[place], return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[at]
+
+
+def louvain(edges: list[tuple[str, str, float]], resolution: float) -> dict[str, int]:
+    """Greedy modularity: nodes in order of name move to the neighbouring community of largest gain (ties: the
+    smallest), communities become nodes, until nothing moves.  Deterministic by construction."""
+    names = sorted({n for a, b, _ in edges for n in (a, b)})
+    number = {n: i for i, n in enumerate(names)}
+    a, b = (np.array([number[e[i]] for e in edges], np.int64) for i in (0, 1))
+    got = _louvain(len(names), a, b, np.array([w for _, _, w in edges], float), resolution)
+    return dict(zip(names, got.tolist(), strict=True))
 
 
 def clusters(edges: DataFrame, levels: dict[str, float] | None = None, method: str = "method") -> DataFrame:
-    """(method, level, unit, cluster): one task per method and level.  The graph has at most k edges a unit, and
-    units are episodes of work, so a method's graph fits a task."""
+    """(method, level, unit, cluster): one task per method and level.  The graph has at most k edges a unit; it travels packed, in
+    a few bytes an edge, and a task holds it as arrays."""
     rows = edges if method in edges.columns else edges.withColumn(method, F.lit("blend"))
     pairs = [F.struct(F.lit(k).alias("level"), F.lit(float(v)).alias("resolution")) for k, v in (levels or LEVELS).items()]
-    tasks = rows.select(F.col(method).alias("method"), "a", "b", "sim", F.explode(F.array(*pairs)).alias("l")).select("method", "l.level", "l.resolution", "a", "b", "sim")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["a", "b"])
-        got = louvain(list(zip(part["a"], part["b"], part["sim"], strict=True)), float(part["resolution"].iloc[0]))
-        return pd.DataFrame({"method": part["method"].iloc[0], "level": part["level"].iloc[0], "unit": list(got), "cluster": list(got.values())})
-
-    return tasks.groupBy("method", "level").applyInPandas(run, "method string, level string, unit string, cluster int")
+    packed = rows.select(F.col(method).alias("method"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("sim").cast("double").alias("sim")).mapInArrow(_packed, "method string, edges binary")
+    tasks = packed.select("method", F.explode(F.array(*pairs)).alias("l"), "edges").select("method", "l.level", "l.resolution", "edges")
+
+    def run(part: pa.Table) -> pa.Table:
+        method, level, resolution = (part[c][0].as_py() for c in ("method", "level", "resolution"))
+        held = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in part["edges"])
+        names = pc.unique(pa.chunked_array([*held["a"].chunks, *held["b"].chunks]))
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(held[c], value_set=names).to_numpy() for c in ("a", "b"))
+        w = held["sim"].to_numpy()
+        del held
+        got = _louvain(len(names), a, b, w, resolution)
+        return pa.table({"method": pa.repeat(pa.scalar(method, pa.string()), len(names)), "level": pa.repeat(level, len(names)), "unit": names, "cluster": pa.array(got, pa.int32())})
+
+    return tasks.groupBy("method", "level").applyInArrow(run, "method string, level string, unit string, cluster int")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(method, edges) of (method, a, b, sim): some edges of a method in one compressed value."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).sort_by([("method", "ascending"), ("a", "ascending")])
+        for method in pc.unique(table["method"]):
+            sink = pa.BufferOutputStream()
+            mine = table.filter(pc.equal(table["method"], method) if method.is_valid else pc.is_null(table["method"])).select(["a", "b", "sim"])
+            with pa.ipc.new_stream(sink, mine.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(mine.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([method.as_py()], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["method", "edges"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= PACK:
+            yield from out()
+            held.clear()
+    if any(x.num_rows for x in held):
+        yield from out()
 
 
 def parents(assigned: DataFrame, child: str, parent: str) -> DataFrame:
