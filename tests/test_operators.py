@@ -586,3 +586,15 @@ def test_parts_of_a_graph_are_clustered_alone(spark, monkeypatch, part):
     made = subtasks.clusters(e)
     assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
     assert {r["unit"]: r["cluster"] for r in made.where("level = 'coarse'").collect()} == got
+
+
+def test_monitors_run_side_by_side_and_write_what_is_asked(spark):
+    import threading
+
+    shown, wrote = ("monitor", "finding_id", "state", "task"), {}
+    stage = lambda df, name: wrote.setdefault(name, (df, threading.current_thread().name))[0]
+    rows, only = log(spark, [CLAIM, PASS, {**CLAIM, "claim_id": "D"}]), ("C", "AO", "BL")
+    got = monitors.findings(rows, only=only, stage=stage, columns=shown)
+    assert got.columns == [c for c in monitors.FINDING if c in shown]
+    assert all(wrote[f"findings-{m}"][0].columns == got.columns and wrote[f"findings-{m}"][1] != threading.current_thread().name for m in only)
+    assert sorted(got.collect()) == sorted(monitors.findings(rows, only=only).select(got.columns).collect()) != []
