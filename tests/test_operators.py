@@ -564,6 +564,19 @@ def test_lineage_sorts_no_checks_by_claim(spark):
     assert not re.search(r"windowspecdefinition\(claim_id#\d+, (?!agent)", got._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_lineage_gives_all_repetitions(spark):
+    from pathlib import Path
+
+    from tracewell import registry
+
+    rows = log(spark, [CLAIM] + [{**CLAIM, "claim_id": f"D{i}"} for i in range(13)] + [PASS] * 3 + [{**CLAIM, "claim_id": "E", "artifact": "another"}])
+    got = worldstate.lineage(monitors.World(rows), rows.where("claim_id IN ('C1', 'D3')"), max_repeats=None).groupBy("claim_id", "step").count()
+    assert sorted(map(tuple, got.collect())) == [("C1", "checked", 3), ("C1", "introduced", 1), ("C1", "repeated", 13), ("D3", "checked", 3), ("D3", "introduced", 1), ("D3", "repeated", 9)]
+    if Path("/root/testdata/sf0.01").is_dir():  # the query asks for all of them
+        steps = registry.QUERIES["world_lineage"](spark, "/root/testdata/sf0.01").where("step = 'repeated'")
+        assert steps.groupBy("claim_id").count().agg(F.max("count")).first()[0] > 10
+
+
 def test_bursts_as_peaks_leave_out_the_foot_of_a_rise(spark):
     rows = [("a", f"2024-01-{d:02d}", 10, 10) for d in range(1, 21)] + [("a", "2024-01-21", 40, 40), ("a", "2024-01-23", 150, 150), ("a", "2024-01-22", 10, 10), ("a", "2024-01-24", 10, 10), ("a", "2024-01-25", 1200, 1200)]
     daily = spark.createDataFrame(rows, "entity string, d string, num long, den long").withColumn("d", F.to_date("d"))

@@ -154,22 +154,25 @@ def stale_actions(w: World) -> DataFrame:
 # ---- lineage and flow
 
 
-def lineage(w: World, asked: DataFrame) -> DataFrame:
-    """(claim_id, step, event_id, sequence, agent): the life of each asked claim (claim_id), by explicit references and equal subjects."""
+def lineage(w: World, asked: DataFrame, max_repeats: int | None = MAX_REPEATS) -> DataFrame:
+    """(claim_id, step, event_id, sequence, agent): the life of each asked claim (claim_id), by explicit references and equal subjects.
+    A view shows the first ``max_repeats`` repetitions of a claim; None gives all of them."""
     c = claims(w).join(asked.select("claim_id").distinct(), "claim_id").select("claim_id", F.col("event_id").alias("said_id"), F.col("sequence").alias("said"), "subject", "evidence")
     rows = w.visible.select("sequence", "event_id", "agent", "type", "category", "subject", "claim_id", "references", "acknowledges", "supersedes", "is_check")
     plain = rows.drop("claim_id", "subject")
     part = lambda df, step: df.select("claim_id", (F.lit(step) if isinstance(step, str) else step).alias("step"), "event_id", "sequence", "agent")
     backing = part(c.select("claim_id", F.explode("evidence").alias("event_id")).join(plain.where("type = 'tool_result'"), "event_id"), "evidence")
     intro = part(c.select("claim_id", F.col("said_id").alias("event_id")).join(plain, "event_id"), "introduced")
-    # Repetitions by their places among a subject's claims, so only those few are met; checks without an order, so nothing is sorted by claim.
-    stated = rows.where("type = 'claim' AND subject IS NOT NULL").select("subject", "sequence", "event_id", "agent")
-    placed = w.beside(stated, stated.select("subject", "sequence"), ["subject"], {"place": count(F.lit(True))})
-    later = F.explode(F.sequence(F.col("place") + 1, F.col("place") + MAX_REPEATS)).alias("place")
-    repeats = placed.join(c.select("claim_id", F.col("said_id").alias("event_id")), "event_id").select("claim_id", "subject", later)
-    repeated = part(repeats.join(placed, ["subject", "place"]), "repeated")
-    checks = rows.drop("claim_id").where("type = 'tool_result' AND category = 'verification' AND subject IS NOT NULL")
-    checked = part(c.select("claim_id", "said", "subject").join(checks, "subject").where("sequence > said"), "checked")
+    # What follows on a claim's subject is met without an order, so nothing is sorted by claim; a few repetitions by their places.
+    stated = rows.where("type = 'claim' AND subject IS NOT NULL").select("subject", "sequence", "event_id", "agent", "type")
+    follows = rows.where("type = 'tool_result' AND category = 'verification' AND subject IS NOT NULL").select(stated.columns)
+    follows = follows.union(stated) if max_repeats is None else follows
+    followed = part(c.select("claim_id", "said", "subject").join(follows, "subject").where("sequence > said"), F.when(_kind("claim"), "repeated").otherwise("checked"))
+    if max_repeats is not None:
+        placed = w.beside(stated, stated.select("subject", "sequence"), ["subject"], {"place": count(F.lit(True))})
+        later = F.explode(F.sequence(F.col("place") + 1, F.col("place") + max_repeats)).alias("place")
+        repeats = placed.join(c.select("claim_id", F.col("said_id").alias("event_id")), "event_id").select("claim_id", "subject", later)
+        followed = followed.union(part(repeats.join(placed, ["subject", "place"]), "repeated"))
     fixes = rows.where("type = 'correction'").groupBy(F.col("supersedes").alias("claim_id")).agg(F.min(F.struct("sequence", "event_id", "agent")).alias("fix")).join(c.select("claim_id"), "claim_id")
     fixed = part(fixes.select("claim_id", "fix.*"), "correction")
     acks = part(fixes.select("claim_id", F.col("fix.event_id").alias("acknowledges")).join(plain.where("type = 'acknowledgement'"), "acknowledges"), "acknowledged")
@@ -183,7 +186,7 @@ def lineage(w: World, asked: DataFrame) -> DataFrame:
     heard = w.visible.where(_kind("acknowledgement") & F.col("status_after").isNotNull()).select("agent", "sequence", F.col("acknowledges").alias("fix_id"), _event().alias("k"))
     done = w.beside(clean, heard, ["agent", "fix_id"], after={"ack": first(F.col("k"))}).where("clean IS NOT NULL AND (ack IS NULL OR clean.sequence < ack.sequence)")
     changed = part(done.select("claim_id", "agent", F.col("clean.event_id").alias("event_id"), F.col("clean.sequence").alias("sequence")), "changed")
-    return reduce(DataFrame.union, [backing, intro, repeated, checked, fixed, acks, used, changed])
+    return reduce(DataFrame.union, [backing, intro, followed, fixed, acks, used, changed])
 
 
 def _first_clean(w: World, audience: DataFrame, acts: DataFrame, citing_acts: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def world_stale_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql("""
 SELECT c.claim_id, 'evidence' AS step, x.event_id, x.sequence FROM c JOIN v x ON x.type = 'tool_result' AND list_contains(c.evidence, x.event_id) UNION ALL SELECT claim_id, 'introduced', event_id, sequence FROM c UNION ALL
-SELECT claim_id, 'repeated', event_id, sequence FROM (SELECT c.claim_id, x.event_id, x.sequence, row_number() OVER (PARTITION BY c.claim_id ORDER BY x.sequence) AS n FROM c JOIN claims x ON x.subject = c.subject AND x.sequence > c.sequence) WHERE n <= 10 UNION ALL
+SELECT c.claim_id, 'repeated', x.event_id, x.sequence FROM c JOIN claims x ON x.subject = c.subject AND x.sequence > c.sequence UNION ALL
 SELECT c.claim_id, 'checked', x.event_id, x.sequence FROM c JOIN results x ON x.subject = c.subject AND x.category = 'verification' AND x.sequence > c.sequence UNION ALL
 SELECT claim_id, 'correction', fix_id, fix FROM f UNION ALL SELECT f.claim_id, 'acknowledged', x.event_id, x.sequence FROM f JOIN v x ON x.type = 'acknowledgement' AND x.acknowledges = f.fix_id UNION ALL
 SELECT claim_id, CASE WHEN sequence > fix THEN 'used_after' ELSE 'used' END, event_id, sequence FROM u UNION ALL
@@ -101,9 +101,9 @@ c AS (SELECT * FROM v WHERE type = 'claim' AND sequence % 5 = 0)""", """
 f AS (SELECT c.claim_id, min(x.sequence) AS fix, arg_min(x.event_id, x.sequence) AS fix_id, arg_min(x.agent, x.sequence) AS fixer FROM c JOIN v x ON x.type = 'correction' AND x.supersedes = c.claim_id GROUP BY 1)""", """
 u AS (SELECT c.claim_id, x.event_id, x.sequence, x.agent, f.fix, f.fix_id, f.fixer FROM c JOIN v x ON x.type = 'action' AND list_contains(x.refs_claims, c.claim_id) LEFT JOIN f ON f.claim_id = c.claim_id)"""))
 def world_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lineage of a stated set of claims: every one whose sequence is divisible by five."""
+    """The lineage of a stated set of claims, with all their repetitions: every one whose sequence is divisible by five."""
     log = typed_log(spark, sf_dir)
-    return worldstate.lineage(World(log), log.where("type = 'claim' AND sequence % 5 = 0")).select("claim_id", "step", "event_id", "sequence")
+    return worldstate.lineage(World(log), log.where("type = 'claim' AND sequence % 5 = 0"), max_repeats=None).select("claim_id", "step", "event_id", "sequence")
 
 
 @query(_sql("SELECT claim_id, standing, (SELECT count(*) FROM (SELECT unnest(refs_claims) AS r FROM v WHERE type = 'action') x WHERE x.r = s.claim_id) AS cited FROM standings s", _CLAIMS))
