@@ -577,6 +577,43 @@ def test_lineage_gives_all_repetitions(spark):
         assert steps.groupBy("claim_id").count().agg(F.max("count")).first()[0] > 10
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_downstream_meets_no_pairs(spark, seed, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from tracewell.operators import descent
+
+    rng = random.Random(seed)
+    links = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range((12, 30, 45, 80)[seed % 4])}
+    below = {a: {b for x, b in links if x == a} for a, _ in links}
+    for _ in range(40):
+        below = {a: s.union(*[below.get(b, set()) for b in s]) for a, s in below.items()}
+    groups = {f"g{i}": rng.sample([f"n{j}" for j in range(44)], 1 + i % 4) for i in range(20)}
+    want = sorted((g, b) for g, nodes in groups.items() for b in set().union(*[below.get(a, set()) for a in nodes]) - set(nodes))
+    monkeypatch.setattr(descent, "ROW", 3)
+    edges = spark.createDataFrame(sorted(links), "src string, dst string")
+    rows = spark.createDataFrame([(g, a) for g, nodes in groups.items() for a in nodes], "g string, a string")
+    got = descent.downstream(edges, rows, "g", "a", tasks=3)
+    assert sorted(map(tuple, got.collect())) == want
+    bare = descent.downstream(edges, rows.withColumn("g", F.lit(None).cast("string")), "g", "a")
+    assert sorted(r["a"] for r in bare.collect()) == sorted({b for nodes in groups.values() for a in nodes for b in below.get(a, set()) - {a}})
+    assert descent.downstream(edges.limit(0), rows, "g", "a").count() == 0
+    # A tree of any depth is ranges alone.
+    chain = [str(i) for i in range(5000)]
+    tree = descent.Descent(pa.chunked_array([chain[:-1]]), pa.chunked_array([chain[1:]]))
+    assert len(tree.at) == 0 and len(tree.below(tree.place[:1] * 0)) == 4999
+
+
+def test_impact_joins_no_pairs(spark):
+    made = lambda t, *on: {"type": "task_created", "tasks": [(t, "p", "do", "g", False, list(on))]}
+    rows = [made("T1"), made("T2", "T1"), made("T3", "T2"), {**CLAIM, "task": "T1"}, {"type": "action", "references": ["C1"], "task": "T2"}, {**CLAIM, "claim_id": "C2", "task": "T9"}]
+    got = worldstate.claim_impact(monitors.World(log(spark, rows)))
+    assert sorted(map(tuple, got.collect())) == [("C1", "T1", "refers", 1), ("C1", "T2", "refers", 1), ("C1", "T3", "downstream", 0), ("C2", "T9", "refers", 1)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bursts_as_peaks_leave_out_the_foot_of_a_rise(spark):
     rows = [("a", f"2024-01-{d:02d}", 10, 10) for d in range(1, 21)] + [("a", "2024-01-21", 40, 40), ("a", "2024-01-23", 150, 150), ("a", "2024-01-22", 10, 10), ("a", "2024-01-24", 10, 10), ("a", "2024-01-25", 1200, 1200)]
     daily = spark.createDataFrame(rows, "entity string, d string, num long, den long").withColumn("d", F.to_date("d"))

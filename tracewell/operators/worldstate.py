@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.descent import downstream
 from tracewell.operators.monitors import World, visible
 from tracewell.operators.ordered import count, first
 from tracewell.staging import stage
@@ -129,8 +130,7 @@ def citing(w: World) -> DataFrame:
 def claim_impact(w: World) -> DataFrame:
     """(claim_id, task, how, n): tasks that refer to each claim, and those downstream of them."""
     direct = citing(w)
-    down = reach(dependencies(w), direct.select(F.col("task").alias("root")).distinct())
-    further = direct.join(down, F.col("task") == F.col("root")).select("claim_id", F.col("node").alias("task")).distinct().join(direct.select("claim_id", "task"), ["claim_id", "task"], "left_anti")
+    further = downstream(dependencies(w), direct, "claim_id", "task")
     return direct.select("claim_id", "task", F.lit("refers").alias("how"), "n").union(further.select("claim_id", "task", F.lit("downstream"), F.lit(0).cast("long")))
 
 
