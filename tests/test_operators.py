@@ -614,6 +614,24 @@ def test_impact_joins_no_pairs(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_of_sessions_are_neither_staged_nor_dealt_for_gaps(spark, monkeypatch):
+    from tracewell import staging
+
+    act = lambda task, **k: {"type": "action", "turn_id": "u", "task": task, **k}
+    rows = log(spark, [start(), start("S", "q"), start("R", "r"), act("S"), act("S", ts=T0 + timedelta(hours=9)), {**CLAIM, "task": "S"}, CLAIM, PASS])
+    wrote, only = [], ("C", "V", "BL")
+    stage = lambda df, name: wrote.append(name) or staging.stage(df, name)
+    monkeypatch.setattr(monitors, "BLOCK", 2)
+    before = set(staging._LIVE)
+    got = monitors.findings(rows, only=only, stage=stage)
+    assert sorted(map(str, got.collect())) == sorted(map(str, monitors.findings(rows, only=only).collect()))
+    assert sorted((r["finding_id"], r["state"], len(r["evidence"])) for r in got.where("monitor = 'V'").collect()) == [("V:S:R", "active", 2), ("V:T:R", "active", 2), ("V:T:S", "insufficient", 4)]
+    assert "findings-C" in wrote and "findings-V" not in wrote and "carried" in wrote
+    left = [p.rsplit("/tracewell-", 1)[1] for p in set(staging._LIVE) - before]
+    assert left and not [p for p in left if p.startswith("carried")]
+    assert spark.conf.get(staging._CLEAN, None) == spark.newSession().conf.get(staging._CLEAN, None)
+
+
 def test_bursts_as_peaks_leave_out_the_foot_of_a_rise(spark):
     rows = [("a", f"2024-01-{d:02d}", 10, 10) for d in range(1, 21)] + [("a", "2024-01-21", 40, 40), ("a", "2024-01-23", 150, 150), ("a", "2024-01-22", 10, 10), ("a", "2024-01-24", 10, 10), ("a", "2024-01-25", 1200, 1200)]
     daily = spark.createDataFrame(rows, "entity string, d string, num long, den long").withColumn("d", F.to_date("d"))
