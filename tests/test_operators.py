@@ -632,6 +632,50 @@ def test_pairs_of_sessions_are_neither_staged_nor_dealt_for_gaps(spark, monkeypa
     assert spark.conf.get(staging._CLEAN, None) == spark.newSession().conf.get(staging._CLEAN, None)
 
 
+@pytest.mark.parametrize("busy", [1, 4, 64])
+def test_betweenness_takes_sources_together_in_few_rounds(monkeypatch, busy):
+    import heapq
+
+    import numpy as np
+
+    monkeypatch.setattr(graph, "BUSY", busy)
+    for seed, n, most in ((1, 30, 3), (2, 60, 2), (3, 400, 1000), (4, 9, 1)):
+        rng = np.random.default_rng(seed)
+        pairs = np.unique(np.stack([rng.integers(0, n, 3 * n), rng.integers(0, n, 3 * n) ** 2 // n]), axis=1)
+        src, dst = pairs[:, pairs[0] != pairs[1]]
+        length = 1.0 / rng.integers(1, most + 1, len(src))
+        out = {v: [(int(d), float(x)) for s, d, x in zip(src, dst, length, strict=True) if s == v] for v in range(n)}
+        want = np.zeros(n)
+        for source in range(n):
+            far, paths, before, order, heap, done = {source: 0.0}, {source: 1.0}, {source: []}, [], [(0.0, source)], set()
+            while heap:
+                at, v = heapq.heappop(heap)
+                if v in done:
+                    continue
+                done.add(v)
+                order.append(v)
+                for d, x in out[v]:
+                    if at + x < far.get(d, np.inf):
+                        far[d], paths[d], before[d] = at + x, 0.0, []
+                        heapq.heappush(heap, (at + x, d))
+                    if at + x == far[d]:
+                        paths[d] += paths[v]
+                        before[d].append(v)
+            share = dict.fromkeys(order, 0.0)
+            for v in reversed(order):
+                for u in before[v]:
+                    share[u] += paths[u] / paths[v] * (1 + share[v])
+                want[v] += share[v] if v != source else 0.0
+        lengths, calls = graph.Lengths(src, dst, length, n), []
+        of = graph._Links.of
+        monkeypatch.setattr(graph._Links, "of", lambda self, nodes: calls.append(len(nodes)) or of(self, nodes))
+        got = sum(lengths.shares(np.arange(i, min(i + 50, n))) for i in range(0, n, 50))
+        monkeypatch.setattr(graph._Links, "of", of)
+        assert got == pytest.approx(want)
+        # Rounds are shared by sources; there are far fewer than there are sources and distances from each (most differ where most lengths do).
+        assert most < 1000 or len(calls) < n * n / 20
+
+
 def test_bursts_as_peaks_leave_out_the_foot_of_a_rise(spark):
     rows = [("a", f"2024-01-{d:02d}", 10, 10) for d in range(1, 21)] + [("a", "2024-01-21", 40, 40), ("a", "2024-01-23", 150, 150), ("a", "2024-01-22", 10, 10), ("a", "2024-01-24", 10, 10), ("a", "2024-01-25", 1200, 1200)]
     daily = spark.createDataFrame(rows, "entity string, d string, num long, den long").withColumn("d", F.to_date("d"))
